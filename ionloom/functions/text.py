@@ -50,40 +50,46 @@ def repair_inchi(inchi: Column) -> Column:
     return F.concat(F.lit("InChI="), F.regexp_replace(blank_to_null(inchi), "(?i)^inchi=", ""))
 
 
-def repair_descriptors(smiles: Column, inchi: Column, inchikey: Column) -> dict[str, Column]:
+def descriptor_kinds(col: Column) -> dict[str, Column]:
+    """What a structure field looks like."""
+    return {"smiles": matches(col, SMILES_LIKE), "inchi": matches(col, INCHI_LIKE), "inchikey": matches(col, INCHIKEY_LIKE)}
+
+
+def move_descriptors(
+    smiles: Column, inchi: Column, inchikey: Column, kinds: dict[str, dict[str, Column]]
+) -> dict[str, Column]:
     """Move SMILES / InChI / InChIKey values that sit in the wrong column.
 
-    All tests look at the original values; where several moves write one column, the move
-    listed last in the definition wins, so it comes first in the ``when`` chain.
+    ``kinds`` maps each column to what its original value looks like. Where several moves write
+    one column, the move listed last in the definition wins, so it comes first in the chain.
     """
-    tidy = matches(smiles, SMILES_LIKE) & matches(inchi, INCHI_LIKE) & matches(inchikey, INCHIKEY_LIKE)
+    s, i, k = kinds["smiles"], kinds["inchi"], kinds["inchikey"]
+    tidy = s["smiles"] & i["inchi"] & k["inchikey"]
 
-    def only_smiles(col: Column) -> Column:
-        return matches(col, SMILES_LIKE) & ~matches(col, INCHI_LIKE) & ~matches(col, INCHIKEY_LIKE)
+    def only_smiles(kind: dict[str, Column]) -> Column:
+        return kind["smiles"] & ~kind["inchi"] & ~kind["inchikey"]
 
     none = F.lit(None).cast("string")
     new_smiles = (
         F.when(tidy, smiles)
-        .when(matches(smiles, INCHIKEY_LIKE), none)
-        .when(matches(smiles, INCHI_LIKE), none)
-        .when(only_smiles(inchikey), inchikey)
-        .when(only_smiles(inchi), inchi)
+        .when(s["inchikey"] | s["inchi"], none)
+        .when(only_smiles(k), inchikey)
+        .when(only_smiles(i), inchi)
         .otherwise(smiles)
     )
     new_inchi = (
         F.when(tidy, inchi)
-        .when(matches(inchi, INCHIKEY_LIKE), none)
-        .when(matches(inchikey, INCHI_LIKE), inchikey)
-        .when(matches(smiles, INCHI_LIKE), smiles)
-        .when(only_smiles(inchi), none)
+        .when(i["inchikey"], none)
+        .when(k["inchi"], inchikey)
+        .when(s["inchi"], smiles)
+        .when(only_smiles(i), none)
         .otherwise(inchi)
     )
     new_inchikey = (
         F.when(tidy, inchikey)
-        .when(matches(smiles, INCHIKEY_LIKE), smiles)
-        .when(matches(inchi, INCHIKEY_LIKE), inchi)
-        .when(matches(inchikey, INCHI_LIKE), none)
-        .when(only_smiles(inchikey), none)
+        .when(s["inchikey"], smiles)
+        .when(i["inchikey"], inchi)
+        .when(k["inchi"] | only_smiles(k), none)
         .otherwise(inchikey)
     )
     return {

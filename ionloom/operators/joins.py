@@ -13,13 +13,12 @@ SALTS = 64
 def hot_keys(df: DataFrame, key: str, at_least: int = HOT_ROWS) -> DataFrame:
     """The most frequent keys, at most ``HOT_LIMIT`` rows.
 
-    Counts are combined map-side. A key outside this list holds less than 1/HOT_LIMIT of the
+    Counts are combined map-side; NULL counts as 0. A key outside this list holds less than 1/HOT_LIMIT of the
     rows, so it cannot dominate a partition.
     """
     return (
-        df.filter(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        df.groupBy(key)
+        .agg(F.count(key).alias("_n"))
         .filter(F.col("_n") >= at_least)
         .orderBy(F.desc("_n"), key)
         .limit(HOT_LIMIT)

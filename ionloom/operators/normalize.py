@@ -18,7 +18,12 @@ def normalize_empties(df: DataFrame, columns: list[str] | None = None) -> DataFr
 
 
 def repair_descriptors(df: DataFrame) -> DataFrame:
-    return df.withColumns(tx.repair_descriptors(F.col("smiles"), F.col("inchi"), F.col("inchikey")))
+    """Descriptors in their own columns; every pattern is tested once per value."""
+    names = ["smiles", "inchi", "inchikey"]
+    tests = {f"_{c}_{kind}": test for c in names for kind, test in tx.descriptor_kinds(F.col(c)).items()}
+    kinds = {c: {kind: F.col(f"_{c}_{kind}") for kind in names} for c in names}
+    moved = tx.move_descriptors(*[F.col(c) for c in names], kinds)
+    return df.withColumns(tests).withColumns(moved).drop(*tests)
 
 
 def normalize_adduct(df: DataFrame, adducts: DataFrame) -> DataFrame:
