@@ -77,7 +77,7 @@ def json_columns(df: DataFrame) -> list[Column]:
         if name == "peaks":
             return F.col("annotated_peaks" if "annotated_peaks" in df.columns else "peaks")
         if name in NUMERIC_TYPES and name in df.columns and "mass" not in name:
-            return F.col(name).cast(NUMERIC_TYPES[name])
+            return F.col(name).try_cast(NUMERIC_TYPES[name])
         if name == "mslevel" and name in df.columns:
             return F.coalesce(F.col(name).try_cast("int").cast("string"), shown(df, field))
         return shown(df, field)

@@ -145,14 +145,14 @@ def scan_json_array(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
     Big libraries should come as JSON Lines.
     """
-    files = spark.read.option("wholetext", True).text(paths).select("value", *provenance())
+    files = spark.read.text(paths, wholetext=True).select("value", *provenance())
     return files.select(F.explode(F.from_json("value", f"array<{RAW_MAP}>")).alias("raw"), "filename", "filehash")
 
 
 def scan_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Array or line reader per path, by the first non-blank character."""
     paths = [paths] if isinstance(paths, str) else paths
-    groups = _by_format(spark, paths, lambda line: line.lstrip("﻿ \t\r\n").startswith("["))
+    groups = _by_format(spark, paths, lambda line: line.lstrip("\ufeff \t\r\n").startswith("["))
     scans = [
         scan_json_array(spark, group) if is_array else scan_json_lines(spark, group)
         for is_array, group in groups.items()
