@@ -29,7 +29,7 @@ NESTED_METADATA = [
     "precursor type", "collision energy", "precursor m/z",
 ]
 NESTED_STRUCTURE = ["molecular formula", "smiles", "inchi", "inchikey"]
-PEAK_KEYS = ["spectrum", "peaks_json", "peaks", "peaks_list"]
+PEAK_KEYS = ["spectrum", "peaks_json", "peaks", "peaks_list", "PEAKS_LIST"]
 
 NESTED_COMPOUND_TYPE = (
     "array<struct<names:array<struct<name:string>>,"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import chain
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from ionloom.functions.text import clean_instrument_text
 
 LEVELS = ["brand", "model", "spectrum_type", "instrument_type", "ionisation"]
 NO_MATCH = "not found"
+PATH_MARK = " > "
 RESOLUTIONS = ["high", "low", "unknown"]
 
 
@@ -35,6 +37,10 @@ def _children(rules: list[InstrumentRule]) -> dict[tuple, list[str]]:
     return tree
 
 
+def _path(keys: tuple) -> str:
+    return PATH_MARK.join(keys)
+
+
 def word_pattern(key: str) -> str:
     return rf"(\b|^|$){key}(\b|^|$)"
 
@@ -58,41 +64,43 @@ def match_instrument(df: DataFrame, rules: list[InstrumentRule]) -> DataFrame:
             found = F.coalesce(
                 *[F.when(F.col("instrument_text").rlike(word_pattern(k)), F.lit(k)) for k in keys], F.lit(NO_MATCH)
             )
-            here = F.lit(True)
-            for parent, key in zip(LEVELS, path):
-                here = here & (F.col(parent) == key)
+            here = F.col("instrument_path") == _path(path) if depth else F.lit(True)
             branch = F.when(here, found) if branch is None else branch.when(here, found)
         out = out.withColumn(level, branch)
+        trail = F.concat("instrument_path", F.lit(PATH_MARK), level) if depth else F.col(level)
+        out = out.withColumn("instrument_path", trail)
     return out
 
 
 def assign_resolution(df: DataFrame, rules: list[InstrumentRule]) -> DataFrame:
     """Write instrument, type, resolution and ionisation of the matched leaf; keep unmatched rows."""
-    leaves: dict[tuple, dict[str, str]] = {}
+    leaves: dict[str, dict[str, str]] = {}
     for rule in rules:
-        leaves.setdefault(tuple(rule[:5]), {}).setdefault(rule.resolution, rule.solution)
-    solution: Column | None = None
-    for path, by_resolution in leaves.items():
-        picked = next((by_resolution[r] for r in RESOLUTIONS if r in by_resolution), None)
-        if picked is None or picked.count(",") < 2:
-            continue
-        here = F.lit(True)
-        for level, key in zip(LEVELS, path):
-            here = here & (F.col(level) == key)
-        solution = F.when(here, F.lit(picked)) if solution is None else solution.when(here, F.lit(picked))
-    parts = F.split(solution, ",")
+        leaves.setdefault(_path(rule[:5]), {}).setdefault(rule.resolution, rule.solution)
+    table = {
+        path: next(options[r] for r in RESOLUTIONS if r in options)
+        for path, options in leaves.items()
+        if any(r in options for r in RESOLUTIONS)
+    }
+    usable = {path: text for path, text in table.items() if text.count(",") >= 2}
+    solutions = F.create_map(*[F.lit(x) for x in chain.from_iterable(usable.items())])
+    parts = F.split(F.try_element_at(solutions, F.col("instrument_path")), ",")
 
     def part(i: int) -> Column:
-        return F.trim(F.get(parts, F.lit(i)))
-
-    source = F.trim(F.get(F.split(F.get(parts, F.lit(1)), "-"), F.lit(1)))
-    return df.withColumns(
-        {
-            "instrument": F.coalesce(part(0), F.col("instrument")),
-            "instrumenttype": F.coalesce(part(1), F.col("instrumenttype")),
-            "resolution": F.coalesce(part(2), F.col("resolution")),
-            "ionization": F.coalesce(source, F.col("ionization")),
-        }
+        return F.trim(F.get(F.col("_parts"), F.lit(i)))
+
+    source = F.trim(F.get(F.split(F.get(F.col("_parts"), F.lit(1)), "-"), F.lit(1)))
+    return (
+        df.withColumn("_parts", parts)
+        .withColumns(
+            {
+                "instrument": F.coalesce(part(0), F.col("instrument")),
+                "instrumenttype": F.coalesce(part(1), F.col("instrumenttype")),
+                "resolution": F.coalesce(part(2), F.col("resolution")),
+                "ionization": F.coalesce(source, F.col("ionization")),
+            }
+        )
+        .drop("_parts", "instrument_path")
     )
 
 

@@ -93,6 +93,12 @@ def _peaks(spark: SparkSession, sf_dir: str, mz: str, intensity: str) -> DataFra
     )
 
 
+def _spread(joined: DataFrame) -> DataFrame:
+    """Hash partitioning on the join key. After a shuffled join it is there already and costs
+    nothing; small tables, joined by broadcast in one task, get their parallelism from it."""
+    return joined.repartition("record_id")
+
+
 def headers(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     names = columns or list(HEADER)
     orders = table(spark, sf_dir, "orders")
@@ -107,9 +113,8 @@ def spectra_raw(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
     """Raw spectra; ``columns`` names the header fields a query needs."""
     peaks = _peaks(spark, sf_dir, MZ, INTENSITY)
     empty = F.array().cast(PEAKS_TYPE)
-    return headers(spark, sf_dir, columns).join(peaks, "record_id", "left").withColumn(
-        "peaks", F.coalesce("peaks", empty)
-    )
+    joined = headers(spark, sf_dir, columns).join(peaks, "record_id", "left")
+    return _spread(joined).withColumn("peaks", F.coalesce("peaks", empty))
 
 
 def spectra_with_copies(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
@@ -176,4 +181,4 @@ def denovo_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         F.col(K).alias("record_id"), F.expr(DENOVO_FORMULA).alias("formula")
     )
-    return orders.join(peaks, "record_id")
+    return _spread(orders.join(peaks, "record_id"))

@@ -71,11 +71,16 @@ def csv_row(df: DataFrame) -> Column:
 
 
 def json_columns(df: DataFrame) -> list[Column]:
-    """Typed numbers where the value is one, text elsewhere, peaks as array of structs."""
+    """Typed numbers where the value is one, text elsewhere.
+
+    Peaks are ``[mz, intensity]`` pairs; annotated peaks are objects, as they mix types.
+    """
 
     def typed(field: str, name: str) -> Column:
         if name == "peaks":
-            return F.col("annotated_peaks" if "annotated_peaks" in df.columns else "peaks")
+            if "annotated_peaks" in df.columns:
+                return F.col("annotated_peaks")
+            return F.transform("peaks", lambda p: F.array(p["mz"], p["intensity"]))
         if name in NUMERIC_TYPES and name in df.columns and "mass" not in name:
             return F.col(name).try_cast(NUMERIC_TYPES[name])
         if name == "mslevel" and name in df.columns:
