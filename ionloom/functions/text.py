@@ -9,7 +9,7 @@ from ionloom.functions.exprs import blank_to_null, group_or_null, matches, to_nu
 
 # Patterns and word lists the results depend on.
 EMPTY_WORDS = [
-    "CCS:", r"\$:00in-source", "0", r"0\.0", "na", "n/a", "nan", "unknown", "unknow", "none", r"\?", "unk", "x",
+    "CCS:", "$:00in-source", "0", "0.0", "na", "n/a", "nan", "unknown", "unknow", "none", "?", "unk", "x",
 ]
 SMILES_LIKE = r"(?i)[^J][a-z0-9@+\-\[\]\(\)\\\/%=#$]{6,}"
 INCHI_LIKE = r"(?i)InChI=.*|/[0-9A-Z]*/"
@@ -37,12 +37,11 @@ INSTRUMENT_PATTERNS = [
     ("... uplc ...", " "),
 ]
 
-EMPTY_VALUE = r"(?i)^(?:" + "|".join(EMPTY_WORDS) + r")(?: .*)?\z"
-
-
 def normalize_empty(col: Column) -> Column:
-    """NULL for every spelling of "no value"."""
-    return F.when((col != "") & ~col.rlike(EMPTY_VALUE), col)
+    """NULL for every spelling of "no value": such a word alone or followed by more on its line."""
+    word = F.lower(F.substring_index(col, " ", 1))
+    empty = word.isin([w.lower() for w in EMPTY_WORDS]) & ~F.contains(col, F.lit("\n"))
+    return F.when((col != "") & ~empty, col)
 
 
 def repair_inchi(inchi: Column) -> Column:

@@ -38,24 +38,35 @@ def row_richness(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, texts) + F.length(F.coalesce(pk.to_text(F.col("peaks")), F.lit("")))
 
 
-def flag_duplicates(df: DataFrame) -> DataFrame:
-    """Add ``is_duplicate``: another row with the same SPLASH and InChIKey is richer.
+def has_inchikey() -> Column:
+    return F.coalesce(F.trim("inchikey") != "", F.lit(False))
+
+
+def richest_ids(df: DataFrame) -> DataFrame:
+    """``record_id`` of the richest row per (SPLASH, InChIKey); ties go to the lowest id.
 
-    Ties go to the lowest ``record_id``; rows without an InChIKey are never duplicates. Only
-    narrow key rows enter the grouping, with a partial maximum on the map side, so a key with
-    very many copies stays cheap; whole rows are matched by their unique id.
+    Only narrow key rows enter the grouping, with a partial maximum on the map side, so a key
+    with very many copies stays cheap.
     """
-    has_key = F.coalesce(F.trim("inchikey") != "", F.lit(False))
-    best = (
-        df.filter(has_key)
-        .select("splash", "inchikey", F.struct(row_richness(df).alias("size"), (-F.col("record_id")).alias("id")).alias("rank"))
+    rank = F.struct(row_richness(df).alias("size"), (-F.col("record_id")).alias("id"))
+    return (
+        df.filter(has_inchikey())
+        .select("splash", "inchikey", rank.alias("rank"))
         .groupBy("splash", "inchikey")
         .agg(F.max("rank").alias("rank"))
-        .select((-F.col("rank.id")).alias("record_id"), F.lit(True).alias("_best"))
+        .select((-F.col("rank.id")).alias("record_id"))
     )
-    return df.join(best, "record_id", "left").withColumn(
-        "is_duplicate", has_key & F.col("_best").isNull()
-    ).drop("_best")
+
+
+def duplicate_ids(df: DataFrame) -> DataFrame:
+    """``record_id`` of every row that has a richer copy; rows without InChIKey never do."""
+    return df.filter(has_inchikey()).select("record_id").join(richest_ids(df), "record_id", "left_anti")
+
+
+def flag_duplicates(df: DataFrame) -> DataFrame:
+    """Add ``is_duplicate``; whole rows are matched by their unique id."""
+    marked = duplicate_ids(df).withColumn("is_duplicate", F.lit(True))
+    return df.join(marked, "record_id", "left").withColumn("is_duplicate", F.coalesce("is_duplicate", F.lit(False)))
 
 
 def dedup_keep_richest(df: DataFrame) -> DataFrame:

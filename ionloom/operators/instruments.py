@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 from typing import NamedTuple
 
@@ -45,6 +46,12 @@ def word_pattern(key: str) -> str:
     return rf"(\b|^|$){key}(\b|^|$)"
 
 
+def has_word(text: Column, key: str) -> Column:
+    """Whole-word match; a plain key is looked for as a substring first, which is cheaper."""
+    whole = text.rlike(word_pattern(key))
+    return F.contains(text, F.lit(key)) & whole if re.fullmatch(r"[\w ]+", key) else whole
+
+
 def match_instrument(df: DataFrame, rules: list[InstrumentRule]) -> DataFrame:
     """Add one column per level with the first key found as a whole word, else ``not found``.
 
@@ -62,7 +69,7 @@ def match_instrument(df: DataFrame, rules: list[InstrumentRule]) -> DataFrame:
             if len(path) != depth:
                 continue
             found = F.coalesce(
-                *[F.when(F.col("instrument_text").rlike(word_pattern(k)), F.lit(k)) for k in keys], F.lit(NO_MATCH)
+                *[F.when(has_word(F.col("instrument_text"), k), F.lit(k)) for k in keys], F.lit(NO_MATCH)
             )
             here = F.col("instrument_path") == _path(path) if depth else F.lit(True)
             branch = F.when(here, found) if branch is None else branch.when(here, found)

@@ -100,7 +100,7 @@ def _spread(joined: DataFrame) -> DataFrame:
 
 
 def headers(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    names = columns or list(HEADER)
+    names = list(HEADER) if columns is None else columns
     orders = table(spark, sf_dir, "orders")
     if any("c_name" in HEADER[n] for n in names):
         customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")

@@ -44,19 +44,22 @@ def fingerprint(raw: DataFrame) -> DataFrame:
 
 
 def screen(parsed: DataFrame, registry: DataFrame | None) -> DataFrame:
-    """Reasons ``duplicate`` and ``already_seen`` on fingerprinted spectra."""
-    open_rows = parsed.filter(F.col("deletion_reason").isNull())
-    flagged = dd.flag_duplicates(open_rows)
+    """Reasons ``duplicate`` and ``already_seen`` on fingerprinted spectra.
+
+    Both searches work on ids and keys; the spectra with their peaks are joined once, by id.
+    """
+    live = parsed.filter(F.col("deletion_reason").isNull())
+    verdicts = dd.duplicate_ids(live).withColumn("_reason", F.lit("duplicate"))
     if registry is not None:
-        seen = registry.select("splash").distinct().withColumn("_seen", F.lit(True))
-        flagged = lookup_join(flagged, seen, "splash")
-    else:
-        flagged = flagged.withColumn("_seen", F.lit(None).cast("boolean"))
-    screened = flagged.withColumn(
-        "deletion_reason",
-        F.when(F.col("is_duplicate"), F.lit("duplicate")).when(F.col("_seen"), F.lit("already_seen")),
-    ).drop("is_duplicate", "_seen")
-    return screened.unionByName(parsed.filter(F.col("deletion_reason").isNotNull()))
+        seen = lookup_join(live.select("record_id", "splash"), registry.select("splash").distinct(), "splash", "left_semi")
+        verdicts = verdicts.unionByName(seen.select("record_id", F.lit("already_seen").alias("_reason")))
+        # The union order is not the check order: "duplicate" wins as the larger text.
+        verdicts = verdicts.groupBy("record_id").agg(F.max("_reason").alias("_reason"))
+    return (
+        parsed.join(verdicts, "record_id", "left")
+        .withColumn("deletion_reason", F.coalesce("deletion_reason", "_reason"))
+        .drop("_reason")
+    )
 
 
 def clean(screened: DataFrame, lookups: Lookups, params: Params) -> DataFrame:
@@ -65,23 +68,39 @@ def clean(screened: DataFrame, lookups: Lookups, params: Params) -> DataFrame:
     return accept_spectra(normalize_values(checked, lookups.adducts, lookups.instruments), params)
 
 
-def complete(cleaned: DataFrame, lookups: Lookups, params: Params) -> DataFrame:
-    """Structures, masses, compound facts, ontologies, optional annotation and classes."""
-    out = cleaned
+DESCRIPTORS = ["inchi", "smiles", "inchikey", "formula", "name", "exactmass", "averagemass"]
+
+
+def describe(cleaned: DataFrame, lookups: Lookups) -> DataFrame:
+    """Resolved structures, masses, compound facts and ontologies of every spectrum.
+
+    All lookups run on the distinct descriptor rows; the spectra with their peaks are shuffled
+    once, to pick up the result.
+    """
+    own = F.struct(*DESCRIPTORS)
+    keyed = cleaned.withColumn("_own", own)
+    facts = cleaned.select(*DESCRIPTORS).distinct().withColumn("_own", own).withColumn("record_id", F.xxhash64("_own"))
     if lookups.compounds is not None:
-        out = en.resolve_structures(out, en.structure_table(lookups.compounds))
+        facts = en.resolve_structures(facts, en.structure_table(lookups.compounds))
     else:
-        out = en.fill_masses(out.withColumns({c: F.col(c).try_cast("double") for c in ("exactmass", "averagemass")}))
-    out = out.withColumn("deletion_reason", F.coalesce("deletion_reason", en.structure_reason()))
+        masses = {c: F.col(c).try_cast("double") for c in ("exactmass", "averagemass")}
+        facts = en.fill_masses(facts.withColumns(masses))
+    facts = facts.withColumn("_reason", en.structure_reason())
     if lookups.compounds is not None:
-        out = en.enrich_compounds(out, lookups.compounds)
+        facts = en.enrich_compounds(facts, lookups.compounds)
     if lookups.ontologies is not None:
-        out = en.enrich_ontology(out, lookups.ontologies)
-    out = cl.classify(out)
-    out = out.withColumn(
-        "deletion_reason",
-        F.coalesce("deletion_reason", F.when(F.col("polarity").isNull(), F.lit("unknown_ionmode"))),
-    )
+        facts = en.enrich_ontology(facts, lookups.ontologies)
+    found = [c for c in facts.columns if c not in ("record_id", "_own")]
+    replaced = [c for c in found if c in cleaned.columns]
+    joined = lookup_join(keyed.drop(*replaced), facts.drop("record_id"), "_own")
+    return joined.withColumn("deletion_reason", F.coalesce("deletion_reason", "_reason")).drop("_own", "_reason")
+
+
+def complete(cleaned: DataFrame, lookups: Lookups, params: Params) -> DataFrame:
+    """Descriptors, classes and optional fragment annotation."""
+    out = cl.classify(describe(cleaned, lookups))
+    unknown = F.when(F.col("polarity").isNull(), F.lit("unknown_ionmode"))
+    out = out.withColumn("deletion_reason", F.coalesce("deletion_reason", unknown))
     return annotate_peaks(out, params) if params.de_novo else out
 
 

@@ -16,6 +16,7 @@ from ionloom.plans import fixture as fx
 from ionloom.plans import oracle as orc
 from ionloom.plans.pipeline import Curated, Lookups, curate
 from ionloom.schema import REASONS, Params
+from ionloom.session import stage
 from ionloom.sources.lookups import adduct_table
 
 QUERIES = {}
@@ -60,7 +61,8 @@ _add("project_canonical", project_canonical, RAW,
 
 
 def _fingerprinted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dd.with_splash(fx.spectra_with_copies(spark, sf_dir).drop("source"))
+    """Staged like in a full run: the duplicate search reads the table twice."""
+    return stage(dd.with_splash(fx.spectra_with_copies(spark, sf_dir).drop("source")), "fingerprinted")
 
 
 def row_richness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +88,7 @@ _add("dedup_rejects", dedup_rejects, _DUP,
 
 def _batch_and_registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All spectra as a batch, and the keys of the even ones as the registry of an earlier run."""
-    batch = dd.with_splash(fx.spectra_raw(spark, sf_dir, []))
+    batch = stage(dd.with_splash(fx.spectra_raw(spark, sf_dir, [])), "batch")
     even = batch.filter("record_id % 2 = 0 and splash is not null")
     return batch, even.select("splash", F.lit(0).cast("bigint").alias("batch_id")).distinct()
 
@@ -154,7 +156,7 @@ _STRUCT = ["smiles", "inchi", "inchikey", "formula", "name"]
 
 
 def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = fx.headers(spark, sf_dir, _STRUCT)
+    df = fx.headers(spark, sf_dir, _STRUCT).repartition("record_id")
     return repair_descriptors(df).withColumns({c: F.lit(None).cast("double") for c in ("exactmass", "averagemass")})
 
 

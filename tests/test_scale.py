@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ionloom.operators import dedup as dd
 from ionloom.operators.joins import SALTS, lookup_join
-from ionloom.plans import fixture as fx
 from ionloom.plans import q_denovo, q_library, q_peaks
 from ionloom.schema import PEAKS_TYPE
 from ionloom.streaming.incremental import msp_stream, start_incremental
@@ -74,7 +73,7 @@ def test_no_cartesian_products(spark):
 
 
 def test_scans_read_only_needed_columns(spark):
-    plan = plan_of(q_peaks.count_peaks(spark, SF_DIR) if hasattr(q_peaks, "count_peaks") else fx.spectra_raw(spark, SF_DIR, []))
+    plan = plan_of(q_peaks.splash(spark, SF_DIR))
     assert "o_totalprice" not in plan and "l_tax" not in plan
 
 
