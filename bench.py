@@ -7,13 +7,18 @@ import os
 import statistics
 import tempfile
 import time
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ionloom.operators import dedup as dd
+from ionloom.operators import enrich as en
+from ionloom.operators.clean import accept_spectra, require_peaks
+from ionloom.operators.denovo import annotate_peaks
 from ionloom.plans import fixture as fx
-from ionloom.plans import q_denovo, q_library, q_peaks
 from ionloom.plans.pipeline import Lookups, curate
-from ionloom.session import new_path
+from ionloom.session import new_path, stage
 from ionloom.sinks.writers import write_spectra
 from ionloom.sources.lookups import adduct_table
 
@@ -52,14 +57,38 @@ def drain(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-BENCHES = {
-    "clean_peaks": lambda s, d: drain(q_peaks.clean_peaks(s, d)),
-    "splash": lambda s, d: drain(q_peaks.splash(s, d)),
-    "dedup_keep_richest": lambda s, d: drain(q_library.dedup_keep_richest(s, d)),
-    "incremental_new": lambda s, d: drain(q_library.incremental_new(s, d)),
-    "enrich": lambda s, d: drain(q_library.enrich(s, d)),
-    "denovo": lambda s, d: drain(q_denovo.annotated_peaks(s, d)),
-    "full_curation": full_run,
+def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Input tables of the single-step timings, staged before the clock starts."""
+    reason = F.lit(None).cast("string")
+    raw = stage(fx.spectra_raw(spark, sf_dir).withColumn("deletion_reason", reason).repartition(int(CPUS)), "raw")
+    copies = dd.with_splash(fx.spectra_with_copies(spark, sf_dir).drop("source")).repartition(int(CPUS))
+    copies = stage(copies, "copies")
+    masses = {c: F.lit(None).cast("double") for c in ("exactmass", "averagemass")}
+    return {
+        "raw": raw,
+        "copies": copies,
+        "registry": stage(copies.filter("record_id % 2 = 0").select("splash").distinct(), "registry"),
+        "described": raw.withColumns(masses),
+        "compounds": stage(fx.compounds(spark, sf_dir), "compounds"),
+        "ontologies": stage(fx.ontologies(spark, sf_dir), "ontologies"),
+        "denovo": stage(fx.denovo_spectra(spark, sf_dir).repartition(int(CPUS)), "denovo"),
+    }
+
+
+def incremental(t: dict[str, DataFrame]) -> None:
+    drain(dd.unseen(t["copies"], t["registry"]))
+    drain(dd.new_registry_rows(t["copies"], t["registry"], 1))
+
+
+STEPS = {
+    "clean_peaks": lambda t: drain(accept_spectra(require_peaks(t["raw"]))),
+    "splash": lambda t: drain(dd.with_splash(t["raw"]).select("record_id", "splash")),
+    "dedup_keep_richest": lambda t: drain(dd.flag_duplicates(t["copies"])),
+    "incremental_new": incremental,
+    "enrich": lambda t: drain(
+        en.enrich_ontology(en.enrich_compounds(t["described"], t["compounds"]), t["ontologies"])
+    ),
+    "denovo": lambda t: drain(annotate_peaks(t["denovo"])),
 }
 
 
@@ -68,12 +97,15 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spectra = fx.table(spark, SF_DIR, "orders").count()
     timings = {}
-    for name, run in BENCHES.items():
-        run(spark, SF_DIR)
+    tables = inputs(spark, SF_DIR)
+    benches = {name: partial(step, tables) for name, step in STEPS.items()}
+    benches["full_curation"] = partial(full_run, spark, SF_DIR)
+    for name, run in benches.items():
+        run()
         samples = []
         for _ in range(RUNS):
             start = time.perf_counter()
-            run(spark, SF_DIR)
+            run()
             samples.append(time.perf_counter() - start)
         timings[name] = round(statistics.median(samples), 3)
     print(
