@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import quality, sharding
+from ionloom.llm import decontam, minhash, mixing, quality, sharding
 from ionloom.llm.common import table
 
 QUERIES = {}
@@ -39,3 +39,50 @@ SELECT doc_id, slot, CAST(shard_id AS INTEGER) AS shard_id, 'shard-' || lpad(CAS
        length(t) AS n_chars
 FROM placed JOIN owners USING (slot)
 """
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("_k1", "_k2")
+
+
+QUERIES["op9_decontamination"] = op9_decontamination
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+ORACLES["op9_decontamination"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+s AS (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM s),
+ks AS (SELECT DISTINCT k FROM win),
+pos AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, ks WHERE len(w) >= k),
+hit AS (SELECT pos.r, pos.p, pos.k, win.item FROM pos JOIN win ON pos.k = win.k AND array_to_string(pos.w[p:p + pos.k - 1], ' ') = win.g),
+spread AS (SELECT DISTINCT r, unnest(range(p, p + k)) AS at FROM hit),
+hits AS (SELECT r, count(*) AS n_hit FROM spread GROUP BY r),
+ids AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN ids USING (r)
+"""
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_mixing"] = op4_mixing
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+QUERIES["op6_minhash"] = op6_minhash
