@@ -180,7 +180,8 @@ def slots(sources: DataFrame, block: int = BLOCK) -> DataFrame:
                 names=["sid", "shard", "place", "pass", "block", "words"],
             )
 
-    return arrow_flat(wanted.repartition("sid", "task"), generate, SLOTS)
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return arrow_flat(wanted.repartition(tasks, "sid", "task"), generate, SLOTS)
 
 
 def pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -205,7 +206,8 @@ def mix(docs: DataFrame, block: int = BLOCK, id_column: str = "doc_id", text_col
     named = sources.select("sid", F.col("source").alias("_s"), "source_size", "target")
     joined = stream_offsets(sized).join(named, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = stage(joined, "placed")  # fixes the order of equal rows
-    parts = pieces(placed.select(*KEY, "sid", "offset", "size"), block).join(slots(sources, block), ["sid", "block"])
+    # Slots grow with the data, which their few source rows hide from the size estimate: never broadcast them.
+    parts = pieces(placed.select(*KEY, "sid", "offset", "size"), block).join(slots(sources, block).hint("merge"), ["sid", "block"])
     high = F.least(F.col("high"), F.col("words"))
     before = F.col("block") * block - F.col("offset")
     parts = parts.filter(F.col("low") < high).select(
