@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.llm import decontam, html_text, minhash, mixing, quality, sharding, suffixes, warc
+from ionloom.llm import decontam, html_text, licenses, minhash, mixing, quality, sharding, suffixes, surrogates, warc
 from ionloom.llm.common import table
 
 QUERIES = {}
@@ -119,3 +119,19 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_suffix_dedup"] = op1_suffix_dedup
+
+
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for its personal data and secrets."""
+    return surrogates.replace_entities(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op5_surrogates"] = op5_surrogates
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families declared in every document."""
+    return licenses.document_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_licenses"] = op8_licenses
