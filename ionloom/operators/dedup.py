@@ -83,7 +83,7 @@ def dedup_rejects(df: DataFrame) -> DataFrame:
 
 
 def _seen(registry: DataFrame) -> DataFrame:
-    return registry.select("splash").distinct()
+    return registry.select("splash")
 
 
 def unseen(df: DataFrame, registry: DataFrame) -> DataFrame:

@@ -40,9 +40,8 @@ def one_per_key(lookup: DataFrame, key: str) -> DataFrame:
 def structure_table(compounds: DataFrame) -> DataFrame:
     """Compound table keyed by structure text: each row once under its InChI, once under its SMILES."""
     facts = F.struct(*[F.col(c) for c in DERIVED]).alias("facts")
-    rows = compounds.select(F.col("inchi").alias("structure"), facts).union(
-        compounds.select(F.col("smiles").alias("structure"), facts)
-    )
+    texts = F.array_distinct(F.array("inchi", "smiles"))
+    rows = compounds.select(F.explode(texts).alias("structure"), facts)
     return one_per_key(rows.filter(F.col("structure") != ""), "structure")
 
 

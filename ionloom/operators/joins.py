@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_LIMIT = 1000
@@ -26,21 +26,39 @@ def hot_keys(df: DataFrame, key: str, at_least: int = HOT_ROWS) -> DataFrame:
     )
 
 
+def null_apart(key: str, spread: str) -> Column:
+    """The text key, or for NULL a text that no key has and that differs from row to row."""
+    return F.coalesce(F.col(key), F.concat(F.lit("\u0000"), F.xxhash64(spread).cast("string")))
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
     how: str = "left",
     spread: str = "record_id",
-    at_least: int = HOT_ROWS,
+    at_least: int | None = None,
 ) -> DataFrame:
     """Join ``left`` with a lookup that has one row per ``key`` (``left``, ``left_anti``, ``left_semi``).
 
-    NULL keys never match, so each gets a salt of its own instead of meeting in one partition.
-    Rows of hot keys are spread over ``SALTS`` salts and only the hot lookup rows are copied. The
-    hot list is bounded, hence the broadcast; whether the lookup itself is broadcast is left
-    to the size statistics.
+    NULL keys never match, so each goes to a partition of its own choice instead of meeting in one.
+    A partition with a hot key is split by the adaptive skew join, for which one side with
+    unique keys is the easy case; whether the lookup is broadcast is left to the size statistics.
+    ``left`` is used once. With ``at_least`` hot keys are counted and salted instead: for sessions
+    without adaptive execution, at the price of computing ``left`` three times.
     """
+    if at_least is not None:
+        return salted_join(left, right, key, how, spread, at_least)
+    if left.schema[key].dataType.simpleString() != "string":
+        return left.join(right, key, how)
+    keyed = left.withColumn("_join", null_apart(key, spread))
+    lookup = right.filter(F.col(key).isNotNull()).withColumnRenamed(key, "_join")
+    return keyed.join(lookup, "_join", how).drop("_join")
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, how: str, spread: str, at_least: int) -> DataFrame:
+    """Rows of hot keys are spread over ``SALTS`` salts and only the hot lookup rows are copied. The
+    hot list is bounded, hence the broadcast."""
     hot = F.broadcast(hot_keys(left, key, at_least))
     scatter = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
     salted = (

@@ -96,6 +96,7 @@ class Params:
     de_novo: bool = False
     ppm_tolerance: float = 5.0
     annotation_pick: str = "first"
+    require_structure: bool = False
     register: str = "all"
     csv: bool = True
     msp: bool = True

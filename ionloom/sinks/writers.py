@@ -12,32 +12,38 @@ from ionloom.sinks.formats import csv_columns, json_columns, msp_record
 REGISTRY_SCHEMA = "splash string, batch_id bigint"
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_csv(df: DataFrame, path: str, mode: str = "append", folders: tuple[str, ...] = tuple(CLASSES)) -> None:
     """Tab-separated part files with header, one folder per class."""
-    df.select(*csv_columns(df), *CLASSES).write.mode(mode).partitionBy(*CLASSES).option("sep", "\t").option(
+    df.select(*csv_columns(df), *folders).write.mode(mode).partitionBy(*folders).option("sep", "\t").option(
         "header", True
     ).option("quote", '"').option("escape", '"').csv(path)
 
 
-def write_msp(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_msp(df: DataFrame, path: str, mode: str = "append", folders: tuple[str, ...] = tuple(CLASSES)) -> None:
     """MSP part files, records followed by a blank line."""
-    df.select(msp_record(df).alias("value"), *CLASSES).write.mode(mode).partitionBy(*CLASSES).option(
+    df.select(msp_record(df).alias("value"), *folders).write.mode(mode).partitionBy(*folders).option(
         "lineSep", "\n\n"
     ).text(path)
 
 
-def write_json(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_json(df: DataFrame, path: str, mode: str = "append", folders: tuple[str, ...] = tuple(CLASSES)) -> None:
     """JSON Lines part files, readable by the JSON source."""
-    df.select(*json_columns(df), *CLASSES).write.mode(mode).partitionBy(*CLASSES).json(path)
+    df.select(*json_columns(df), *folders).write.mode(mode).partitionBy(*folders).json(path)
 
 
-def write_spectra(df: DataFrame, out: str, params: Params = Params(), mode: str = "append") -> None:
-    if params.csv:
-        write_csv(df, f"{out}/CSV", mode)
-    if params.msp:
-        write_msp(df, f"{out}/MSP", mode)
-    if params.json:
-        write_json(df, f"{out}/JSON", mode)
+def write_spectra(df: DataFrame, out: str, params: Params = Params(), batch_id: int = 0) -> None:
+    """All formats that are switched on; a batch has its own folder, which a repeated run overwrites.
+
+    ``params.reset`` replaces the folders of all batches.
+    """
+    numbered = df.withColumn("batch_id", F.lit(batch_id))
+    for name, on, write in (
+        ("CSV", params.csv, write_csv), ("MSP", params.msp, write_msp), ("JSON", params.json, write_json)
+    ):
+        if on and params.reset:
+            write(numbered, f"{out}/{name}", "overwrite", ("batch_id", *CLASSES))
+        elif on:
+            write(df, f"{out}/{name}/batch_id={batch_id}", "overwrite")
 
 
 def write_rejects(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -55,3 +61,7 @@ def open_registry(spark: SparkSession, path: str, reset: bool = False) -> DataFr
 
 def append_registry(rows: DataFrame, path: str) -> None:
     rows.select("splash", F.col("batch_id").cast("bigint")).write.mode("append").parquet(path)
+
+
+def replace_registry(rows: DataFrame, path: str) -> None:
+    rows.select("splash", F.col("batch_id").cast("bigint")).write.mode("overwrite").parquet(path)

@@ -14,54 +14,62 @@ from ionloom.operators.instruments import InstrumentRule
 from ionloom.schema import COMPOUND_COLUMNS, ONTOLOGY_COLUMNS
 from ionloom.session import local_table
 
-# Field phrases per canonical column. Words may be joined by "", " ", "_" or "-".
-FIELD_PHRASES = {
-    "filename": ["filename", "comment:filename"],
+# The lower-case field names that fill each canonical column.
+FIELD_NAMES = {
+    "filename": ["comment:filename", "filename"],
     "filehash": ["filehash"],
     "predicted": ["predicted"],
-    "splash": ["splash", "pk$splash"],
-    "spectrumid": ["spectrum id", "accession", "compound id", "database id", "db", "db#", "dbid", "unpd id"],
+    "splash": ["pk$splash", "splash"],
+    "spectrumid": [
+        "accession", "compound id", "database-id", "db", "db#", "dbid", "spectrum_id", "spectrumid", "unpd_id",
+    ],
     "resolution": ["resolution"],
     "synon": ["synon"],
-    "ionization": ["ionization", "ion source", "ionimethod", "ac$mass_spectrometry:ionization"],
-    "mslevel": ["ms level", "spectrum type", "ac$mass_spectrometry:ms_type"],
+    "ionization": ["ac$mass_spectrometry:ionization", "ion_source", "ionimethod", "ionization"],
+    "mslevel": ["ac$mass_spectrometry:ms_type", "ms level", "ms_level", "mslevel", "spectrum_type"],
     "fragmentationmode": [
-        "fragmentation mode", "fragmenation method", "special fragmentation",
-        "ac$mass_spectrometry:fragmentation_mode",
+        "ac$mass_spectrometry:fragmentation_mode", "fragmenation_method", "fragmentationmode", "special_fragmentation",
     ],
-    "name": ["name", "compound name", "ch$name"],
+    "name": ["ch$name", "compound_name", "compoundname", "name", "submittecomputed_mass_erroname"],
     "precursormz": [
-        "precursor mz", "precursor m/z", "precursor mass", "precursor", "pepmass",
-        "ms$focused_ion:precursor_m/z",
+        "ms$focused_ion:precursor_m/z", "pepmass", "precursor", "precursor m/z", "precursor_mass", "precursor_mz",
+        "precursormass", "precursormz",
+    ],
+    "exactmass": ["exact_mass", "exactmass"],
+    "averagemass": ["averagemass"],
+    "precursortype": [
+        "adduct", "ms$focused_ion:precursor_type", "precursor type", "precursor_type", "precursortype",
+    ],
+    "instrumenttype": [
+        "ac$instrument_type", "instrument type", "instrument_type", "instrument-type", "instrumenttype",
+        "source_instrument",
     ],
-    "exactmass": ["exact mass"],
-    "averagemass": ["average mass"],
-    "precursortype": ["precursor type", "adduct", "ms$focused_ion:precursor_type"],
-    "instrumenttype": ["instrument type", "source instrument", "ac$instrument_type"],
-    "instrument": ["instrument", "ac$instrument"],
-    "smiles": ["smiles", "computed smiles", "ch$smiles"],
-    "inchi": ["inchi", "stdinchi", "computed inchi", "ch$iupac"],
-    "inchikey": ["inchikey", "inchi aux", "computed inchikey", "ch$link:inchikey"],
+    "instrument": ["ac$instrument", "instrument"],
+    "smiles": ["ch$smiles", "computed_smiles", "smiles"],
+    "inchi": ["ch$iupac", "computed_inchi", "inchi", "stdinchi"],
+    "inchikey": ["ch$link:inchikey", "computed_inchikey", "inchi_aux", "inchikey"],
     "collisionenergy": [
-        "collision energy", "collision energy level", "collision energy voltage", "colenergy",
-        "ac$mass_spectrometry:collision_energy",
+        "ac$mass_spectrometry:collision_energy", "colenergy", "collision energy", "collision_energy",
+        "collision-energy-level", "collision-energy-voltage", "collisionenergy",
     ],
-    "formula": ["formula", "molecular formula", "ch$formula"],
+    "formula": ["ch$formula", "formula"],
     "rt": [
-        "rt", "rt query", "rettime", "retention time", "rtinseconds", "ac$chromatography:retention_time",
+        "ac$chromatography:retention_time", "retention-time", "retentiontime", "rettime", "rt", "rt_query",
+        "rtinseconds",
     ],
     "ionmode": [
-        "ion mode", "ionization mode", "ionpol", "ionpolarity", "polarity", "ac$mass_spectrometry:ion_mode",
+        "ac$mass_spectrometry:ion_mode", "ion_mode", "ionization mode", "ionization-mode", "ionmode", "ionpol",
+        "ionpolarity", "polarity",
     ],
     "comment": ["comment", "comments"],
     "entropy": ["entropy"],
-    "classyfire_superclass": ["classyfire superclass"],
-    "classyfire_class": ["classyfire class"],
-    "classyfire_subclass": ["classyfire subclass"],
-    "npclass_pathway": ["npclass pathway"],
-    "npclass_superclass": ["npclass superclass"],
-    "npclass_class": ["npclass class"],
-    "num_peaks": ["num peaks"],
+    "classyfire_superclass": ["classyfire_superclass"],
+    "classyfire_class": ["classyfire_class"],
+    "classyfire_subclass": ["classyfire_subclass"],
+    "npclass_pathway": ["npclass_pathway"],
+    "npclass_superclass": ["npclass_superclass"],
+    "npclass_class": ["npclass_class"],
+    "num_peaks": ["num peaks", "num_peaks", "numpeaks"],
 }
 
 # Group names that are not plain formulas.
@@ -100,11 +108,8 @@ NEGATIVE_IONS = {
 
 
 def default_synonyms() -> dict[str, list[str]]:
-    """Canonical column -> lower-case field names, from the phrases and the word joiners."""
-    return {
-        column: sorted({j.join(p.split(" ")) for p in phrases for j in ("", " ", "_", "-")})
-        for column, phrases in FIELD_PHRASES.items()
-    }
+    """Canonical column -> lower-case field names."""
+    return {column: list(names) for column, names in FIELD_NAMES.items()}
 
 
 def _formula_mass(formula: str) -> float:

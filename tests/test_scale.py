@@ -83,3 +83,80 @@ def test_cleaning_is_one_narrow_stage(spark):
     schema = f"record_id bigint, filename string, instrumenttype string, precursormz string, peaks {PEAKS_TYPE}, deletion_reason string"
     df = spark.createDataFrame([(1, "f", "LC", "200", [(60.0, 1.0)], None)], schema)
     assert "Exchange" not in plan_of(accept_spectra(require_peaks(df)))
+
+
+def pipeline_input(spark):
+    from ionloom.plans import fixture as fx
+    from ionloom.plans.pipeline import fingerprint
+
+    return fingerprint(fx.spectra_raw(spark, SF_DIR).drop("source"))
+
+
+def test_describe_reads_each_table_once_per_lookup(spark):
+    from ionloom.operators.clean import accept_spectra, require_peaks
+    from ionloom.plans import fixture as fx
+    from ionloom.plans.pipeline import Lookups, describe
+    from ionloom.session import stage
+    from ionloom.sources.lookups import adduct_table
+
+    compounds = stage(fx.compounds(spark, SF_DIR), "compounds")
+    ontologies = stage(fx.ontologies(spark, SF_DIR), "ontologies")
+    spectra = pipeline_input(spark)
+    cleaned = stage(accept_spectra(require_peaks(spectra)), "cleaned")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = plan_of(describe(cleaned, Lookups(adduct_table(spark), compounds=compounds, ontologies=ontologies)))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert plan.count("FileScan") <= 6
+    assert plan.count("Exchange") - plan.count("ReusedExchange") <= 12
+
+
+def test_null_keys_are_spread(spark):
+    """A third of the keys is NULL: their rows get join keys of their own."""
+    from ionloom.operators.joins import null_apart
+
+    keys = hot_frame(spark).select(null_apart("k", "record_id").alias("j"), "k").filter("k is null")
+    assert keys.select("j").distinct().count() == keys.count()
+    left = hot_frame(spark)
+    right = spark.createDataFrame([("hot", 1), ("k2", 2), (None, 9)], "k string, v int")
+    for how in ("left", "left_semi", "left_anti"):
+        plain = left.join(right, "k", how)
+        ours = lookup_join(left, right, "k", how).select(plain.columns)
+        assert ours.exceptAll(plain).count() == 0 and plain.exceptAll(ours).count() == 0
+
+
+def test_run_that_broke_off_is_repeated(spark, tmp_path, monkeypatch):
+    """Outputs written but nothing registered: the next run has the same number and replaces them."""
+    from ionloom.plans import pipeline as pl
+    from ionloom.schema import Params
+    from ionloom.sources import readers as rd
+    from ionloom.sources.lookups import adduct_table
+
+    record = (
+        "NAME: s{k}\nPRECURSORMZ: {mz}\nPRECURSORTYPE: M+H\nIONMODE: P\nINSTRUMENTTYPE: LC-ESI-QTOF\n"
+        "INCHIKEY: AAAAAAAAAAAAA{letter}\nINCHI: InChI=1S/C6H12O6/c1\nSMILES: C(C1CO)OC\n60.1 10\n70.2 8\n80.3 {k}\n"
+    )
+    path = tmp_path / "in.msp"
+    path.write_text("\n".join(record.format(k=k, mz=200 + k, letter=chr(65 + k)) for k in range(3, 8)))
+    out, lookups, params = str(tmp_path / "out"), pl.Lookups(adduct_table(spark)), Params(csv=False, json=False)
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(pl.wr, "append_registry", broken)
+        try:
+            pl.run(spark, [str(path)], out, lookups, params)
+        except RuntimeError:
+            pass
+    assert rd.read_msp(spark, f"{out}/MSP").count() == 5
+    pl.run(spark, [str(path)], out, lookups, params)
+    assert rd.read_msp(spark, f"{out}/MSP").count() == 5
+    pl.run(spark, [str(path)], out, lookups, params)
+    assert rd.read_msp(spark, f"{out}/MSP").count() == 5
+    assert {r["batch_id"] for r in spark.read.parquet(f"{out}/REGISTRY").collect()} == {0}
