@@ -6,8 +6,12 @@ Every reader yields ``record_id``, the canonical columns as text, ``peaks`` and
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ SOURCES = ["msp", "csv", "json", "mgf"]
 SOURCE_STRIDE = 1 << 60
 BLANK_LINE = r"\r?\n[ \t\r]*\n"
 RAW_MAP = "map<string,string>"
+#: A line of a JSON array that holds one whole object, an array bracket, both, or nothing.
+OBJECT_LINE = r"^\ufeff?\s*\[?\s*(\{.*\}\s*,?)?\s*\]?\s*$"
 
 
 def provenance() -> list[Column]:
@@ -39,15 +45,38 @@ def record_id(source: str) -> Column:
     return F.lit(SOURCES.index(source) * SOURCE_STRIDE) + F.monotonically_increasing_id()
 
 
-def first_line(spark: SparkSession, path: str) -> str:
-    row = spark.read.option("lineSep", "\n").text(path).limit(1).head()
-    return row["value"] if row else ""
+class Heads(NamedTuple):
+    """What the first lines of a file say, per file."""
 
+    path: str
+    header: str
+    first_char: str
+    object_lines: bool
 
-def _by_format(spark: SparkSession, paths: list[str], test) -> dict[bool, list[str]]:
-    groups: dict[bool, list[str]] = {}
-    for path in paths:
-        groups.setdefault(test(first_line(spark, path)), []).append(path)
+
+def file_heads(spark: SparkSession, paths: str | list[str]) -> list[Heads]:
+    """First line, first non-blank character, and whether all lines hold whole JSON objects, of every
+    file under the paths, in one job. The list is as long as the scan's own file listing."""
+    text = spark.read.option("lineSep", "\n").text(paths).select("value", "_metadata.file_path")
+    numbered = text.withColumn("at", F.monotonically_increasing_id())
+    filled = F.when(F.trim(F.regexp_replace("value", r"\s+", "")) != "", F.col("at"))
+    rows = (
+        numbered.groupBy("file_path")
+        .agg(
+            F.min_by("value", "at").alias("header"),
+            F.min_by("value", filled).alias("first"),
+            F.min(F.col("value").rlike(OBJECT_LINE)).alias("object_lines"),
+        )
+        .collect()
+    )
+    heads = [Heads(r["file_path"], r["header"] or "", (r["first"] or "").lstrip("\ufeff \t\r")[:1], r["object_lines"]) for r in rows]
+    return sorted(heads)
+
+
+def _grouped(heads: list[Heads], kind) -> dict:
+    groups: dict = {}
+    for head in heads:
+        groups.setdefault(kind(head), []).append(head.path)
     return groups
 
 
@@ -58,20 +87,28 @@ def msp_records(text: DataFrame) -> DataFrame:
 
 
 def scan_msp(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per record. Line ends are taken from the first line of each path."""
-    paths = [paths] if isinstance(paths, str) else paths
+    """One row per record. Line ends are taken from the first line of each file."""
+    groups = _grouped(file_heads(spark, paths), lambda h: h.header.endswith("\r"))
     scans = [
-        spark.read.option("lineSep", "\r\n\r\n" if crlf else "\n\n").text(group)
-        for crlf, group in _by_format(spark, paths, lambda line: line.endswith("\r")).items()
+        spark.read.option("lineSep", "\r\n\r\n" if crlf else "\n\n").text(group) for crlf, group in groups.items()
     ]
-    return reduce(DataFrame.union, [msp_records(s) for s in scans])
+    return _together(spark, [msp_records(s) for s in scans], "value string, filename string, filehash string")
+
+
+def _together(spark: SparkSession, parts: list[DataFrame], schema: str) -> DataFrame:
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)
 
 
 def scan_mgf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per ``BEGIN IONS`` … ``END IONS`` block; an unterminated tail drops out."""
-    chunks = spark.read.option("lineSep", "BEGIN IONS").text(paths).select("value", *provenance())
-    closed = chunks.filter(F.contains("value", F.lit("END IONS")))
-    return closed.withColumn("value", F.substring_index("value", "END IONS", 1))
+    """One row per block that a line ``BEGIN IONS`` starts, with ``closed``; text before the first is skipped.
+
+    A block without a line ``END IONS`` is not closed: the next block, or the file, ended first.
+    """
+    chunks = spark.read.option("lineSep", "\nBEGIN IONS").text(paths).select("value", *provenance())
+    own = F.regexp_replace("value", r"^\ufeff?BEGIN IONS", "")
+    parts = F.split(own, r"\r?\n[ \t]*END IONS", 2)
+    blocks = chunks.select(parts[0].alias("value"), "filename", "filehash", (F.size(parts) > 1).alias("closed"))
+    return blocks.filter(F.col("closed") | F.col("value").rlike(r"(?m)^[^#;!/\n]*=|^\s*[0-9]"))
 
 
 def split_record(records: DataFrame) -> DataFrame:
@@ -130,8 +167,10 @@ def parse_msp(records: DataFrame, synonyms: dict[str, list[str]] | None = None)
 
 
 def parse_mgf(records: DataFrame, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
-    rows = split_record(records)
-    return _finish(_text_entries(rows, ps.mgf_entries(F.col("metadata_rows")), mine=False), "mgf", synonyms)
+    rows = _text_entries(split_record(records), ps.mgf_entries(F.col("metadata_rows")), mine=False)
+    if "closed" in records.columns:
+        rows = rows.withColumn("deletion_reason", F.when(F.col("closed"), F.col("deletion_reason")).otherwise("unparsable"))
+    return _finish(rows, "mgf", synonyms)
 
 
 def scan_json_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -140,24 +179,65 @@ def scan_json_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines.select(F.from_json("value", RAW_MAP).alias("raw"), "filename", "filehash")
 
 
-def scan_json_array(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Objects of top-level arrays. A JSON array cannot be split: one file is one task.
+def scan_json_object_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Arrays with one object per line: splittable, brackets and commas are taken off each line."""
+    lines = spark.read.text(paths).select("value", *provenance())
+    bare = F.regexp_replace(F.regexp_replace("value", r"^\ufeff?\s*\[?\s*", ""), r"\s*,?\s*\]?\s*$", "")
+    return lines.withColumn("value", bare).filter("value <> ''").select(
+        F.from_json("value", RAW_MAP).alias("raw"), "filename", "filehash"
+    )
 
-    Big libraries should come as JSON Lines.
-    """
+
+def array_objects(text: str) -> Iterator[str]:
+    """The elements of a top-level JSON array as texts. What can't be read up to the next element
+    that can is one text of its own."""
+    decoder = json.JSONDecoder()
+    at = text.find("[") + 1
+    while True:
+        while at < len(text) and text[at] in ", \t\r\n":
+            at += 1
+        if at >= len(text) or text[at] == "]":
+            return
+        try:
+            _, end = decoder.raw_decode(text, at)
+        except ValueError:
+            end = text.find("{", at + 1)
+            while end >= 0:
+                try:
+                    decoder.raw_decode(text, end)
+                    break
+                except ValueError:
+                    end = text.find("{", end + 1)
+            end = len(text) if end < 0 else end
+        yield text[at:end]
+        at = end
+
+
+def scan_json_array(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Objects of top-level arrays in a free layout, where one file is one task; an element that can't
+    be read is a NULL row. Big libraries should have one object per line."""
     files = spark.read.text(paths, wholetext=True).select("value", *provenance())
-    return files.select(F.explode(F.from_json("value", f"array<{RAW_MAP}>")).alias("raw"), "filename", "filehash")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, name, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                objects = list(array_objects(text))
+                columns = [objects, [name] * len(objects), [digest] * len(objects)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["value", "filename", "filehash"])
+
+    objects = files.mapInArrow(run, "value string, filename string, filehash string")
+    return objects.select(F.from_json("value", RAW_MAP).alias("raw"), "filename", "filehash")
 
 
 def scan_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Array or line reader per path, by the first non-blank character."""
-    paths = [paths] if isinstance(paths, str) else paths
-    groups = _by_format(spark, paths, lambda line: line.lstrip("\ufeff \t\r\n").startswith("["))
-    scans = [
-        scan_json_array(spark, group) if is_array else scan_json_lines(spark, group)
-        for is_array, group in groups.items()
-    ]
-    return reduce(DataFrame.union, scans)
+    """Array or line reader per file, by its first non-blank character and its lines."""
+    readers = {
+        (True, True): scan_json_object_lines, (True, False): scan_json_array,
+        (False, True): scan_json_lines, (False, False): scan_json_lines,
+    }
+    groups = _grouped(file_heads(spark, paths), lambda h: (h.first_char == "[", bool(h.object_lines)))
+    scans = [readers[kind](spark, group) for kind, group in groups.items()]
+    return _together(spark, scans, f"raw {RAW_MAP}, filename string, filehash string")
 
 
 def parse_json(records: DataFrame, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
@@ -206,10 +286,7 @@ def scan_csv(spark: SparkSession, paths: str | list[str], multiline: bool = True
     Quoted line breaks need ``multiline`` (one task per file); without them set it to False and
     the files are split.
     """
-    paths = [paths] if isinstance(paths, str) else paths
-    by_header: dict[str, list[str]] = {}
-    for path in paths:
-        by_header.setdefault(first_line(spark, path).rstrip("\r"), []).append(path)
+    by_header = _grouped(file_heads(spark, paths), lambda h: h.header.rstrip("\r"))
     scans = []
     for header, group in by_header.items():
         table = (
@@ -226,7 +303,9 @@ def scan_csv(spark: SparkSession, paths: str | list[str], multiline: bool = True
         text = next((c for c in (text, other) if c is not None), F.lit(None).cast("string"))
         entries = F.array(*[_entry(name, col) for name, col in named.items()])
         scans.append(table.select(entries.alias("own"), text.alias("peak_text"), *provenance()))
-    return reduce(DataFrame.union, scans)
+    return _together(
+        spark, scans, "own array<struct<key:string,value:string>>, peak_text string, filename string, filehash string"
+    )
 
 
 def parse_csv(records: DataFrame, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
@@ -257,12 +336,31 @@ def read_csv(spark: SparkSession, paths: str | list[str], synonyms=None, multili
     return parse_csv(scan_csv(spark, paths, multiline), synonyms)
 
 
+def library_files(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Paths by format: those with a known suffix as they are, others as folders, whose files are listed.
+
+    A file of no known format is an error and not silently left out.
+    """
+    groups: dict[str, list[str]] = {s: [] for s in SOURCES}
+    unknown = []
+
+    def route(path: str) -> bool:
+        suffix = path.rstrip("/").rpartition("/")[2].rpartition(".")[2].lower()
+        if suffix in groups:
+            groups[suffix].append(path)
+        return suffix in groups
+
+    for path in paths:
+        if not route(path):
+            listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").collect()
+            unknown += [r["path"] for r in listed if not route(r["path"])] if listed else [path]
+    if unknown or not any(groups.values()):
+        raise ValueError(f"no library format: {', '.join(sorted(unknown)[:10]) or 'no paths'}")
+    return groups
+
+
 def ingest(spark: SparkSession, paths: list[str], synonyms=None) -> DataFrame:
-    """Route paths by their case-sensitive suffix; union in the order MSP, CSV, JSON, MGF."""
+    """Route files by their suffix, folders file by file; union in the order MSP, CSV, JSON, MGF."""
     readers = {"msp": read_msp, "csv": read_csv, "json": read_json, "mgf": read_mgf}
-    parts = [
-        readers[s](spark, group, synonyms)
-        for s in SOURCES
-        if (group := [p for p in paths if p.rstrip("/").endswith(f".{s}")])
-    ]
+    parts = [readers[s](spark, group, synonyms) for s, group in library_files(spark, paths).items() if group]
     return reduce(lambda a, b: a.unionByName(b), parts)

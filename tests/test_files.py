@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from ionloom.functions import text as tx
@@ -56,7 +57,8 @@ def test_mgf(spark, tmp_path):
         "BEGIN IONS\nNAME=also good\nA:SMILES=CC=O\n81.1 6\nEND IONS\nBEGIN IONS\nNAME=tail\n82 7\n"
     )
     got = rows(rd.read_mgf(spark, str(path)), "rt", "smiles", "precursormz", "deletion_reason")
-    assert set(got) == {"bad", "good", "also good"}
+    assert set(got) == {"bad", "good", "also good", "tail"}
+    assert got["tail"]["deletion_reason"] == "unparsable"
     assert got["bad"]["deletion_reason"] == "unparsable"
     assert (got["good"]["rt"], got["good"]["precursormz"]) == ("42", "300.2 1000")
     assert got["also good"]["smiles"] == "CC=O"
@@ -140,3 +142,44 @@ def test_two_runs(spark, tmp_path):
     assert rd.read_msp(spark, f"{out}/MSP").count() == 5
     assert spectra(2, reset=True)[("spectra", "TOTAL/TOTAL/TOTAL")] == "5"
     assert rd.read_msp(spark, f"{out}/MSP").count() == 5
+
+
+def test_mgf_broken_blocks(spark, tmp_path):
+    """Unclosed blocks are rejected one by one; marker words inside a line are text."""
+    path = tmp_path / "broken.mgf"
+    path.write_text(
+        "# made by a tool\nBEGIN IONS\nNAME=open\n80.1 5\nBEGIN IONS\nNAME=closed\nCOMMENT=BEGIN IONS and END IONS\n80.1 5\nEND IONS\n"
+    )
+    got = rows(rd.read_mgf(spark, str(path)), "deletion_reason")
+    assert {k: v["deletion_reason"] for k, v in got.items()} == {"open": "unparsable", "closed": None}
+
+
+def test_json_files_are_read_by_their_own_kind(spark, tmp_path):
+    folder = tmp_path / "lib.json"
+    folder.mkdir()
+    (folder / "a.json").write_text('\n[{"name": "a", "peaks": [[79.05, 1]]},\n{"name": broken},\n{"name": "b", "peaks": [[80, 1]]}]\n')
+    (folder / "b.json").write_text('[ {"name": "c",\n "peaks": [[81, 1]]}, {"name": oops, "x": 1}, {"name":\n "d", "peaks": [[82, 1]]} ]')
+    (folder / "c.json").write_text('{"name": "e", "peaks": [[83, 1]]}\nnonsense\n')
+    out = rd.read_json(spark, str(folder)).select("name", "deletion_reason").collect()
+    assert sorted(r["name"] for r in out if r["deletion_reason"] is None) == ["a", "b", "c", "d", "e"]
+    assert sum(r["deletion_reason"] == "unparsable" for r in out) == 3
+
+
+def test_csv_folder_with_several_headers(spark, tmp_path):
+    folder = tmp_path / "lib.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("name;ionmode;peaks\nx;positive;79.05 1\n")
+    (folder / "b.csv").write_text("ionmode;name;peaks\nnegative;y;80 1\n")
+    (folder / "c.csv").write_text("name\tpeaks\tionmode\nz\t81 1\tpositive\n")
+    got = {r["name"]: (r["ionmode"], r["n"]) for r in rd.read_csv(spark, str(folder)).select("name", "ionmode", F.size("peaks").alias("n")).collect()}
+    assert got == {"x": ("positive", 1), "y": ("negative", 1), "z": ("positive", 1)}
+
+
+def test_ingest_folder_and_unknown_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.MSP").write_text("NAME: m\n50 1\n60 2\n")
+    (tmp_path / "in" / "b.mgf").write_text("BEGIN IONS\nNAME=g\n50 1\nEND IONS\n")
+    assert {r["name"] for r in rd.ingest(spark, [str(tmp_path / "in")]).collect()} == {"m", "g"}
+    (tmp_path / "in" / "notes.txt").write_text("not a library")
+    with pytest.raises(ValueError, match="notes.txt"):
+        rd.ingest(spark, [str(tmp_path / "in")])
