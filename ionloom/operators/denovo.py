@@ -27,6 +27,9 @@ HC_MIN, HC_MAX = 0.2, 3.0
 RATIO_MAX = {"O": 1.2, "N": 1.3, "P": 0.3, "S": 0.8}
 BIN_WIDTH = 0.01
 H_MASS = MONOISOTOPIC["H"]
+RESIDUES = 100
+RESIDUE_WIDTH = H_MASS / RESIDUES
+RESIDUE_SLACK = 1e-6
 
 
 def count_of(symbol: str) -> Column:
@@ -56,15 +59,15 @@ def largest_targets(df: DataFrame, params: Params = Params()) -> DataFrame:
     )
 
 
-def subformula_candidates(formulas: DataFrame, limits: DataFrame) -> DataFrame:
-    """Every composition up to the formula's counts and the mass limit.
+def compositions(formulas: DataFrame, limits: DataFrame, symbols: list[str]) -> DataFrame:
+    """Every composition of the given atoms up to the formula's counts and the mass limit.
 
     One explode per atom, heaviest first, each bounded by the remaining mass. Before the carbon
     level the rows are spread, so a formula with very many compositions does not stay in one task.
     """
     out = formulas.join(limits, "formula").withColumn("mass", F.lit(0.0))
     shuffle_width = int(formulas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for symbol in HEAVIEST_FIRST:
+    for symbol in symbols:
         if symbol == "C":
             out = out.repartition(shuffle_width, "formula", *[f"n_{s}" for s in ("N", "O", "S", "P")])
         mass = MONOISOTOPIC[symbol]
@@ -73,9 +76,23 @@ def subformula_candidates(formulas: DataFrame, limits: DataFrame) -> DataFrame:
         out = out.withColumn(
             f"n_{symbol}", F.explode(F.when(top >= 0, F.sequence(F.lit(0), top)).otherwise(F.array().cast("array<int>")))
         ).withColumn("mass", F.col("mass") + count_of(symbol) * F.lit(mass))
+    return out
+
+
+def subformula_candidates(formulas: DataFrame, limits: DataFrame) -> DataFrame:
+    """The whole lattice, hydrogens included; the annotation itself solves for the hydrogens."""
+    out = compositions(formulas, limits, HEAVIEST_FIRST)
     return out.select("formula", "is_simple", "max_C", "mass", *[f"n_{s}" for s in HEAVIEST_FIRST])
 
 
+def heavy_compositions(formulas: DataFrame, limits: DataFrame) -> DataFrame:
+    """Compositions without their hydrogens: the part of the lattice that has to be enumerated."""
+    symbols = [s for s in HEAVIEST_FIRST if s != "H"]
+    return compositions(formulas, limits, symbols).select(
+        "formula", "is_simple", "max_C", "max_H", "mass", *[f"n_{s}" for s in symbols]
+    )
+
+
 def hydrogen_ratio_ok() -> Column:
     return (count_of("H") / count_of("C")).between(HC_MIN, HC_MAX)
 
@@ -147,6 +164,35 @@ def annotate_range_join(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
+def residue_bins(low: Column, high: Column) -> Column:
+    """Bins of the masses between two bounds modulo the mass of hydrogen; edges count for both sides."""
+    first, last = F.floor(low / RESIDUE_WIDTH - RESIDUE_SLACK), F.floor(high / RESIDUE_WIDTH + RESIDUE_SLACK)
+    spread = F.sequence(first, F.least(last, first + RESIDUES - 1))
+    return F.array_distinct(F.transform(spread, lambda b: F.pmod(b, F.lit(RESIDUES))))
+
+
+def match_hydrogens(targets: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Plausible compositions in a target window, with the ppm error.
+
+    A composition of heavy atoms meets only targets from which it differs by whole hydrogens: both
+    sides join on the formula and the mass modulo the mass of hydrogen. The hydrogens then follow
+    from the window, within the bounds of the formula and of the plausibility rules.
+    """
+    binned = targets.withColumn("bin", F.explode(residue_bins(F.col("lo"), F.col("hi"))))
+    own = F.pmod(F.floor(F.col("mass") / RESIDUE_WIDTH), F.lit(RESIDUES))
+    joined = binned.join(heavy.withColumn("bin", own), ["formula", "bin"]).withColumnRenamed("mass", "_heavy")
+    fewest = F.greatest(F.floor((F.col("lo") - F.col("_heavy")) / H_MASS), F.lit(0))
+    most = F.least(F.ceil((F.col("hi") - F.col("_heavy")) / H_MASS), F.col("max_H"))
+    counts = F.when(fewest <= most, F.sequence(fewest.cast("int"), most.cast("int")))
+    solved = joined.withColumn("n_H", F.explode(counts)).withColumn("mass", F.col("_heavy") + count_of("H") * F.lit(H_MASS))
+    return (
+        solved.filter((F.col("mass") >= F.col("lo")) & (F.col("mass") <= F.col("hi")))
+        .filter(plausible())
+        .withColumn("error_ppm", F.round((F.col("mass") - F.col("target")) / F.col("target") * 1_000_000, 2))
+        .drop("bin", "_heavy", "max_H")
+    )
+
+
 def best_annotation(hits: DataFrame, pick: str = "first") -> DataFrame:
     """One formula per (formula, m/z): first in search order, or the closest mass."""
     counts = F.array(*[count_of(s) for s in HEAVIEST_FIRST])
@@ -160,8 +206,8 @@ def best_annotation(hits: DataFrame, pick: str = "first") -> DataFrame:
 
 
 def annotations(df: DataFrame, params: Params = Params()) -> DataFrame:
-    candidates = subformula_candidates(parse_formula(df), largest_targets(df, params)).filter(plausible())
-    return best_annotation(annotate_range_join(peak_targets(df, params), candidates), params.annotation_pick)
+    heavy = heavy_compositions(parse_formula(df), largest_targets(df, params))
+    return best_annotation(match_hydrogens(peak_targets(df, params), heavy), params.annotation_pick)
 
 
 def annotate_peaks(df: DataFrame, params: Params = Params()) -> DataFrame:

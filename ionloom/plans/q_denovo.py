@@ -47,9 +47,9 @@ def hill_formula(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dn.annotate_range_join(
-        dn.peak_targets(fx.denovo_spectra(spark, sf_dir)), _candidates(spark, sf_dir).filter(dn.plausible())
-    )
+    df = fx.denovo_spectra(spark, sf_dir)
+    heavy = dn.heavy_compositions(dn.parse_formula(df), dn.largest_targets(df))
+    return dn.match_hydrogens(dn.peak_targets(df), heavy)
 
 
 def annotate_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:

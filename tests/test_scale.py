@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ionloom.operators import dedup as dd
 from ionloom.operators.joins import SALTS, lookup_join
 from ionloom.plans import q_denovo, q_library, q_peaks
-from ionloom.schema import PEAKS_TYPE
+from ionloom.schema import PEAKS_TYPE, Params
 from ionloom.streaming.incremental import msp_stream, start_incremental
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -133,7 +133,6 @@ def test_null_keys_are_spread(spark):
 def test_run_that_broke_off_is_repeated(spark, tmp_path, monkeypatch):
     """Outputs written but nothing registered: the next run has the same number and replaces them."""
     from ionloom.plans import pipeline as pl
-    from ionloom.schema import Params
     from ionloom.sources import readers as rd
     from ionloom.sources.lookups import adduct_table
 
@@ -160,3 +159,22 @@ def test_run_that_broke_off_is_repeated(spark, tmp_path, monkeypatch):
     pl.run(spark, [str(path)], out, lookups, params)
     assert rd.read_msp(spark, f"{out}/MSP").count() == 5
     assert {r["batch_id"] for r in spark.read.parquet(f"{out}/REGISTRY").collect()} == {0}
+
+
+def test_fragment_search_of_a_large_formula(spark):
+    """Only heavy atoms are enumerated; the hits are those of the whole lattice."""
+    from ionloom.operators import denovo as dn
+
+    schema = "record_id bigint, formula string, peaks array<struct<mz:double,intensity:double>>"
+    large = spark.createDataFrame([(1, "C60H90N10O30S2", [(400.0 + 7 * k, 1.0) for k in range(150)])], schema)
+    heavy = dn.heavy_compositions(dn.parse_formula(large), dn.largest_targets(large))
+    assert heavy.count() < 200_000
+    assert dn.match_hydrogens(dn.peak_targets(large), heavy).count() < 200_000
+    small = spark.createDataFrame([(1, "C9H13N3O5S", [(30.0 + 0.013 * k, 1.0) for k in range(4000)]), (2, "CHCl3", [(84.9611, 1.0)])], schema)
+    wide = Params(ppm_tolerance=300.0)
+    formulas, limits, targets = dn.parse_formula(small), dn.largest_targets(small, wide), dn.peak_targets(small, wide)
+    columns = ["formula", "mz", "error_ppm", "mass", *[f"n_{s}" for s in dn.HEAVIEST_FIRST]]
+    whole = dn.annotate_range_join(targets, dn.subformula_candidates(formulas, limits).filter(dn.plausible())).select(columns)
+    ours = dn.match_hydrogens(targets, dn.heavy_compositions(formulas, limits)).select(columns)
+    assert whole.count() > 50
+    assert whole.exceptAll(ours).count() == 0 and ours.exceptAll(whole).count() == 0
