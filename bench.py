@@ -17,7 +17,7 @@ from ionloom.operators import enrich as en
 from ionloom.operators.clean import accept_spectra, require_peaks
 from ionloom.operators.denovo import annotate_peaks
 from ionloom.plans import fixture as fx
-from ionloom.plans.pipeline import Lookups, curate
+from ionloom.plans.pipeline import Lookups, curate, describe, fingerprint
 from ionloom.session import new_path, stage
 from ionloom.sinks.writers import write_spectra
 from ionloom.sources.lookups import adduct_table
@@ -69,6 +69,7 @@ def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "copies": copies,
         "registry": stage(copies.filter("record_id % 2 = 0").select("splash").distinct(), "registry"),
         "described": raw.withColumns(masses),
+        "cleaned": stage(accept_spectra(require_peaks(fingerprint(fx.spectra_raw(spark, sf_dir).drop("source")))), "cleaned"),
         "compounds": stage(fx.compounds(spark, sf_dir), "compounds"),
         "ontologies": stage(fx.ontologies(spark, sf_dir), "ontologies"),
         "denovo": stage(fx.denovo_spectra(spark, sf_dir).repartition(int(CPUS)), "denovo"),
@@ -88,6 +89,9 @@ STEPS = {
     "enrich": lambda t: drain(
         en.enrich_ontology(en.enrich_compounds(t["described"], t["compounds"]), t["ontologies"])
     ),
+    "describe": lambda t: drain(
+        describe(t["cleaned"], Lookups(adduct_table(t["raw"].sparkSession), compounds=t["compounds"], ontologies=t["ontologies"]))
+    ),
     "denovo": lambda t: drain(annotate_peaks(t["denovo"])),
 }
 

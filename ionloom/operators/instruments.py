@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.functions.text import clean_instrument_text
+from ionloom.session import local_table
 
 LEVELS = ["brand", "model", "spectrum_type", "instrument_type", "ionisation"]
 NO_MATCH = "not found"
 PATH_MARK = " > "
 RESOLUTIONS = ["high", "low", "unknown"]
+#: Rules up to this number become literal patterns of a narrow projection; more become a table.
+LITERAL_RULES = 200
 
 
 class InstrumentRule(NamedTuple):
@@ -55,13 +58,17 @@ def has_word(text: Column, key: str) -> Column:
 def match_instrument(df: DataFrame, rules: list[InstrumentRule]) -> DataFrame:
     """Add one column per level with the first key found as a whole word, else ``not found``.
 
-    A path that leaves the tree turns every deeper level NULL. The rules are configuration, so
-    they become literal patterns: the match is a narrow projection without a join.
+    A path that leaves the tree turns every deeper level NULL. A few rules become literal patterns:
+    the match is a narrow projection without a join. Many are matched as a table, on distinct texts.
     """
     text = F.concat(
         F.lit(". "), clean_instrument_text(F.col("instrument"), F.col("instrumenttype"), F.col("comment")), F.lit(" .")
     )
     out = df.withColumn("instrument_text", text)
+    if len(rules) > LITERAL_RULES:
+        texts = out.select(F.col("instrument_text").alias("_text")).distinct()
+        matched = match_by_table(texts, rules)
+        return out.join(matched, F.col("instrument_text").eqNullSafe(F.col("_text")), "left").drop("_text")
     tree = _children(rules)
     for depth, level in enumerate(LEVELS):
         branch: Column | None = None
@@ -79,6 +86,28 @@ def match_instrument(df: DataFrame, rules: list[InstrumentRule]) -> DataFrame:
     return out
 
 
+def match_by_table(texts: DataFrame, rules: list[InstrumentRule]) -> DataFrame:
+    """The same match on distinct texts (``_text``): per level a join on the path so far, then the first
+    of its keys, in rule order, that the text has as a word."""
+    out = texts.withColumn("instrument_path", F.lit(""))
+    nodes: dict[int, list[tuple]] = {}
+    for path, keys in _children(rules).items():
+        nodes.setdefault(len(path), []).append((_path(path), keys, [bool(re.fullmatch(r"[\w ]+", k)) for k in keys]))
+    for depth, level in enumerate(LEVELS):
+        table = local_table(texts.sparkSession, nodes[depth], ["_parent", "_keys", "_plain"])
+        joined = out.join(table, F.col("instrument_path") == F.col("_parent"), "left")
+
+        def present(entry: Column) -> Column:
+            pattern = F.concat(F.lit(r"(\b|^|$)"), entry["_keys"], F.lit(r"(\b|^|$)"))
+            return (~entry["_plain"] | F.contains("_text", entry["_keys"])) & F.rlike("_text", pattern)
+
+        found = F.get(F.filter(F.arrays_zip("_keys", "_plain"), present), F.lit(0))["_keys"]
+        joined = joined.withColumn(level, F.when(F.col("_parent").isNotNull(), F.coalesce(found, F.lit(NO_MATCH))))
+        trail = F.concat("instrument_path", F.lit(PATH_MARK), level) if depth else F.col(level)
+        out = joined.withColumn("instrument_path", trail).drop("_parent", "_keys", "_plain")
+    return out.select("_text", *LEVELS, "instrument_path")
+
+
 def assign_resolution(df: DataFrame, rules: list[InstrumentRule]) -> DataFrame:
     """Write instrument, type, resolution and ionisation of the matched leaf; keep unmatched rows."""
     leaves: dict[str, dict[str, str]] = {}
@@ -90,8 +119,14 @@ def assign_resolution(df: DataFrame, rules: list[InstrumentRule]) -> DataFrame:
         if any(r in options for r in RESOLUTIONS)
     }
     usable = {path: text for path, text in table.items() if text.count(",") >= 2}
-    solutions = F.create_map(*[F.lit(x) for x in chain.from_iterable(usable.items())])
-    parts = F.split(F.try_element_at(solutions, F.col("instrument_path")), ",")
+    if len(usable) > LITERAL_RULES:
+        table = local_table(df.sparkSession, list(usable.items()), ["_path", "_solution"])
+        df = df.join(table, F.col("instrument_path") == F.col("_path"), "left").drop("_path")
+        solution = F.col("_solution")
+    else:
+        solutions = F.create_map(*[F.lit(x) for x in chain.from_iterable(usable.items())])
+        solution = F.try_element_at(solutions, F.col("instrument_path"))
+    parts = F.split(solution, ",")
 
     def part(i: int) -> Column:
         return F.trim(F.get(F.col("_parts"), F.lit(i)))
@@ -107,7 +142,7 @@ def assign_resolution(df: DataFrame, rules: list[InstrumentRule]) -> DataFrame:
                 "ionization": F.coalesce(source, F.col("ionization")),
             }
         )
-        .drop("_parts", "instrument_path")
+        .drop("_parts", "_solution", "instrument_path")
     )
 
 

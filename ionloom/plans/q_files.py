@@ -167,9 +167,13 @@ def detect_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records whose file hash is the SHA-256 of a decimal number, i.e. 64 hex digits."""
-    records = rd.scan_msp(spark, _write_msp(spark, sf_dir))
-    good = F.col("filehash").rlike("^[0-9a-f]{64}$") & F.col("filename").rlike("^part-")
+    """Records whose file name and hash (SHA-256 of the file's decimal size) are those of a listed file."""
+    path = _write_msp(spark, sf_dir)
+    listed = spark.read.format("binaryFile").load(path).select(
+        F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2(F.col("length").cast("string"), 256).alias("expected")
+    )
+    records = rd.scan_msp(spark, path).join(listed, "filename", "left")
+    good = F.coalesce(F.col("filehash") == F.col("expected"), F.lit(False))
     return records.groupBy(good.alias("has_provenance")).agg(F.count(F.lit(1)).alias("records"))
 
 
@@ -500,15 +504,19 @@ _add("write_csv_roundtrip", write_csv_roundtrip, _TYPED, _BACK)
 _add("write_json_roundtrip", write_json_roundtrip, _TYPED, _BACK)
 
 
+def _record_number() -> Column:
+    return F.substr(F.col("SPECTRUMID"), F.lit(3)).cast("bigint").alias("record_id")
+
+
 def write_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two appends, then rows per class; the overwrite in front leaves nothing behind."""
+    """An append, an overwrite that leaves nothing of it, and an append; every row with its class folder."""
     path = new_path(spark, "out-modes")
     df = _classed(spark, sf_dir)
     wr.write_csv(df, path, "append")
     wr.write_csv(df.filter("record_id % 2 = 0"), path, "overwrite")
     wr.write_csv(df.filter("record_id % 2 = 1"), path, "append")
     rows = spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    return rows.groupBy("polarity", "chromatography", "origin").agg(F.count(F.lit(1)).alias("spectra"))
+    return rows.select(_record_number(), F.col("NAME").alias("name"), "polarity", "chromatography", "origin")
 
 
 def reject_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -518,14 +526,14 @@ def reject_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     wr.write_rejects(df.filter("deletion_reason is not null"), path)
     rows = spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').csv(path)
-    return rows.groupBy("deletion_reason").agg(F.count(F.lit(1)).alias("spectra"))
+    return rows.select(_record_number(), F.col("NAME").alias("name"), "deletion_reason")
 
 
 _add("write_modes", write_modes, _TYPED,
-     "SELECT polarity, chromatography, origin, count(*) AS spectra FROM cls GROUP BY ALL")
+     "SELECT record_id, coalesce(nullif(name, ''), 'NOT FOUND') AS name, polarity, chromatography, origin FROM cls")
 _add("reject_sink", reject_sink, RAW,
-     "SELECT CASE WHEN len(peaks) = 0 THEN 'no_peaks' ELSE 'min_peaks' END AS deletion_reason, count(*) AS spectra FROM raw "
-     "WHERE len(peaks) < 3 GROUP BY 1")
+     "SELECT record_id, coalesce(nullif(name, ''), 'NOT FOUND') AS name, CASE WHEN len(peaks) = 0 THEN 'no_peaks' ELSE 'min_peaks' END "
+     "AS deletion_reason FROM raw WHERE len(peaks) < 3")
 
 
 # --- streaming ------------------------------------------------------------------------------
@@ -551,9 +559,14 @@ _add("stream_incremental", stream_incremental, [*RAW, *orc.splash("raw")],
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First copy per key: every key stays, with one row."""
-    df = with_splash(fx.spectra_with_copies(spark, sf_dir, ["inchikey", "comment"]))
-    kept = first_copies(df)
+    """First copy per key, as a stream: every key stays, with one row."""
+    base = new_path(spark, "stream-dedup")
+    copies = with_splash(fx.spectra_with_copies(spark, sf_dir, ["inchikey", "comment"])).select("splash", "inchikey")
+    copies.write.parquet(f"{base}/in")
+    arriving = spark.readStream.schema(copies.schema).parquet(f"{base}/in")
+    sink = first_copies(arriving).writeStream.format("parquet").option("path", f"{base}/out")
+    sink.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.schema(copies.schema).parquet(f"{base}/out")
     return kept.groupBy("splash", "inchikey").agg(F.count(F.lit(1)).alias("n"))
 
 

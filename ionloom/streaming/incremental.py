@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ionloom.operators import dedup as dd
+from ionloom.plans.pipeline import Lookups, run
+from ionloom.schema import Params
 from ionloom.sinks.writers import append_registry, open_registry
 from ionloom.sources.readers import msp_records, parse_msp
 
@@ -67,3 +69,36 @@ def _land(batch: DataFrame, out: str, batch_id: int) -> str:
     path = f"{out}/landing/batch_id={batch_id}"
     batch.write.mode("overwrite").parquet(path)
     return path
+
+
+BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def library_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """Paths of new library files of any format in a folder; the files are not read here."""
+    reader = spark.readStream.format("binaryFile").schema(BINARY_SCHEMA).option("recursiveFileLookup", True)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(folder).select("path")
+
+
+def start_curation(
+    files: DataFrame, out: str, checkpoint: str, lookups: Lookups | None = None, params: Params = Params()
+) -> StreamingQuery:
+    """The batch run on the new files of every micro-batch: cleaning, rejects, report and registry.
+
+    The number of the micro-batch is that of the run, so a replay replaces what it wrote and
+    registers nothing twice. Only the list of a batch's files passes through the driver.
+    """
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        paths = sorted(r["path"] for r in batch.collect())
+        if paths:
+            run(batch.sparkSession, paths, out, lookups, params, batch_id)
+
+    return (
+        files.writeStream.foreachBatch(process)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -178,3 +178,64 @@ def test_fragment_search_of_a_large_formula(spark):
     ours = dn.match_hydrogens(targets, dn.heavy_compositions(formulas, limits)).select(columns)
     assert whole.count() > 50
     assert whole.exceptAll(ours).count() == 0 and ours.exceptAll(whole).count() == 0
+
+
+def test_streamed_curation_equals_the_batch_run(spark, tmp_path):
+    """All formats and rejects: one micro-batch gives what one run gives, row by row; a second adds what is new."""
+    from ionloom.plans.pipeline import Lookups, run
+    from ionloom.sources.lookups import adduct_table
+    from ionloom.streaming.incremental import library_stream, start_curation
+
+    record = "NAME: s{k}\nPRECURSORMZ: {mz}\nPRECURSORTYPE: M+H\nIONMODE: P\nINSTRUMENTTYPE: LC-ESI-QTOF\nINCHIKEY: AAAAAAAAAAAAA{c}\nSMILES: C(C1CO)OC\n60.1 10\n70.2 8\n80.3 {k}\n"
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.msp").write_text("\n".join(record.format(k=k, mz=200 + k, c=chr(65 + k)) for k in (3, 4, 4, 5)) + "\nNAME: empty\n")
+    (source / "b.mgf").write_text("BEGIN IONS\nNAME=g\nPEPMASS=300\nION=x\n60.1 1\n70.1 9\n80.1 5\nEND IONS\n")
+    (source / "c.json").write_text('[{"name": "j", "peaks": [[60.5, 1], [61.5, 2], [62.5, 3]], "smiles": "CC"}]')
+    lookups = Lookups(adduct_table(spark))
+
+    def outcome(out):
+        sides = {"kept": f"{out}/CSV", "rejected": f"{out}/REJECTS"}
+        rows = {}
+        for side, path in sides.items():
+            table = spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+            rows[side] = sorted(tuple(str(r[c]) for c in sorted(table.columns)) for r in table.collect())
+        return rows
+
+    params = Params(msp=False, json=False)
+    run(spark, [str(source)], str(tmp_path / "batch"), lookups, params)
+    stream = str(tmp_path / "stream")
+
+    def advance():
+        start_curation(library_stream(spark, str(source)), stream, str(tmp_path / "checkpoint"), lookups, params).awaitTermination()
+
+    advance()
+    first = outcome(stream)
+    assert first == outcome(str(tmp_path / "batch")) and first["kept"] and first["rejected"]
+    (source / "d.msp").write_text("\n".join(record.format(k=k, mz=200 + k, c=chr(65 + k)) for k in (5, 6)))
+    advance()
+    assert len(outcome(stream)["kept"]) == len(first["kept"]) + 1
+    assert {r["batch_id"] for r in spark.read.parquet(f"{stream}/REGISTRY").collect()} == {0, 1}
+
+
+def test_many_instrument_rules_are_a_table(spark, monkeypatch):
+    """The table gives what the literal patterns give, and thousands of rules plan quickly."""
+    import time
+
+    from ionloom.operators import instruments as ins
+    from ionloom.sources.lookups import DEFAULT_INSTRUMENTS
+
+    texts = ["Thermo Q Exactive", "Sciex QQQ qtof esi high", "Agilent 6530 Q-TOF ESI", "waters GC EI qtof", "", None, "LTQ thermo it esi"]
+    df = spark.createDataFrame([(i, t, t, None) for i, t in enumerate(texts)], "record_id bigint, instrument string, instrumenttype string, comment string")
+    df = df.withColumns({"resolution": F.lit(None).cast("string"), "ionization": F.lit(None).cast("string")})
+    literal = ins.normalize_instruments(df, DEFAULT_INSTRUMENTS)
+    monkeypatch.setattr(ins, "LITERAL_RULES", 0)
+    table = ins.normalize_instruments(df, DEFAULT_INSTRUMENTS).select(literal.columns)
+    assert sorted(map(repr, literal.collect())) == sorted(map(repr, table.collect()))
+    monkeypatch.undo()
+    many = [
+        ins.InstrumentRule(f"brand{i % 50}", f"model{i}", "not found", "qtof", "esi", "high", f"M{i}, LC-ESI-QTOF, high") for i in range(5000)
+    ]
+    start = time.perf_counter()
+    plan_of(ins.normalize_instruments(df, many))
+    assert time.perf_counter() - start < 5
