@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 _U = np.uint64
 
 
@@ -93,7 +93,9 @@ def powers(seed: int, n: int, inverse: bool = False) -> np.ndarray:
         base = pow(base, -1, 1 << 64) if inverse else base
         steps = np.full(max(n, BLOCK_BYTES + 1), base, dtype=np.uint64)
         steps[0] = 1
-        known = _powers[seed, inverse] = np.multiply.accumulate(steps)
+        known = np.multiply.accumulate(steps)
+        if len(known) <= 8 * BLOCK_BYTES:  # those of a rare huge row are not kept
+            _powers[seed, inverse] = known
     return known[:n]
 
 

@@ -309,7 +309,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             edges = [0, *(x for span in cut for x in span), len(text)]
             kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
             rows.append((len(text), len(text) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), [{"begin": a, "end": b} for a, b in cut]))
-            kept_bytes.append(kept)
+            if with_bytes:
+                kept_bytes.append(kept)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), removed]
         columns = zip(*rows, strict=True) if rows else [[]] * 5
         out = {c.split()[0]: pa.array(v, t) for c, v, t in zip(spec.replace("array<struct<begin:bigint,end:bigint>>", "a").split(", "), columns, types, strict=True)}
