@@ -36,22 +36,26 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signo
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Signor", "господин", "Господин")
 TITLE = rf"\b(?:{'|'.join(sorted(FEMALE + MALE, key=len, reverse=True))})\b\.?"
 LABEL = r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)"
-#: Kinds in order of precedence; the first that matches at a place wins.
+MAIL = "A-Za-z0-9._%+-"
+#: Kinds in order of precedence; the first that matches at a place wins. Each begins with a test of the next or the
+#: last character, which rules out nearly all places before the search for labels, titles or long runs begins.
 PATTERNS = {
-    "secret": rf"(?<=(?i:{LABEL})[\"']{{0,1}}[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']{{0,1}})[^\s\"'`,;<>(){{}}\[\]]{{6,}}",
-    "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,5}\.[A-Za-z]{2,24}",
-    "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[opsu]_[A-Za-z0-9]{36,255}\b|\bsk-[A-Za-z0-9_-]{20,200}|\bxox[abprs]-[A-Za-z0-9-]{10,200}|\bAIza[0-9A-Za-z_-]{35}",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "ip": rf"(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.\d)",
-    "card": r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|-\d)",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
-    r"|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
-    "name": rf"{TITLE}\s\p{{Lu}}[\p{{L}}'’-]{{1,40}}(?:\s\p{{Lu}}[\p{{L}}'’-]{{1,40}}){{0,2}}",
+    "secret": rf"(?<=[=:\"' \t])(?<=[=:][ \t]{{0,3}}[\"']{{0,1}})"
+    rf"(?<=(?i:{LABEL})[\"']{{0,1}}[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']{{0,1}})[^\s\"'`,;<>(){{}}\[\]]{{6,}}",
+    "email": rf"(?<![{MAIL}])[{MAIL}]{{1,256}}+@[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,5}}\.[A-Za-z]{{2,24}}",
+    "key": r"(?=[Agsx])\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}\b|gh[opsu]_[A-Za-z0-9]{36,255}\b|sk-[A-Za-z0-9_-]{20,200}|xox[abprs]-[A-Za-z0-9-]{10,200}"
+    r"|AIza[0-9A-Za-z_-]{35})",
+    "iban": r"(?=[A-Z])\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "ssn": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "ip": rf"(?=\d)(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.\d)",
+    "card": r"(?=\d)(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|-\d)",
+    "phone": r"(?=[+(\d])(?:(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
+    r"|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))",
+    "name": rf"(?=[MHFSгГ]){TITLE}\s\p{{Lu}}[\p{{L}}'’-]{{1,40}}(?:\s\p{{Lu}}[\p{{L}}'’-]{{1,40}}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity holds one of these.
-HINT = rf"[0-9@]|(?i:{LABEL})|{TITLE}"
+HINT = r"[0-9@=:]|[MHFSгГ](?:rs?|s|me|iss|adame|onsieur|err|rau|eñora?|ra|ignora?|осподин|оспожа)\b"
 DIGITS = ("phone", "card", "ssn")
 CONSONANTS = {"latin": "bdfghjklmnprstvz", "cyrillic": "бвгджзклмнпрстфх"}
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
