@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from itertools import combinations_with_replacement
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,11 @@ GROUPS = {
     "acetate": "C2H3O2", "Ac": "C2H2O", "DMSO": "C2H6OS", "IsoProp": "C3H8O", "CH3OCa": "CH3OCa",
 }
 LITHIUM = 7.016003
+# Isotopes that adduct names spell out, and charges of cations.
+ISOTOPES = {"37Cl": 36.96590260}
+CATIONS = {"H": 1, "Na": 1, "K": 1, "NH4": 1, "Li": 1, "Ca": 2, "Fe": 2}
+ANIONS = ["Cl", "37Cl", "Br", "I", "F", "HCOO", "CH3COO", "NO3"]
+MAX_MOLECULES, MAX_IONS, MAX_CHARGE = 3, 3, 3
 NEUTRAL_LOSSES = [
     "H2O", "2H2O", "NH3", "CO", "CO2", "HCN", "CH2O", "CH3OH", "C2H4", "C4H8", "CH2CO", "CH3CHO", "CH3CHNH",
     "CH3CH2NH2", "CH3CO2H", "H3PO4", "HPO3", "SO3", "C5H8O3", "C5H8O4", "H2O-CO", "H2O-CO2", "H2O-NH3", "NH3-CO",
@@ -120,6 +126,10 @@ def _formula_mass(formula: str) -> float:
 def adduct_shift(known: str, charge: int) -> float:
     """Mass shift of an adduct: added minus lost groups, less the electrons of its charge."""
     shift = 0.0
+    for isotope, mass in ISOTOPES.items():
+        for sign, times in re.findall(rf"([+-])(\d??){isotope}(?![a-z])", known):
+            shift += mass * int(times or 1) * (1 if sign == "+" else -1)
+        known = re.sub(rf"[+-]\d??{isotope}(?![a-z])", "", known)
     for sign, times, group in re.findall(r"([+-])(\d*)([A-Za-z]\w*)", known.split("M", 1)[1]):
         mass = _formula_mass(GROUPS.get(group, group)) * int(times or 1)
         shift += mass if sign == "+" else -mass
@@ -133,6 +143,37 @@ def _ion(known: str, body: str, charge: int) -> tuple[str, str, float, str]:
     return known, f"[{body}]{size}{sign}", round(adduct_shift(known, charge), 6), mode
 
 
+def _times(n: int, group: str) -> str:
+    return f"{n if n > 1 else ''}{group}"
+
+
+def cluster_ions() -> list[tuple[str, str, float, str]]:
+    """Clusters of up to three molecules with up to three cations, or two anions, less up to three protons.
+
+    A name lists the ions and the protons in either order; ions of two kinds in either order too.
+    """
+    gains: list[tuple[list[str], int]] = []
+    for a, b in combinations_with_replacement(CATIONS, 2):
+        for i in range(1, MAX_IONS + 1):
+            for j in range(0 if a == b else 1, 1 if a == b else MAX_IONS + 1 - i):
+                parts = [_times(i, a), *([_times(j, b)] if j else [])]
+                gains.append((parts, i * CATIONS[a] + j * CATIONS[b]))
+    gains += [([_times(n, a)], -n) for a in ANIONS for n in ((1,) if a[0].isdigit() else (1, 2))]
+    gains.append(([], 0))
+    rows = []
+    for molecules in range(1, MAX_MOLECULES + 1):
+        for parts, charge in gains:
+            for lost in range(4):
+                z = charge - lost
+                if not 1 <= abs(z) <= MAX_CHARGE or (lost and any(re.fullmatch(r"\d?H", p) for p in parts)):
+                    continue
+                core, minus = _times(molecules, "M"), f"-{_times(lost, 'H')}" if lost else ""
+                for order in ([parts, parts[::-1]] if len(parts) > 1 else [parts]):
+                    plus = "".join(f"+{p}" for p in order)
+                    rows += [_ion(name, name, z) for name in dict.fromkeys((core + plus + minus, core + minus + plus))]
+    return rows
+
+
 def default_adducts() -> list[tuple[str, str, float, str]]:
     """``(known_adduct, canonical, massdiff, ionmode)`` rows computed from the lists above."""
     rows = []
@@ -147,6 +188,7 @@ def default_adducts() -> list[tuple[str, str, float, str]]:
         core = f"M+{gain}"
         rows += [_ion(f"{core}+{c}", f"({core})+{c}", 1) for c in ("H", "Na", "K")]
         rows += [_ion(f"{core}+Cl", f"({core})+Cl", -1), _ion(f"{core}-H", f"({core})-H", -1)]
+    rows += cluster_ions()
     return list({r[0]: r for r in reversed(rows)}.values())
 
 

@@ -10,7 +10,7 @@ from ionloom.operators.denovo import annotate_peaks
 from ionloom.plans.pipeline import Lookups, run
 from ionloom.schema import Params
 from ionloom.sources import readers as rd
-from ionloom.sources.lookups import adduct_shift, adduct_table, default_adducts
+from ionloom.sources.lookups import adduct_shift, adduct_table, default_adducts, default_synonyms
 
 MSP = (
     "Name: First\nPrecursorMZ: 200.1\nFILENAME: old.msp\nNum Peaks: 2\n100.5 10 \"C5H8O2\"\n150:20\n"
@@ -183,3 +183,19 @@ def test_ingest_folder_and_unknown_files(spark, tmp_path):
     (tmp_path / "in" / "notes.txt").write_text("not a library")
     with pytest.raises(ValueError, match="notes.txt"):
         rd.ingest(spark, [str(tmp_path / "in")])
+
+
+def test_cluster_adducts():
+    """Shifts of clusters from element masses written out here."""
+    rows = {known: (canonical, shift, mode) for known, canonical, shift, mode in default_adducts()}
+    h, na, k, cl, cl37, ca, e = 1.00782503, 22.98976928, 38.96370649, 34.96885268, 36.96590260, 39.96259086, 0.00054858
+    want = {
+        "M+37Cl": ("[M+37Cl]-", cl37 + e, "negative"), "M+2Cl": ("[M+2Cl]2-", 2 * (cl + e), "negative"),
+        "2M+Na+K": ("[2M+Na+K]2+", na + k - 2 * e, "positive"), "2M+K+Na": ("[2M+K+Na]2+", na + k - 2 * e, "positive"),
+        "M-2H+3Na": ("[M-2H+3Na]+", 3 * na - 2 * h - e, "positive"), "M+3Na-2H": ("[M+3Na-2H]+", 3 * na - 2 * h - e, "positive"),
+        "M+Ca-H": ("[M+Ca-H]+", ca - h - e, "positive"), "M-H+Ca": ("[M-H+Ca]+", ca - h - e, "positive"),
+    }
+    for name, (canonical, shift, mode) in want.items():
+        assert rows[name][0] == canonical and rows[name][2] == mode and abs(rows[name][1] - shift) < 1e-5, name
+    assert {"auxinfo", "inchiaux"}.isdisjoint(n for names in default_synonyms().values() for n in names)
+    assert "submittecomputed_mass_erroname" in default_synonyms()["name"]
