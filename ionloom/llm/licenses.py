@@ -29,6 +29,7 @@ from ionloom.llm.common import KEY, key_columns
 from ionloom.session import stage
 
 NEGATIVES = 2000
+SAMPLE_MARGIN = 4
 VARIANTS = 24
 MIN_PROBABILITY = 0.5
 MIN_OVERLAP = 0.5
@@ -191,7 +192,7 @@ class Classifier:
 
 def train(spark: SparkSession, paragraphs: DataFrame, negatives: int = NEGATIVES) -> Classifier:
     """`paragraphs`: a column `paragraph`; at most `negatives` of them are used, the first by hash."""
-    ordered = paragraphs.select("paragraph", F.xxhash64("paragraph").alias("h")).orderBy("h", "paragraph").limit(negatives)
+    ordered = paragraphs.select("paragraph", F.pmod(F.xxhash64("paragraph"), F.lit(1 << 30)).alias("h")).orderBy("h", "paragraph").limit(negatives)
     sample = stage(unlike_notices(stage(ordered.select("paragraph"), "sample")), "negatives")
     rows = stage(training_rows(spark, sample), "training")
     families = [UNKNOWN, *NOTICES]
@@ -235,7 +236,9 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     texts = docs.select(id_column, F.col(text_column).alias("text"), *key_columns(id_column, text_column))
     if classifier is None:
         lines = texts.select(F.explode(F.split("text", "\n")).alias("paragraph")).filter(F.trim("paragraph") != "")
-        classifier = train(spark, lines)
+        # The sample is the first paragraphs by hash; a bound on the hash keeps what is sorted for it small at any size.
+        share = min(1.0, SAMPLE_MARGIN * NEGATIVES / max(docs.count(), 1))
+        classifier = train(spark, lines.filter(F.pmod(F.xxhash64("paragraph"), F.lit(1 << 30)) <= int(share * (1 << 30))))
     cued = texts.filter(F.col("text").rlike(CUE)).select(id_column, *KEY, F.posexplode(F.split("text", "\n")).alias("at", "paragraph"))
     words = cued.filter(F.col("paragraph").rlike(CUE)).withColumn("words", paragraph_words(F.col("paragraph")))
     scored = confirmed(classifier.classify(words.withColumn("terms", terms(F.col("words")))))
