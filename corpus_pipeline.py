@@ -10,6 +10,9 @@ from ionloom.llm import decontam, minhash, mixing, quality, sharding
 from ionloom.llm.common import table
 from ionloom.session import stage
 
+#: Similarity of near duplicates, on five-word shingles; op6 has a threshold of its own.
+NEAR_PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the compression bands."""
@@ -18,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return minhash.one_per_group(docs)
+    return minhash.one_per_group(docs, percent=NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,8 +6,9 @@ rounds as there are bins, bin b is offered all shingles in round COORDINATES + b
 fills. Two sketches agree in each bin with probability equal to the similarity, concentrated as for
 independent hash functions, at the cost of about one hash per shingle.
 
-Banding: `BANDS` bands of `BAND_ROWS` bins. A pair at the threshold 0.85 misses all of them with
-probability (1 - 0.85^5)^28 < 1e-7. Band collisions only propose groups; links are decided on the
+Banding follows the threshold: the widest bands with which a pair at it misses all of them with a
+probability below `MISS`. At 0.85 these are 28 bands of 5 bins, (1 - 0.85^5)^28 < 1e-7; at 0.80 35
+bands of 4, (1 - 0.80^4)^35 < 1e-7. Band collisions only propose groups; links are decided on the
 full shingle sets (64-bit shingle hashes).
 
 Hot groups: equal sets are one class before banding. Members of a group are checked inside tiles of
@@ -38,9 +39,9 @@ from ionloom.session import stage
 
 SHINGLE = 5
 PERCENT = 85
-BAND_ROWS = 5
-BANDS = 28
-COORDINATES = BAND_ROWS * BANDS
+COORDINATES = 140
+#: Probability with which a pair at the threshold may miss all bands.
+MISS = 1e-7
 TILE = 512
 HUBS = 3
 _BIN, _ROUND = np.uint64(56), np.uint64(47)
@@ -73,16 +74,25 @@ def sketch(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
     return out
 
 
-def band_hashes(bins: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
-    table = bins.reshape(-1, rows)
+def band_rows(percent: int) -> int:
+    """Bins in a band: as many as leave a pair at the threshold a chance below `MISS` to share no band."""
+    for rows in range(COORDINATES, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (COORDINATES // rows) < MISS:
+            return rows
+    raise ValueError(f"{COORDINATES} coordinates are too few for a similarity of {percent} percent")
+
+
+def band_hashes(bins: np.ndarray, rows: int) -> np.ndarray:
+    table = bins[: len(bins) // rows * rows].reshape(-1, rows)
     h = kn.mix(np.arange(len(table), dtype=np.uint64), 31)
     for k in range(rows):
         h = kn.mix(h ^ table[:, k], 32)
     return h.view(np.int64)
 
 
-def signatures(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def signatures(docs: DataFrame, id_column: str, text_column: str, percent: int = PERCENT) -> DataFrame:
     """(doc_id, keys, n_shingles, set1, set2, bands): null set hashes and bands for empty sets."""
+    in_band = band_rows(percent)
     narrow = docs.select(F.col(id_column).alias("doc_id"), *key_columns(id_column, text_column), F.col(text_column).alias("text"))
 
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -94,7 +104,7 @@ def signatures(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                 continue
             h = xxhash.xxh3_128_intdigest(s.tobytes())
             first.append((h >> 64) - (1 << 63)), second.append((h & ((1 << 64) - 1)) - (1 << 63))
-            bands.append(band_hashes(sketch(s)))
+            bands.append(band_hashes(sketch(s), in_band))
         return {
             "n_shingles": pa.array(sizes, pa.int64()), "set1": pa.array(first, pa.int64()),
             "set2": pa.array(second, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())),
@@ -287,7 +297,7 @@ def links(classes: DataFrame, narrow: DataFrame, percent: int = PERCENT, tile: i
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, tile: int = TILE, hubs: int = HUBS) -> DataFrame:
     """doc_id, keys, n_shingles, class (null for empty sets), component and component_id of every row."""
     narrow = docs.select(*key_columns(id_column, text_column), F.col(text_column).alias("text"))
-    signed = stage(signatures(docs, id_column, text_column), "signatures")
+    signed = stage(signatures(docs, id_column, text_column, percent), "signatures")
     full = signed.filter("n_shingles > 0")
     classes = full.groupBy(F.col("set1").alias("node"), "set2").agg(
         F.min("doc_id").alias("smallest"), F.min(F.struct(*KEY)).alias("k"), F.max("bands").alias("bands")

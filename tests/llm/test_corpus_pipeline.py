@@ -8,8 +8,8 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import corpus_pipeline
-from ionloom.llm import mixing
-from tests.llm.helpers import SF_DIR, awkward, near_components, words
+from ionloom.llm import minhash, mixing
+from tests.llm.helpers import SF_DIR, awkward, near_components, prose, shingles, words
 from tests.llm.test_small_operators import brute_contamination, brute_quality, brute_targets
 from ionloom.llm import sharding
 
@@ -43,6 +43,32 @@ def test_run_equals_brute_force(spark):
     assert all(r["shard_id"] == owner[r["slot"]] for r in rows)
 
 
+def test_near_duplicates_from_80_percent_on(spark):
+    """Pairs between 0.80 and 0.85 lose one copy, pairs below 0.80 none."""
+    rows, want = [], []
+    for k in range(40):
+        base = prose(500 + k, 200).split()
+        edits = 4 if k % 2 else 5  # Far apart, each edit changes 5 of the 196 shingles: 176 / 216 and 171 / 221.
+        copy = [f"edit{i}" if i % 38 == 19 and i // 38 < edits else w for i, w in enumerate(base)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        assert 80 <= 100 * len(a & b) / len(a | b) < 85 if k % 2 else 75 < 100 * len(a & b) / len(a | b) < 80
+        want += [2 * k] if k % 2 else [2 * k, 2 * k + 1]
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), SF_DIR)
+    assert sorted(r["doc_id"] for r in got.collect()) == want
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
+    brute = [d for (d, t), c in zip(docs, near_components(docs, 80), strict=True) if d == c or not shingles(t)]
+    kept = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{SF_DIR}/documents.parquet"), SF_DIR)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(brute)
+
+
+def test_bands_follow_the_threshold():
+    assert minhash.band_rows(85) == 5 and minhash.band_rows(80) == 4
+    for percent in (50, 60, 70, 80, 85, 90, 95):
+        rows = minhash.band_rows(percent)
+        assert (1 - (percent / 100) ** rows) ** (minhash.COORDINATES // rows) < minhash.MISS
+
+
 def test_stages_keep_the_columns(spark):
     docs = awkward(spark)
     for name, step in corpus_pipeline.STAGES[:-1]:
@@ -74,3 +100,21 @@ def test_library_works_without_the_corpus_operators():
         "assert 'ionloom.llm' not in sys.modules\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_run_takes_one_of_each_group_at_80(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
+    good = [(r["doc_id"], r["text"], r["source"]) for r in docs if brute_quality(r["text"])[-1]]
+    label = near_components([g[:2] for g in good], 80)
+    alone = [g for g, c in zip(good, label, strict=True) if g[0] == c]
+    bad = {b[0] for b in brute_contamination([g[:2] for g in alone], items) if b[-1]}
+    clean = {d: (t, s) for d, t, s in alone if d not in bad}
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for t, s in clean.values():
+        sizes[s] += len(words(t))
+    for r in corpus_pipeline.run(spark, SF_DIR).collect():
+        assert r["doc_id"] in clean
+        taken[r["source"]] += len(words(r["text"]))
+    target = brute_targets(sizes)
+    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
