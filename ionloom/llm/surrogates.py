@@ -7,6 +7,10 @@ from keyed hashes, with the same format, script, number class and, for names, ge
 are drawn in rounds: one that another entity holds or was given, or that occurs in the corpus
 itself, is drawn again, so distinct entities stay distinct and none turns into a real one.
 
+Not found: names without one of the titles, postal addresses, dates of birth, numbers of passports, tax
+and insurance other than the given ones, phone numbers of bare digits, IBANs in small letters, keys of
+other makers without a label, mail addresses with a quoted name or spelled out ("at").
+
 Only texts that can hold an entity are searched and only distinct entities take part in the rounds;
 counts are combined before every shuffle, and joins are on entities with one row per entity on one
 side. DataFrame functions only.
@@ -36,26 +40,34 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signo
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Signor", "господин", "Господин")
 TITLE = rf"\b(?:{'|'.join(sorted(FEMALE + MALE, key=len, reverse=True))})\b\.?"
 LABEL = r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)"
-MAIL = "A-Za-z0-9._%+-"
+MAIL = r"\p{L}\p{M}\p{N}._%+-"
+LABELS = r"[\p{L}\p{M}\p{N}-]{1,63}"
+#: Letters of one alphabet, so that text written on without a blank isn't taken for the ending.
+ENDING = r"(?:xn--[A-Za-z0-9-]{1,59}|[A-Za-z]{2,24}|[\p{L}\p{M}]{2,24})"
+IPV4 = rf"{OCTET}(?:\.{OCTET}){{3}}"
+HEX = "[0-9A-Fa-f]{1,4}"
+KEYS = r"(?:AKIA|ASIA|gh[opsu]_|sk-|xox[abprs]-|AIza)"
 #: Kinds in order of precedence; the first that matches at a place wins. Each begins with a test of the next or the
 #: last character, which rules out nearly all places before the search for labels, titles or long runs begins.
 PATTERNS = {
     "secret": rf"(?<=[=:\"' \t])(?<=[=:][ \t]{{0,3}}[\"']{{0,1}})"
     rf"(?<=(?i:{LABEL})[\"']{{0,1}}[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']{{0,1}})[^\s\"'`,;<>(){{}}\[\]]{{6,}}",
-    "email": rf"(?<![{MAIL}])[{MAIL}]{{1,256}}+@[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,5}}\.[A-Za-z]{{2,24}}",
+    "email": rf"(?<![{MAIL}])[{MAIL}]{{1,256}}+@{LABELS}(?:\.{LABELS}){{0,5}}\.{ENDING}",
     "key": r"(?=[Agsx])\b(?:(?:AKIA|ASIA)[0-9A-Z]{16}\b|gh[opsu]_[A-Za-z0-9]{36,255}\b|sk-[A-Za-z0-9_-]{20,200}|xox[abprs]-[A-Za-z0-9-]{10,200}"
     r"|AIza[0-9A-Za-z_-]{35})",
     "iban": r"(?=[A-Z])\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?=\d)(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "ip": rf"(?=\d)(?<![\w.]){OCTET}(?:\.{OCTET}){{3}}(?![\w]|\.\d)",
+    "ipv6": rf"(?=[0-9A-Fa-f:])(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}:){{6}}{IPV4}"
+    rf"|(?:{HEX}(?::{HEX}){{0,6}})?::(?:(?:{HEX}:){{0,5}}(?:{IPV4}|{HEX}))?)(?![\w:]|\.\d)",
+    "ip": rf"(?=\d)(?<![\w.]){IPV4}(?![\w]|\.\d)",
     "card": r"(?=\d)(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|-\d)",
-    "phone": r"(?=[+(\d])(?:(?<![\w.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
-    r"|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))",
+    "phone": r"(?=[+(\d])(?:(?<![\w.])(?:\+\d{1,3}[ .-]?|1[ .-])?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
+    r"|(?<![\w.-])(?:1[ .-])?(?:\d{3}[.-]\d{3}[.-]\d{4}|[2-9]\d{2} [2-9]\d{2} \d{4})(?![\w-]))",
     "name": rf"(?=[MHFSгГ]){TITLE}\s\p{{Lu}}[\p{{L}}'’-]{{1,40}}(?:\s\p{{Lu}}[\p{{L}}'’-]{{1,40}}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity holds one of these.
-HINT = r"[0-9@=:]|[MHFSгГ](?:rs?|s|me|iss|adame|onsieur|err|rau|eñora?|ra|ignora?|осподин|оспожа)\b"
+HINT = rf"[0-9@=:]|{KEYS}|[MHFSгГ](?:rs?|s|me|iss|adame|onsieur|err|rau|eñora?|ra|ignora?|осподин|оспожа)\b"
 DIGITS = ("phone", "card", "ssn")
 CONSONANTS = {"latin": "bdfghjklmnprstvz", "cyrillic": "бвгджзклмнпрстфх"}
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
@@ -69,12 +81,25 @@ def kind_of(value: Column) -> Column:
     return result
 
 
+def eight_groups(value: Column) -> Column:
+    """An IPv6 address in lower case with all its groups, no leading zeros and no IPv4 tail."""
+    octet = F.split(F.regexp_extract(value, rf"{IPV4}$", 0), r"\.")
+    pair = lambda i: F.hex(F.get(octet, F.lit(i)).cast("int") * 256 + F.get(octet, F.lit(i + 1)).cast("int"))
+    tail = F.when(value.contains("."), F.concat(pair(0), F.lit(":"), pair(2))).otherwise("")
+    plain = F.lower(F.concat(F.regexp_replace(value, rf"(?<=:){IPV4}$", ""), tail))
+    parts = lambda text: F.array_remove(F.split(text, ":"), "")
+    left, right = parts(F.substring_index(plain, "::", 1)), parts(F.substring_index(plain, "::", -1))
+    gap = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
+    groups = F.when(plain.contains("::"), F.concat(left, gap, right)).otherwise(parts(plain))
+    return F.array_join(F.transform(groups, lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+
+
 def canonical(kind: Column, value: Column) -> Column:
     digits = F.regexp_replace(value, r"\D", "")
     words = F.lower(F.regexp_replace(value, rf"^{TITLE}\s", ""))
     sex = F.when(value.rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "f ").otherwise("m ")
     return (
-        F.when(kind.isin(*DIGITS), digits).when(kind == "email", F.lower(value))
+        F.when(kind.isin(*DIGITS), digits).when(kind == "email", F.lower(value)).when(kind == "ipv6", eight_groups(value))
         .when(kind == "iban", F.regexp_replace(value, " ", "")).when(kind == "name", F.concat(sex, words)).otherwise(value)
     )
 
@@ -98,7 +123,9 @@ def same_class(text: Column, purpose: str, salt: Column) -> Column:
         parts = (F.lit(purpose), salt, text, i.cast("string"))
         return (
             F.when(hexed, pick("0123456789abcdef", *parts)).when(c.rlike("[0-9]"), pick(digit, *parts))
-            .when(c.rlike("[a-z]"), pick(lower, *parts)).when(c.rlike("[A-Z]"), pick(upper, *parts)).otherwise(c)
+            .when(c.rlike("[a-z]"), pick(lower, *parts)).when(c.rlike("[A-Z]"), pick(upper, *parts))
+            .when(c.rlike(r"\p{IsCyrillic}"), pick("абвгдежзиклмнопрстуфхцчшэюя", *parts))
+            .when(c.rlike(r"\p{Lu}"), pick(upper, *parts)).when(c.rlike(r"\p{L}"), pick(lower, *parts)).when(c.rlike(r"\p{N}"), pick(digit, *parts)).otherwise(c)
         )
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
@@ -166,10 +193,15 @@ def replacement(kind: Column, canon: Column, turn: int) -> Column:
     )
     # Mail: letters for letters before the @; equal domains share a replacement under a reserved name.
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    host = F.regexp_replace(domain, r"(?:\.?example)?\.[a-z]+$", "")
+    host = F.regexp_replace(domain, r"(?:\.?example)?\.(?:xn--[a-z0-9-]+|[\p{L}\p{M}]+)$", "")
     ending = F.when(domain.rlike(r"\.(?:com|net|org)$"), F.substring_index(domain, ".", -1)).otherwise("com")
     mail = F.concat_ws("@", same_class(local, "local", F.concat(salt, domain)), F.concat_ws(".", F.when(host != "", same_class(host, "host", F.lit("0"))), F.lit("example"), ending))
-    key = F.concat(F.regexp_extract(canon, r"^(?:AKIA|ASIA|gh[opsu]_|sk-|xox[abprs]-|AIza)", 0), same_class(F.regexp_replace(canon, r"^(?:AKIA|ASIA|gh[opsu]_|sk-|xox[abprs]-|AIza)", ""), "key", salt))
+    key = F.concat(F.regexp_extract(canon, f"^{KEYS}", 0), same_class(F.regexp_replace(canon, f"^{KEYS}", ""), "key", salt))
+    # IPv6: link-local and private prefixes stay, others get the one for documentation.
+    h = F.sha2(F.concat_ws("\x1f", F.lit(KEY_TEXT), F.lit("ipv6"), salt, canon), 256)
+    group = lambda i: F.regexp_replace(F.substring(h, 4 * i + 1, 4), "^0+(?=.)", "")
+    first = F.regexp_extract(canon, "^f[cd][0-9a-f]{2}(?=:)|^fe[89ab][0-9a-f](?=:)", 0)
+    ipv6 = F.concat_ws(":", F.when(first != "", F.concat(first, F.lit(":"), group(0))).otherwise("2001:db8"), *(group(i) for i in range(1, 7)))
     iban = iban_checked(F.concat(F.substring(canon, 1, 4), F.substring(mapped, F.lit(5), F.length(canon))))
     # Names: word by word, so that a shared surname stays shared; women's end in a vowel, men's in a consonant.
     sex, words = F.substring(canon, 1, 2), F.split(F.substring(canon, F.lit(3), F.length(canon)), r"\s")
@@ -184,7 +216,7 @@ def replacement(kind: Column, canon: Column, turn: int) -> Column:
 
     named = F.concat(sex, F.array_join(F.transform(words, name), " "))
     return (
-        F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "ip", ip).when(kind == "email", mail)
+        F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "email", mail)
         .when(kind == "key", key).when(kind == "iban", iban).when(kind == "name", named).otherwise(mapped)
     )
 

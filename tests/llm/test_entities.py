@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from itertools import product
 
@@ -84,6 +85,36 @@ def test_hot_entity_and_awkward_rows(spark):
     assert surrogates.replace_entities(awkward(spark).limit(0)).count() == 0
 
 
+KINDS = {
+    "key": ["sk-" + "abcdefghij" * 3, "ghp_" + "abcdefghij" * 4, "xoxb-abcdefghijklmnop", "AKIA" + "ABCDEFGHIJKLMNOP", "AIza" + "abcde" * 7],
+    "email": ["josé@example.com", "müller@web.de", "иван@пример.рф", "a@xn--e1afmkfd.xn--p1ai"],
+    "phone": ["1-800-555-1234", "800 555 1234", "1 800 555 1234", "1 (800) 555-1234", "800-555-1234"],
+    "ipv6": ["2001:db8:85a3::8a2e:370:7334", "::1", "fe80::1ff:fe23:4567:890a", "2001:0:0:1:2:3:4:5", "::ffff:192.0.2.128"],
+    "ip": ["10.1.2.3"], "ssn": ["123-45-6789"], "card": ["4262 8164 5546 0745"], "iban": ["DE89 3704 0044 0532 0130 00"],
+    "name": [f"{t} Anna Miller" for t in surrogates.FEMALE + surrogates.MALE],
+}
+
+
+def test_every_kind_passes_the_hint(spark):
+    """Entities alone in a text without any other hint are found whole and nothing of them stays."""
+    cases = [(kind, value) for kind, values in KINDS.items() for value in values]
+    got = replaced(spark, [f"see {value} here" for _, value in cases])
+    assert [(got[i]["kinds"], got[i]["n_entities"]) for i in range(len(cases))] == [(kind, 1) for kind, _ in cases]
+    for i, (kind, value) in enumerate(cases):
+        new = got[i]["text"]
+        assert new.startswith("see ") and new.endswith(" here") and value not in new
+        if kind == "email":
+            assert not any(part in new for part in re.split(r"[@.]", value)[:2] if len(part) > 1 and part != "example")
+
+
+def test_ways_of_writing_an_ipv6_address_agree(spark):
+    texts = ["at 2001:DB8::1 and 2001:0db8:0:0:0:0:0:1", "std::vector a::b at 12:30:45 of 00:1A:2B:3C:4D:5E", "::ffff:192.0.2.128 ::FFFF:c000:280"]
+    got = replaced(spark, texts)
+    one, two = re.fullmatch(r"at (\S+) and (\S+)", got[0]["text"]).groups()
+    assert one == two and ipaddress.ip_address(one) != ipaddress.ip_address("2001:db8::1")
+    assert got[1]["text"] == texts[1] and len(set(got[2]["text"].split())) == 1
+
+
 def test_no_entity_of_the_test_table_survives(spark):
     old = [r["text"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
     new = [r["text"] for r in q_corpus.op5_surrogates(spark, SF_DIR).collect()]
