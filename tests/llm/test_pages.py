@@ -29,6 +29,22 @@ def test_pages_give_their_articles(spark):
         assert r["text"].split("\n\n")[1:] == lines and r["n_chars"] == len(r["text"]) and r["url"] == urls[r["page_id"]]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p>a</p><svg class='i' /><p>b</p><math/><p>c <svg><title/><path d='M0'/><text>no</text></svg> d</p></article>", ["a", "b", "c d"]),
+        ("<article><p>a <svg><g>no</p><p>b</p><canvas>no</canvas><object><p>no</p></object><template><p>no</p></template></article>", ["a", "b"]),
+        ("<title-bar>a</title-bar><p>b</p><style/>no</style><p>c</p>", ["a", "b", "c"]),
+        ("<article><p>own</p></article><div class=comments><article><p>reader</p></article></div><aside><article>x</article></aside>", ["own"]),
+        ("<div class=comments><article>reader</article></div><div>own</div>", ["own"]),
+        ("<div class=widget><article><p>only</p><nav>no</nav></article></div>", ["only"]),
+        ("<div class=sidebar><main><p>own</p></main></div>", ["own"]),
+    ],
+)
+def test_empty_elements_and_excluded_articles(page, want):
+    assert html_text.scan(page)[1] == want
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
