@@ -11,8 +11,9 @@ probability below `MISS`. At 0.85 these are 28 bands of 5 bins, (1 - 0.85^5)^28
 bands of 4, (1 - 0.80^4)^35 < 1e-7. Band collisions only propose groups; links are decided on the
 full shingle sets (64-bit shingle hashes).
 
-Hot groups: equal sets are one class before banding. Members of a group are checked inside tiles of
-bounded size; a group above `TILE` classes is first compared with a few hubs (the members that
+Hot groups: equal sets are one class before banding, and one row stands for a class, however often its
+id and text are repeated. Members of a group are checked inside tiles of bounded size; a group above
+`TILE` classes or `TILE_BYTES` of text is first compared with a few hubs (the members that
 collide most), which settles most of it, and then only what is in different components by then
 meets in tiles. No pair between different components is left unchecked, no group is collected
 whole, and pairs are never listed: a tile returns the links that join components.
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,7 @@ COORDINATES = 140
 #: Probability with which a pair at the threshold may miss all bands.
 MISS = 1e-7
 TILE = 512
+TILE_BYTES = 32 << 20
 HUBS = 3
 _BIN, _ROUND = np.uint64(56), np.uint64(47)
 _VALUE = np.uint64((1 << 47) - 1)
@@ -91,7 +94,7 @@ def band_hashes(bins: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_column: str, text_column: str, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, keys, n_shingles, set1, set2, bands): null set hashes and bands for empty sets."""
+    """(doc_id, keys, n_bytes, n_shingles, set1, set2, bands): null set hashes and bands for empty sets."""
     in_band = band_rows(percent)
     narrow = docs.select(F.col(id_column).alias("doc_id"), *key_columns(id_column, text_column), F.col(text_column).alias("text"))
 
@@ -106,11 +109,12 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, percent: int =
             first.append((h >> 64) - (1 << 63)), second.append((h & ((1 << 64) - 1)) - (1 << 63))
             bands.append(band_hashes(sketch(s), in_band))
         return {
+            "n_bytes": pc.cast(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0), pa.int64()),
             "n_shingles": pa.array(sizes, pa.int64()), "set1": pa.array(first, pa.int64()),
             "set2": pa.array(second, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64())),
         }
 
-    schema = "n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>"
+    schema = "n_bytes bigint, n_shingles bigint, set1 bigint, set2 bigint, bands array<bigint>"
     return arrow_map(narrow, fn, schema, ["doc_id", *KEY])
 
 
@@ -240,18 +244,18 @@ def check_hubs(members: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "u bigint, v bigint")
 
 
-def with_tiles(members: DataFrame, label: DataFrame | None, tile: int) -> DataFrame:
+def with_tiles(members: DataFrame, label: DataFrame | None, tile: int, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Rows of `members` in every tile where they must meet others, with their component so far."""
     if label is None:
         return members.withColumns({"label": F.col("node"), "tile": F.lit("0")})
     known = members.join(label.withColumnRenamed("component", "label"), "node", "left")
     known = known.withColumn("label", F.coalesce("label", "node"))
-    sizes = known.groupBy("gid", "label").agg(F.count("*").alias("n"))
-    total = sizes.groupBy("gid").agg(F.sum("n").alias("total"), F.max(F.struct("n", "label")).alias("main"))
-    total = total.select("gid", "total", F.col("main.label").alias("main"), F.col("main.n").alias("n_main")).filter("n_main < total")
-    half = tile // 2
-    strays = F.ceil((F.col("total") - F.col("n_main")) / half)
-    mains = F.ceil(F.col("n_main") / half)
+    sizes = known.groupBy("gid", "label").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
+    total = sizes.groupBy("gid").agg(F.sum("n").alias("total"), F.sum("b").alias("bytes"), F.max(F.struct("n", "label", "b")).alias("main"))
+    total = total.select("gid", "total", "bytes", F.col("main.label").alias("main"), F.col("main.n").alias("n_main"), F.col("main.b").alias("b_main")).filter("n_main < total")
+    half, half_bytes = tile // 2, tile_bytes // 2
+    strays = F.greatest(F.ceil((F.col("total") - F.col("n_main")) / half), F.ceil((F.col("bytes") - F.col("b_main")) / half_bytes))
+    mains = F.greatest(F.ceil(F.col("n_main") / half), F.ceil(F.col("b_main") / half_bytes))
     spread = known.join(total, "gid").withColumns({"stray": F.col("label") != F.col("main"), "s": strays, "m": mains})
     chunk = F.pmod(F.xxhash64("node"), F.when(F.col("stray"), F.col("s")).otherwise(F.col("m")))
     spread = spread.withColumn("chunk", chunk)
@@ -265,20 +269,24 @@ def with_tiles(members: DataFrame, label: DataFrame | None, tile: int) -> DataFr
     return spread.select("gid", F.explode(tiles).alias("tile"), "node", "label", "text")
 
 
-def links(classes: DataFrame, narrow: DataFrame, percent: int = PERCENT, tile: int = TILE, hubs: int = HUBS) -> DataFrame:
+def links(classes: DataFrame, narrow: DataFrame, percent: int = PERCENT, tile: int = TILE, hubs: int = HUBS, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """(u, v): verified links whose components are those of all links."""
     shared = stage(memberships(classes), "memberships")
     group = components(shared.select(F.col("node").alias("u"), F.col("head").alias("v")))
     weight = shared.groupBy("node").agg(F.sum("weight").alias("weight"))
-    sizes = group.groupBy("component").agg(F.count("*").alias("n"))
+    group = group.join(classes.select("node", "n_bytes", *KEY), "node")
+    sizes = group.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("b"))
+    fits = (F.col("n") <= tile) & (F.col("b") <= tile_bytes)
     wanted = (
-        group.join(sizes, "component").join(weight, "node").join(classes.select("node", *KEY), "node")
-        .select("node", F.col("component").alias("gid"), "n", "weight", *KEY)
+        group.join(sizes.select("component", fits.alias("fits")), "component").join(weight, "node")
+        .select("node", F.col("component").alias("gid"), "fits", "weight", *KEY)
     )
-    members = stage(narrow.join(wanted, KEY).select("gid", "node", "n", "weight", "text"), "members")
-    small = check_tiles(with_tiles(members.filter(F.col("n") <= tile).select("gid", "node", "text"), None, tile), percent)
+    # Rows that repeat id and text share their key: one of them stands for the node, chosen before the shuffle.
+    members = narrow.join(wanted, KEY).groupBy("node", "gid", "fits", "weight").agg(F.first("text").alias("text"))
+    members = stage(members, "members")
+    small = check_tiles(with_tiles(members.filter("fits").select("gid", "node", "text"), None, tile), percent)
     found = stage(small, "links")
-    large = members.filter(F.col("n") > tile)
+    large = members.filter("not fits")
     if large.isEmpty():
         return found
     stars = None
@@ -290,20 +298,20 @@ def links(classes: DataFrame, narrow: DataFrame, percent: int = PERCENT, tile: i
         mine = best.select(F.col("hub").alias("u"), F.col("hub").alias("v"))
         stars = stage((new if stars is None else stars.unionByName(new)).unionByName(mine), "stars")
     label = stage(components(stars), "labels")
-    rest = check_tiles(with_tiles(large.select("gid", "node", "text"), label, tile), percent)
+    rest = check_tiles(with_tiles(large.select("gid", "node", "text"), label, tile, tile_bytes), percent)
     return found.unionByName(stars.filter("u <> v")).unionByName(stage(rest, "links"))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, tile: int = TILE, hubs: int = HUBS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, tile: int = TILE, hubs: int = HUBS, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """doc_id, keys, n_shingles, class (null for empty sets), component and component_id of every row."""
     narrow = docs.select(*key_columns(id_column, text_column), F.col(text_column).alias("text"))
     signed = stage(signatures(docs, id_column, text_column, percent), "signatures")
     full = signed.filter("n_shingles > 0")
     classes = full.groupBy(F.col("set1").alias("node"), "set2").agg(
-        F.min("doc_id").alias("smallest"), F.min(F.struct(*KEY)).alias("k"), F.max("bands").alias("bands")
+        F.min("doc_id").alias("smallest"), F.min(F.struct(*KEY)).alias("k"), F.max("bands").alias("bands"), F.max("n_bytes").alias("n_bytes")
     )
-    classes = stage(classes.select("node", "set2", "smallest", F.col("k._k1"), F.col("k._k2"), "bands"), "classes")
-    label = components(links(classes, narrow, percent, tile, hubs))
+    classes = stage(classes.select("node", "set2", "smallest", F.col("k._k1"), F.col("k._k2"), "bands", "n_bytes"), "classes")
+    label = components(links(classes, narrow, percent, tile, hubs, tile_bytes))
     joined = classes.select("node", "smallest").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = stage(joined, "labelled")
     named = joined.groupBy("component").agg(F.min("smallest").alias("component_id"))

@@ -9,6 +9,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from ionloom.llm import kernels as kn
 from ionloom.llm import minhash, q_corpus, suffixes
@@ -56,6 +57,22 @@ def test_large_group_by_hubs_and_tiles(spark):
     assert got == dict(zip((d for d, _ in docs), near_components(docs), strict=True))
 
 
+def test_repeated_rows_and_bytes_are_bounded_in_tiles(spark, monkeypatch):
+    """Rows that repeat id and text reach the tiles once, and a group of few but long texts is cut by its bytes."""
+    rng = random.Random(6)
+    base = prose(13, 150).split()
+    docs = [(i, edited(rng, base, rng.choice([0, 1, 2, 3, 4]))) for i in range(40)] + [(None, " ".join(base) + " end")] * 300
+    real, seen = minhash.check_tiles, []
+    monkeypatch.setattr(minhash, "check_tiles", lambda tiles, percent: seen.append(tiles.groupBy("gid", "tile").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()) or real(tiles, percent))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for tile_bytes in (minhash.TILE_BYTES, 16_000):
+        seen.clear()
+        got = minhash.near_duplicates(frame, tile_bytes=tile_bytes).collect()
+        assert sorted(repr((r["doc_id"], r["component_id"])) for r in got) == sorted(repr((d, c)) for (d, _), c in zip(docs, near_components(docs), strict=True))
+        assert all(r["n"] <= 41 for rows in seen for r in rows)
+    assert all(r["b"] <= 2 * 16_000 for rows in seen for r in rows)
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(3)
     for n in (3, 40, 2000):
