@@ -8,10 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.functions.elements import AVERAGE, MONOISOTOPIC, formula_mass, inchi_formula
+from ionloom.functions.elements import AVERAGE, MONOISOTOPIC, formula_mass
+from ionloom.functions.inchi import formula_layer, structure_mass
 from ionloom.functions.text import strip_smiles_extension, valid_inchikey
 from ionloom.operators.joins import lookup_join
 from ionloom.schema import COMPOUND_COLUMNS, MISSING, ONTOLOGY_COLUMNS
+from ionloom.session import stage
 
 DERIVED = ["inchi", "inchikey", "smiles", "formula", "exactmass", "averagemass"]
 DERIVED_SCHEMA = (
@@ -38,11 +40,15 @@ def one_per_key(lookup: DataFrame, key: str) -> DataFrame:
 
 
 def structure_table(compounds: DataFrame) -> DataFrame:
-    """Compound table keyed by structure text: each row once under its InChI, once under its SMILES."""
+    """Compound table keyed by structure text: each row once under its InChI, once under its SMILES.
+
+    Written out, like all lookups: a join can split a hot key's partition only where its other side is
+    read as it lies, not where it is aggregated by the same key in the same stage.
+    """
     facts = F.struct(*[F.col(c) for c in DERIVED]).alias("facts")
     texts = F.array_distinct(F.array("inchi", "smiles"))
     rows = compounds.select(F.explode(texts).alias("structure"), facts)
-    return one_per_key(rows.filter(F.col("structure") != ""), "structure")
+    return stage(one_per_key(rows.filter(F.col("structure") != ""), "structure"), "structures")
 
 
 def derive_structures(
@@ -57,7 +63,7 @@ def resolve_structures(df: DataFrame, table: DataFrame) -> DataFrame:
     """Replace identifiers and masses by those of the InChI, else of the SMILES; else keep them.
 
     ``table`` has ``structure`` and a ``facts`` struct. Masses still missing come from the
-    InChI formula layer or the formula.
+    InChI with its proton and isotope layers or the formula.
     """
     keyed = df.withColumns(
         {"_inchi": F.nullif("inchi", F.lit("")), "_smiles": F.nullif(strip_smiles_extension(F.col("smiles")), F.lit(""))}
@@ -76,13 +82,12 @@ def resolve_structures(df: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def fill_masses(df: DataFrame) -> DataFrame:
-    formula = F.coalesce(inchi_formula(F.col("inchi")), F.nullif("formula", F.lit("")))
-    return df.withColumns(
-        {
-            "exactmass": F.coalesce("exactmass", formula_mass(formula, MONOISOTOPIC)),
-            "averagemass": F.coalesce("averagemass", formula_mass(formula, AVERAGE)),
-        }
-    )
+    named = formula_layer(F.col("inchi")).isNotNull()
+
+    def mass(weights: dict[str, float]) -> Column:
+        return F.when(named, structure_mass(F.col("inchi"), weights)).otherwise(formula_mass(F.nullif("formula", F.lit("")), weights))
+
+    return df.withColumns({"exactmass": F.coalesce("exactmass", mass(MONOISOTOPIC)), "averagemass": F.coalesce("averagemass", mass(AVERAGE))})
 
 
 def structure_reason(require_all: bool = False) -> Column:
@@ -99,13 +104,13 @@ def structure_reason(require_all: bool = False) -> Column:
 def enrich_compounds(df: DataFrame, compounds: DataFrame) -> DataFrame:
     """Left join on InChIKey; a lookup value wins when it is not NULL."""
     names = {c: f"_{c}" for c in COMPOUND_COLUMNS}
-    lookup = one_per_key(compounds.select("inchikey", *COMPOUND_COLUMNS), "inchikey").withColumnsRenamed(names)
+    lookup = stage(one_per_key(compounds.select("inchikey", *COMPOUND_COLUMNS), "inchikey"), "compounds").withColumnsRenamed(names)
     joined = lookup_join(df, lookup, "inchikey")
     return joined.withColumns({c: F.coalesce(names[c], c) for c in COMPOUND_COLUMNS}).drop(*names.values())
 
 
 def enrich_ontology(df: DataFrame, ontologies: DataFrame) -> DataFrame:
     """Six class columns from the lookup, ``NOT FOUND`` otherwise."""
-    lookup = one_per_key(ontologies.select("inchikey", *ONTOLOGY_COLUMNS), "inchikey")
+    lookup = stage(one_per_key(ontologies.select("inchikey", *ONTOLOGY_COLUMNS), "inchikey"), "ontologies")
     joined = lookup_join(df.drop(*ONTOLOGY_COLUMNS), lookup, "inchikey")
     return joined.withColumns({c: F.coalesce(c, F.lit(MISSING)) for c in ONTOLOGY_COLUMNS})

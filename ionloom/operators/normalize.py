@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.functions import text as tx
-from ionloom.functions.elements import formula_mass, inchi_formula
+from ionloom.functions.elements import formula_mass
 from ionloom.functions.exprs import first_number, matches
+from ionloom.functions.inchi import structure_mass
 from ionloom.operators.instruments import InstrumentRule, normalize_instruments
 from ionloom.schema import MISSING, TEXT_COLUMNS
 
@@ -60,8 +61,8 @@ def precursor_needs_recompute(precursor: Column) -> Column:
 
 
 def neutral_mass() -> Column:
-    """Exact mass of the structure: InChI formula layer, else the formula field."""
-    return F.coalesce(formula_mass(inchi_formula(F.col("inchi"))), formula_mass(F.col("formula")))
+    """Exact mass of the structure: that of the InChI with its layers, else of the formula field."""
+    return F.coalesce(structure_mass(F.col("inchi")), formula_mass(F.col("formula")))
 
 
 def recompute_precursor(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from ionloom.operators.normalize import normalize_values
 from ionloom.schema import Params
 from ionloom.session import stage
 from ionloom.sinks import writers as wr
-from ionloom.sources.lookups import DEFAULT_INSTRUMENTS, adduct_table
+from ionloom.sources.lookups import DEFAULT_INSTRUMENTS, adduct_table, complete_adducts
 from ionloom.sources.readers import ingest
 
 
@@ -28,7 +28,8 @@ class Lookups(NamedTuple):
     """Lookup tables of a run; ``compounds`` and ``ontologies`` are optional user tables.
 
     ``structure_fn`` is the hook of a chemistry toolkit (see ``derive_structures``); its facts
-    then replace those of the compound table.
+    then replace those of the compound table. With ``adduct_grammar`` names that the adduct table
+    lacks are read by the grammar.
     """
 
     adducts: DataFrame
@@ -36,6 +37,7 @@ class Lookups(NamedTuple):
     compounds: DataFrame | None = None
     ontologies: DataFrame | None = None
     structure_fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None
+    adduct_grammar: bool = True
 
 
 class Curated(NamedTuple):
@@ -138,6 +140,8 @@ def curate(
     """
     parsed = stage(fingerprint(raw), "parsed")
     verdicts = stage(screen_verdicts(parsed, registry), "verdicts")
+    if lookups.adduct_grammar:
+        lookups = lookups._replace(adducts=complete_adducts(parsed, lookups.adducts))
     cleaned = stage(clean(passing(parsed, verdicts), lookups, params), "cleaned")
     live = cleaned.filter(F.col("deletion_reason").isNull())
     # A class in one file as far as its size allows, split where it is large: few files per sink.
@@ -176,7 +180,7 @@ def run(
     if batch_id is None:
         batch_id = next_batch(known)
     earlier = known.filter(F.col("batch_id") != batch_id)
-    result, cleaned = curate(ingest(spark, paths), lookups, params, earlier)
+    result, cleaned = curate(ingest(spark, paths, multiline=params.multiline), lookups, params, earlier)
     wr.write_spectra(result.kept, out, params, batch_id)
     wr.write_rejects(result.rejects, f"{out}/REJECTS/batch_id={batch_id}")
     registered = cleaned if params.register == "all" else result.kept

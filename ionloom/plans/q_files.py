@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,14 +12,18 @@ from ionloom.functions.exprs import first_number
 from ionloom.functions.peaks import to_text
 from ionloom.operators import classify as cl
 from ionloom.operators.dedup import with_splash
+from ionloom.operators.instruments import normalize_instruments
+from ionloom.operators.normalize import normalize_adduct, with_adduct_facts
 from ionloom.plans import fixture as fx
 from ionloom.plans import oracle as orc
+from ionloom.plans.pipeline import Lookups
+from ionloom.schema import Params
 from ionloom.session import new_path
 from ionloom.sinks import formats as fm
 from ionloom.sinks import writers as wr
 from ionloom.sources import lookups as lk
 from ionloom.sources import readers as rd
-from ionloom.streaming.incremental import first_copies, msp_stream, start_incremental
+from ionloom.streaming.incremental import first_copies, library_stream, start_curation
 
 QUERIES = {}
 ORACLES = {}
@@ -160,27 +166,90 @@ _add("ingest_all", ingest_all, RAW,
 
 
 def detect_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Separators found in the files of a ``;`` and of a tab library."""
+    """Spectra in the files of a ``;`` and of a tab library, by the separator that is found for their file."""
     paths = [_write_csv(spark, sf_dir, ";"), _write_csv(spark, sf_dir, "\t")]
     found = rd.detect_separators(spark, paths)
-    return found.select(F.when(F.col("separator") == "\t", "tab").otherwise("semicolon").alias("separator")).distinct()
+    read = rd.read_csv(spark, paths).select("filename", F.size("peaks").alias("n")).join(found, "filename")
+    mark = F.when(F.col("separator") == "\t", "tab").otherwise("semicolon")
+    return read.groupBy(mark.alias("separator")).agg(F.count(F.lit(1)).alias("spectra"), F.sum("n").alias("peaks"))
 
 
 def file_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records whose file name and hash (SHA-256 of the file's decimal size) are those of a listed file."""
-    path = _write_msp(spark, sf_dir)
-    listed = spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2(F.col("length").cast("string"), 256).alias("expected")
-    )
-    records = rd.scan_msp(spark, path).join(listed, "filename", "left")
-    good = F.coalesce(F.col("filehash") == F.col("expected"), F.lit(False))
-    return records.groupBy(good.alias("has_provenance")).agg(F.count(F.lit(1)).alias("records"))
+    """Sixteen files of records whose sizes are known: the hash of each (SHA-256 of its decimal size)."""
+    path = new_path(spark, "sized") + "/library.msp"
+    record = F.concat(F.lit("Name: part"), F.col("part"), F.lit("\nPrecursorMZ: "), F.col("record_id"), F.lit("\nNum Peaks: 1\n100 1"))
+    rows = fx.headers(spark, sf_dir, []).withColumn("part", (F.col("record_id") % 16).cast("string"))
+    rows.repartition("part").select("part", record.alias("value")).write.partitionBy("part").option("lineSep", "\n\n").text(path)
+    records = rd.read_msp(spark, path)
+    return records.groupBy("name").agg(F.max("filehash").alias("filehash"), F.count(F.lit(1)).alias("records"))
+
+
+_add("detect_separator", detect_separator, RAW,
+     "SELECT unnest(['tab', 'semicolon']) AS separator, count(*) AS spectra, sum(len(peaks))::BIGINT AS peaks FROM raw")
+QUERIES["file_provenance"] = file_provenance
+ORACLES["file_provenance"] = (
+    "SELECT name, sha256(sum(length(name) + length(id) + 41)::BIGINT::VARCHAR) AS filehash, count(*) AS records "
+    "FROM (SELECT concat('part', o_orderkey % 16) AS name, o_orderkey::VARCHAR AS id FROM orders) GROUP BY name"
+)
+
+#: Every so many spectra one record can't be read.
+ODD = "record_id % 50 = 7"
+
+
+def _array_texts(spark: SparkSession, sf_dir: str, joint: str, pretty: bool) -> DataFrame:
+    """``part, value``: arrays of at most 500 consecutive spectra, some of whose objects are malformed."""
+    fields = [F.col(c).alias(k) for c, k in SPELLING.items()]
+    whole = F.struct(*fields, F.transform("peaks", lambda p: F.array(p["mz"], p["intensity"])).alias("peaks"))
+    text = F.to_json(whole, {"pretty": "true"}) if pretty else F.to_json(whole)
+    own = F.when(F.expr(ODD), F.lit('{"DB#": oops}')).otherwise(text)
+    rows = _raw(spark, sf_dir).select(F.floor(F.col("record_id") / 500).alias("part"), F.struct("record_id", own.alias("o")).alias("r"))
+    parts = rows.groupBy("part").agg(F.array_sort(F.collect_list("r")).alias("rs"))
+    objects = F.array_join(F.transform("rs", lambda r: r["o"]), joint)
+    return parts.select("part", F.concat(F.lit("["), objects, F.lit("]")).alias("value"))
+
+
+def read_json_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same spectra as arrays with an object a line, on one line, in a free layout, and cut off before their end."""
+    base = new_path(spark, "layouts")
+    texts = {
+        "lines": _array_texts(spark, sf_dir, ",\n", False), "compact": _array_texts(spark, sf_dir, ",", False),
+        "free": _array_texts(spark, sf_dir, "\n ,\t", True),
+    }
+    texts["cut"] = texts["compact"].withColumn("value", F.substr("value", F.lit(1), F.length("value") - 2))
+    out = None
+    for layout, df in texts.items():
+        df.write.partitionBy("part").option("lineSep", "\n").text(f"{base}/{layout}.json")
+        ids = F.substr(F.col("spectrumid"), F.lit(3)).cast("bigint")
+        kept = F.col("deletion_reason").isNull()
+        rows = rd.read_json(spark, f"{base}/{layout}.json").agg(
+            F.lit(layout).alias("layout"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("rejected"),
+            F.sum(F.when(kept, ids)).alias("ids"), F.sum(F.when(kept, F.size("peaks"))).alias("peaks"),
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_add("read_json_layouts", read_json_layouts, RAW,
+     "SELECT layout, count(*) FILTER (NOT odd) AS kept, count(*) FILTER (odd) AS rejected, sum(record_id) FILTER (NOT odd)::BIGINT AS ids, "
+     "sum(len(peaks)) FILTER (NOT odd)::BIGINT AS peaks FROM (SELECT *, record_id % 50 = 7 OR layout = 'cut' AND record_id = max(record_id) "
+     "OVER (PARTITION BY layout, record_id // 500) AS odd FROM raw, (VALUES ('lines'), ('compact'), ('free'), ('cut')) l(layout)) GROUP BY layout")
+
 
+def read_msp_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records parted by lines with blanks, by lines of mixed ends, and by several of them."""
+    body = F.concat_ws("\n", _pairs(": "), F.concat(F.lit("Num Peaks: "), F.size("peaks")), to_text(F.col("peaks"), "\n"))
+    base = new_path(spark, "separators")
+    marks = {"blanks": "\n \t \n", "mixed": "\n\r\n", "several": "\n\n  \n\r\n"}
+    out = None
+    for layout, mark in marks.items():
+        _raw(spark, sf_dir).select(body.alias("value")).write.option("lineSep", mark).text(f"{base}/{layout}.msp")
+        rows = _parsed(rd.read_msp(spark, f"{base}/{layout}.msp")).select(F.lit(layout).alias("layout"), "record_id", "name", "peaks_text")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
-_add("detect_separator", detect_separator, [], "")
-ORACLES["detect_separator"] = "SELECT unnest(['tab', 'semicolon']) AS separator"
-_add("file_provenance", file_provenance, [], "")
-ORACLES["file_provenance"] = "SELECT true AS has_provenance, count(*) AS records FROM orders"
+
+_add("read_msp_separators", read_msp_separators, RAW,
+     f"SELECT layout, record_id, name, {orc.peak_text()} AS peaks_text FROM raw, (VALUES ('blanks'), ('mixed'), ('several')) l(layout) WHERE {HAS_PEAKS}")
 
 
 def lookup_readers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +269,69 @@ _add("lookup_readers", lookup_readers, [orc.compounds(), orc.ontologies()],
      "FROM compounds c LEFT JOIN ontologies o ON o.inchikey = c.inchikey")
 
 
+def _write_lines(spark: SparkSession, name: str, lines: list[str]) -> str:
+    path = new_path(spark, name)
+    spark.createDataFrame([("\n".join(lines),)], "value string").write.text(path)
+    return path
+
+
+def read_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON Lines under field names of a user's own, read with the synonym file that names them."""
+    path = new_path(spark, "own-names") + "/library.json"
+    fields = [F.col(c).alias(f"own {c} !") for c in COLUMNS]
+    peaks = F.transform("peaks", lambda p: F.array(p["mz"], p["intensity"])).alias("peaks")
+    _raw(spark, sf_dir).select(F.to_json(F.struct(*fields, peaks)).alias("value")).write.text(path)
+    lines = ["known_synonym;canonical", *(f"own {c} !;{c.upper()}" for c in COLUMNS), "own name !;nonsense", "own name !;NAME", "x;no_column"]
+    return _parsed(rd.read_json(spark, path, lk.read_synonyms(spark, _write_lines(spark, "synonyms", lines))))
+
+
+_add("read_synonyms", read_synonyms, RAW, _ALL)
+
+
+def read_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruments assigned by a rule tree that was written as JSON and read back."""
+    tree: dict = {}
+    for rule in lk.DEFAULT_INSTRUMENTS:
+        node = tree
+        for key in rule[:6]:
+            node = node.setdefault(key, {})
+        node["SOLUTION"] = rule.solution
+    rules = lk.read_instruments(spark, _write_lines(spark, "instruments", json.dumps(tree, indent=1).split("\n")))
+    df = fx.headers(spark, sf_dir, ["instrument", "instrumenttype", "comment", "resolution", "ionization"])
+    return normalize_instruments(df, rules).select("record_id", "instrument", "instrumenttype", "resolution", "ionization")
+
+
+_add("read_instruments", read_instruments, [*RAW, *orc.instruments("raw")],
+     "SELECT record_id, instrument, instrumenttype, resolution, ionization FROM ins")
+
+
+def read_adducts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adducts normalised, with their mass shift, by an adduct table that was written as a file, twice over, and read back."""
+    path = new_path(spark, "adducts")
+    for mode in ("overwrite", "append"):
+        lk.adduct_table(spark).write.mode(mode).options(sep=";", header=True).csv(path)
+    adducts = lk.read_adducts(spark, path)
+    df = normalize_adduct(fx.headers(spark, sf_dir, ["precursortype", "instrumenttype"]), adducts)
+    return with_adduct_facts(df, adducts).select("record_id", "precursortype", F.round("massdiff", 6).alias("massdiff"))
+
+
+_add("read_adducts", read_adducts, [*RAW, *orc.adduct("raw"), orc.facts()],
+     "SELECT record_id, precursortype, round(massdiff, 6) AS massdiff FROM adu LEFT JOIN facts ON canonical = precursortype")
+
+
+def ingest_split_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV and JSON libraries routed together, the CSV files split by lines as no field has a line break."""
+    path = new_path(spark, "flat") + "/library.csv"
+    columns = [F.col(c).alias(k) for c, k in SPELLING.items()]
+    table = _raw(spark, sf_dir).select(*columns, to_text(F.col("peaks"), " ").alias("peaks"))
+    table.write.options(sep=";", header=True, quote='"', escape='"', emptyValue="").csv(path)
+    rows = rd.ingest(spark, [path, _write_jsonl(spark, sf_dir)], multiline=False)
+    return rows.groupBy("spectrumid").agg(F.count(F.lit(1)).alias("copies"), F.countDistinct("name", "inchikey").alias("kinds"))
+
+
+_add("ingest_split_csv", ingest_split_csv, RAW, "SELECT spectrumid, 2::BIGINT AS copies, 1::BIGINT AS kinds FROM raw")
+
+
 # --- record parsing steps -------------------------------------------------------------------
 
 
@@ -540,22 +672,33 @@ _add("reject_sink", reject_sink, RAW,
 
 
 def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even spectra arrive first, then all of them; the second run adds only unseen ones."""
+    """Even spectra arrive first, then all of them; the second micro-batch keeps only unseen ones, and
+    every record of both is kept or among the rejects."""
     base = new_path(spark, "stream")
-    source = f"{base}/in"
     record = F.concat_ws("\n", _pairs(": "), to_text(F.col("peaks")))
     spectra = _raw(spark, sf_dir).select("record_id", record.alias("value"))
-    for rows in (spectra.filter("record_id % 2 = 0"), spectra):
-        rows.select("value").write.mode("append").option("lineSep", "\n\n").text(source)
-        start_incremental(msp_stream(spark, source), f"{base}/out", f"{base}/registry", f"{base}/checkpoint").awaitTermination()
-    out = spark.read.parquet(f"{base}/out/spectra")
-    return out.filter("splash is not null").groupBy("batch_id").agg(
-        F.count_distinct("splash").cast("bigint").alias("keys")
-    ).select(F.col("batch_id").cast("bigint").alias("batch_id"), "keys")
+    lookups, params = Lookups(lk.adduct_table(spark)), Params(csv=False, json=False)
+    for name, rows in (("even", spectra.filter("record_id % 2 = 0")), ("all", spectra)):
+        rows.select("value").write.option("lineSep", "\n\n").text(f"{base}/in/{name}.msp")
+        start_curation(library_stream(spark, f"{base}/in"), f"{base}/out", f"{base}/checkpoint", lookups, params).awaitTermination()
+    registered = spark.read.parquet(f"{base}/out/REGISTRY").groupBy("batch_id").agg(F.count_distinct("splash").alias("keys"))
+    options = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": True}
+    rejects = spark.read.options(**options).csv(f"{base}/out/REJECTS").groupBy("batch_id", "deletion_reason").agg(F.count(F.lit(1)).alias("n"))
+    audited = rejects.groupBy("batch_id").agg(
+        F.sum(F.when(F.col("deletion_reason") == "unparsable", F.col("n"))).alias("unparsable"),
+        F.sum(F.when(F.col("deletion_reason").isin("already_seen", "duplicate"), F.col("n"))).alias("known"),
+    )
+    return registered.join(audited, "batch_id").select(
+        F.col("batch_id").cast("bigint").alias("batch_id"), "keys", F.coalesce("unparsable", F.lit(0)).alias("unparsable"),
+        F.coalesce("known", F.lit(0)).alias("known"),
+    )
 
 
 _add("stream_incremental", stream_incremental, [*RAW, *orc.splash("raw")],
-     "SELECT batch_id, count(*) AS keys FROM (SELECT splash, min(record_id % 2) AS batch_id FROM spl WHERE splash IS NOT NULL GROUP BY 1) GROUP BY 1")
+     "SELECT batch_id, count(DISTINCT splash) FILTER (fresh) AS keys, count(*) FILTER (n_peaks = 0) AS unparsable, "
+     "count(*) FILTER (splash IS NOT NULL) - count(DISTINCT CASE WHEN fresh THEN coalesce(nullif(trim(inchikey), ''), record_id::VARCHAR) || splash END) AS known "
+     "FROM (SELECT batch_id, s.*, first = batch_id AS fresh FROM (SELECT spl.splash, raw.record_id, raw.inchikey, len(raw.peaks) AS n_peaks, min(raw.record_id % 2) OVER (PARTITION BY splash) AS first "
+     "FROM raw LEFT JOIN spl USING (record_id)) s, (VALUES (0), (1)) b(batch_id) WHERE batch_id = 1 OR record_id % 2 = 0) GROUP BY batch_id")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

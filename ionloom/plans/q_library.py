@@ -127,6 +127,30 @@ _add("distinct_structures", distinct_structures, RAW,
      "SELECT inchi AS structure FROM raw WHERE inchi <> '' UNION SELECT smiles FROM raw WHERE smiles <> ''")
 
 
+def _toolkit(frames):
+    """Stands in for a chemistry toolkit: facts that follow from the text of a structure."""
+    for frame in frames:
+        text = frame["structure"]
+        yield frame.assign(
+            inchi="InChI=" + text, inchikey=text.str.len().astype(str) + "-KEY", smiles=text.str.upper(), formula="C" + text.str.len().astype(str),
+            exactmass=text.str.len() + 0.5, averagemass=text.str.count("C") * 12.0,
+        )
+
+
+def derive_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts that the toolkit hook gives for every distinct structure, back on the spectra that name it."""
+    df = fx.headers(spark, sf_dir, ["inchi", "smiles", "inchikey", "formula"])
+    blank = F.lit(None).cast("double")
+    facts = stage(en.derive_structures(en.distinct_structures(df), _toolkit), "structures")
+    out = en.resolve_structures(df.withColumns({"exactmass": blank, "averagemass": blank, "smiles": F.lit("")}), facts)
+    return out.filter("inchi <> ''").select("record_id", "inchi", "inchikey", "smiles", "formula", "exactmass", "averagemass")
+
+
+_add("derive_structures", derive_structures, RAW,
+     "SELECT record_id, 'InChI=' || inchi AS inchi, length(inchi) || '-KEY' AS inchikey, upper(inchi) AS smiles, 'C' || length(inchi) AS formula, "
+     "length(inchi) + 0.5e0 AS exactmass, 12.0e0 * (length(inchi) - length(replace(inchi, 'C', ''))) AS averagemass FROM raw WHERE inchi <> ''")
+
+
 def formula_masses(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fx.headers(spark, sf_dir, ["inchi", "formula"])
     formula = F.coalesce(inchi_formula(F.col("inchi")), F.col("formula"))

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionloom.functions import inchi as ic
 from ionloom.functions import text as tx
+from ionloom.functions.adducts import read_adduct
+from ionloom.functions.elements import AVERAGE
 from ionloom.functions.exprs import first_number
 from ionloom.operators import instruments as ins
 from ionloom.operators import normalize as nm
 from ionloom.plans import fixture as fx
 from ionloom.plans import oracle as orc
-from ionloom.sources.lookups import DEFAULT_INSTRUMENTS, adduct_table
+from ionloom.sources.lookups import DEFAULT_INSTRUMENTS, adduct_table, complete_adducts
 
 QUERIES = {}
 ORACLES = {}
@@ -169,3 +172,90 @@ _add("normalize_values", normalize_values, [*RAW, *orc.normalized("raw")],
      "SELECT record_id, smiles, inchi, inchikey, ionization, instrument, instrumenttype, resolution, precursortype, "
      "round(precursor, 5) AS precursormz, ionmode, predicted, mslevel, round(rt, 6) AS rt, "
      f"coalesce(CASE WHEN {orc.NO_STRUCTURE} THEN 'no_structure' END, adduct_reason) AS deletion_reason FROM nrm")
+
+
+# Adducts put together from an order's key: molecules, lost protons, a cation, a neutral molecule and the ion.
+_ADDUCT_PARTS = {
+    "molecules": "o_orderkey % 3", "lost": "o_orderkey % 4", "times": "1 + o_orderkey % 2", "cation": "(o_orderkey // 4) % 3",
+    "neutral": "(o_orderkey // 12) % 4", "ion": "(o_orderkey // 48) % 4", "heavy": "(o_orderkey // 192) % 2",
+}
+
+
+def _adduct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = {c: F.expr(e.replace("//", "div")) for c, e in _ADDUCT_PARTS.items()}
+
+    def pick(values: list[str], c: str):
+        return F.element_at(F.array(*map(F.lit, values)), part[c].cast("int") + 1)
+
+    name = F.concat(
+        pick(["", "2", "3"], "molecules"), F.lit("M"), pick(["", "-H", "-2H", "-3H"], "lost"), F.lit("+"),
+        F.when(part["times"] == 2, "2").otherwise(""), pick(["Na", "K", "Ca"], "cation"), pick(["+H2O", "+CH3OH", "+NaCl", "-NH3"], "neutral"),
+        pick(["+H", "+Na", "+NH4", "+Cl"], "ion"),
+        F.when((part["heavy"] == 1) & (part["ion"] == 3), "_37Cl1").otherwise(""),
+    )
+    return fx.table(spark, sf_dir, "orders").select(name.alias("name")).distinct()
+
+
+def adduct_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical text, charge, ion mode and mass shift of adduct names; NULL where the terms are no ion."""
+    read = _adduct_names(spark, sf_dir).select("name", F.inline(F.array(read_adduct(F.col("name")))))
+    return read.withColumn("massdiff", F.round("massdiff", 4))
+
+
+def complete_adduct_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra by the polarity of their adduct, where the default table lacks the name and the grammar reads it."""
+    names = _adduct_names(spark, sf_dir).withColumn("precursortype", F.concat(F.lit("["), "name", F.lit("]")))
+    full = complete_adducts(names, adduct_table(spark))
+    out = nm.with_adduct_facts(nm.normalize_adduct(names.withColumn("instrumenttype", F.lit("LC")), full), full)
+    return out.select("name", "precursortype", "adduct_in_pos", "adduct_in_neg", F.round("massdiff", 4).alias("massdiff"))
+
+
+_ADDUCTS = f"""parts AS (SELECT DISTINCT {", ".join(f"{e} AS {c}" for c, e in _ADDUCT_PARTS.items())} FROM orders),
+texts AS (SELECT *, ['', '2', '3'][molecules + 1] || 'M' || ['', '-H', '-2H', '-3H'][lost + 1] || '+' || CASE WHEN times = 2 THEN '2' ELSE '' END
+   || ['Na', 'K', 'Ca'][cation + 1] || ['+H2O', '+CH3OH', '+NaCl', '-NH3'][neutral + 1] AS head,
+   ['+H', '+Na', '+NH4', '+Cl'][ion + 1] AS tail, CASE WHEN heavy = 1 AND ion = 3 THEN '_37Cl1' ELSE '' END AS isotope,
+   times * [1, 1, 2][cation + 1] - lost AS z0,
+   times * [22.98976928e0, 38.96370649e0, 39.9625909e0][cation + 1] - lost * 1.0078250322e0 + [18.0105646834e0, 32.0262147478e0, 57.95862198e0, -17.0265491006e0][neutral + 1]
+   + [1.0078250322e0, 22.98976928e0, 18.0343741328e0, 34.9688527e0][ion + 1] AS mass FROM parts),
+ions AS (SELECT head || tail || isotope AS name, z0 + [1, 1, 1, -1][ion + 1] AS z,
+   CASE WHEN z0 = 0 THEN '(' || head || ')' ELSE head END || tail AS body, isotope, mass + CASE WHEN isotope <> '' THEN 1.9970499e0 ELSE 0e0 END AS mass FROM texts),
+adducts_read AS (SELECT DISTINCT name, CASE WHEN z <> 0 THEN '[' || body || ']' || CASE WHEN abs(z) > 1 THEN abs(z)::VARCHAR ELSE '' END
+   || CASE WHEN z > 0 THEN '+' ELSE '-' END || isotope END AS canonical, nullif(z, 0)::INT AS charge,
+   CASE WHEN z > 0 THEN 'positive' WHEN z < 0 THEN 'negative' END AS ionmode, CASE WHEN z <> 0 THEN round(mass - z * 0.000548579909e0, 4) END AS massdiff FROM ions)"""
+
+_add("adduct_grammar", adduct_grammar, [_ADDUCTS], "SELECT * FROM adducts_read")
+_add("complete_adduct_table", complete_adduct_table, [_ADDUCTS],
+     "SELECT name, coalesce(canonical, '[' || name || ']') AS precursortype, coalesce(charge > 0, false) AS adduct_in_pos, "
+     "coalesce(charge < 0, false) AS adduct_in_neg, massdiff FROM adducts_read")
+
+
+def inchi_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charge, protons and masses of InChIs with proton, charge, isotope and counted component layers."""
+    key = "o_orderkey"
+    text = F.expr(
+        f"concat('InChI=1S/', case when {key} % 2 = 0 then '2' else '' end, 'C', 2 + {key} % 9, 'H', 4 + {key} % 7, 'ClNO.Na/c;/h;/q', "
+        f"case when {key} % 2 = 0 then '2*-1;+1' else ';+1' end, case when {key} % 5 = 0 then '' else concat('/p', case when {key} % 5 > 2 then '+' else '-' end, {key} % 3) end, "
+        f"case when {key} % 4 = 0 then '' else concat('/i', case when {key} % 2 = 0 then '2*' else '' end, '1+1,2D', {key} % 4, ',', 3 + {key} % 9, '+2;') end)"
+    )
+    inchi = F.col("inchi")
+    return fx.table(spark, sf_dir, "orders").select(F.col(key).alias("record_id"), text.alias("inchi")).select(
+        "record_id", ic.formula_layer(inchi).alias("formula"), ic.charge(inchi).alias("charge"), ic.protons(inchi).alias("protons"),
+        F.round(ic.inchi_mass(inchi), 4).alias("exactmass"), F.round(ic.inchi_mass(inchi, AVERAGE), 3).alias("averagemass"),
+    )
+
+
+def _sql_inchi_mass(c: float, h: float, n: float, o: float, cl: float, na: float) -> str:
+    labels = f"(13.00335483507e0 - {c}) + d * (2.01410177812e0 - {h}) + 36.965902602e0 - {cl}"
+    return (
+        f"times * (c * {c} + h * {h} + {cl} + {n} + {o}) + {na} + p * {h} + CASE WHEN d > 0 THEN times * ({labels}) ELSE 0e0 END"
+    )
+
+
+_EXACT = _sql_inchi_mass(12.0, 1.0078250322, 14.003074004, 15.994914619, 34.9688527, 22.98976928)
+_MEAN = _sql_inchi_mass(12.011, 1.008, 14.007, 15.999, 35.45, 22.98976928)
+_add("inchi_layers", inchi_layers,
+     ["k AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS times, 2 + o_orderkey % 9 AS c, 4 + o_orderkey % 7 AS h, "
+      "CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 5 > 2 THEN o_orderkey % 3 ELSE -(o_orderkey % 3) END AS p, o_orderkey % 4 AS d FROM orders)"],
+     "SELECT id AS record_id, CASE WHEN times = 2 THEN '2' ELSE '' END || 'C' || c || 'H' || h || 'ClNO.Na' AS formula, "
+     "(CASE WHEN times = 2 THEN -1 ELSE 1 END + p)::INT AS charge, p::INT AS protons, "
+     f"round({_EXACT}, 4) AS exactmass, round({_MEAN}, 3) AS averagemass FROM k")

@@ -102,3 +102,4 @@ class Params:
     msp: bool = True
     json: bool = True
     reset: bool = False
+    multiline: bool = True

@@ -21,8 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a shared folder")
-    folder = tempfile.mkdtemp(prefix="ionloom-")
-    spark.conf.set("spark.ionloom.scratch", spark.conf.get("spark.ionloom.scratch", folder))
+    if not spark.conf.get("spark.ionloom.scratch", None):
+        spark.conf.set("spark.ionloom.scratch", tempfile.mkdtemp(prefix="ionloom-"))
     return spark.conf.get("spark.ionloom.scratch")
 
 

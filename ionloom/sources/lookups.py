@@ -9,11 +9,13 @@ from itertools import combinations_with_replacement
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.functions.elements import ELECTRON, MONOISOTOPIC
+from ionloom.functions.adducts import CHARGES, HEAVY, MASSES, NAMED, SOLVENTS, group_mass, read_adduct
+from ionloom.functions.elements import ELECTRON
+from ionloom.functions.text import strip_adduct
 from ionloom.operators.enrich import one_per_key
 from ionloom.operators.instruments import InstrumentRule
 from ionloom.schema import COMPOUND_COLUMNS, ONTOLOGY_COLUMNS
-from ionloom.session import local_table
+from ionloom.session import local_table, stage
 
 # The lower-case field names that fill each canonical column.
 FIELD_NAMES = {
@@ -73,16 +75,41 @@ FIELD_NAMES = {
     "num_peaks": ["num peaks", "num_peaks", "numpeaks"],
 }
 
-# Group names that are not plain formulas.
-GROUPS = {
-    "ACN": "C2H3N", "FA": "CH2O2", "Hac": "C2H4O2", "HAc": "C2H4O2", "MeOH": "CH4O", "TFA": "C2HF3O2",
-    "acetate": "C2H3O2", "Ac": "C2H2O", "DMSO": "C2H6OS", "IsoProp": "C3H8O", "CH3OCa": "CH3OCa",
-}
-LITHIUM = 7.016003
-# Isotopes that adduct names spell out, and charges of cations.
-ISOTOPES = {"37Cl": 36.96590260}
-CATIONS = {"H": 1, "Na": 1, "K": 1, "NH4": 1, "Li": 1, "Ca": 2, "Fe": 2}
+#: Cations and anions of the clusters.
+CATIONS = {ion: CHARGES[ion] for ion in ("H", "Na", "K", "NH4", "Li", "Ca", "Fe")}
 ANIONS = ["Cl", "37Cl", "Br", "I", "F", "HCOO", "CH3COO", "NO3"]
+# Names in use whose canonical text does not follow from their terms, and the name that they stand for.
+READINGS = {
+    "M+FA": ("[M+FA]-", "M+FA-H"),
+    "M-C2H3O": ("[M-C2H3O]-", "M-C2H3O"),
+    "M-C3H7O2": ("[M-C3H7O2]-", "M-C3H7O2"),
+    "M-CH3": ("[M-CH3]-", "M-CH3"),
+    "M-H2O": ("[M-H2O]+", "M-H2O"),
+    "M-HCN-HCN": ("[(M-HCN)-HCN]-", "M-HCN-H"),
+    "M-CH3-H.": ("[M-CH4]+.", "M-CH4"),
+    "M-Ac-H-": ("[M-Ac-H]-", "M-HAc+H"),
+    "M+CH3COOH-H": ("[M+CH3COOH-H]-", "M+CH3COOH-H"),
+    "2M+Hac-H": ("[2M+HAc-H]-", "2M+HAc-H"),
+    "3M+Cl_37Cl2": ("[3M+Cl]2-_37Cl2", "3M+2Cl_37Cl2"),
+    "M-2H+Ca+CH3OH+CH3COOH+Cl_Cl1": ("[(M-2H+Ca+CH3OH+CH3COOH)+Cl]-37_Cl1", "M-2H+Ca+CH3OH+CH3COOH+Cl_37Cl1"),
+    "2M-H+Na": ("[2M-H+Na]+", "2M-H+Na"),
+    "2M-3H+2Ca": ("[(2M-3H+2Ca)]+", "2M-3H+2Ca"),
+    "2M-K+K+2K": ("[(2M-K+K)+2K]2+", "2M-H+K+2K"),
+    "M+Ca-H": ("[(M+Ca)-H]+", "M+Ca-H"),
+    "M-H+Ca": ("[(M-H)+Ca]+", "M-H+Ca"),
+    "M-3H+2Na+Ca": ("[(M-3H+2Na)+Ca]+", "M-3H+2Na+Ca"),
+    "M+Na+CH3CO2Ca-H": ("[(M+Na+CH3CO2Ca-H]+", "M+Na+CH3CO2Ca-H"),
+    "M-H+2CH3O+Ca+Ca": ("[(M-H+2CH3O+Ca)+Ca]+", "M-H+2CH3O+Ca+Ca"),
+    "M-H+2OH+Ca+Ca": ("[(M-H+2OH+Ca)+Ca]+", "M-H+2OH+Ca+Ca"),
+    "M-H+CH3O+CH3COO+Ca+Ca": ("[(M-H+CH3O+CH3COO+Ca)+Ca]+", "M-H+CH3O+CH3COO+Ca+Ca"),
+    "M-H+OH+CH3O+Ca+Ca": ("[(M-H+OH+CH3O+Ca)+Ca]+", "M-H+OH+CH3O+Ca+Ca"),
+    "M+Ca-H+CH3OCa": ("[M+Ca-H+CH3OCa]+", "M+Ca-2H+CH3OCa"),
+    "M+H+CH3OCa": ("[M+H+CH3OCa]+", "M+CH3OCa"),
+    "M+K+CH3OCa": ("[M+K+CH3OCa]+", "M+K-H+CH3OCa"),
+    "M-3H2O+H": ("[M-3H2O+H]+", "M-3H2O+H"),
+    "M-C3H8O+H": ("[M-C3H8O+H]+", "M-C3H8O+H"),
+    "M-C6H10O5+H": ("[M-C6H10O5+H]+", "M-C6H10O5+H"),
+}
 MAX_MOLECULES, MAX_IONS, MAX_CHARGE = 3, 3, 3
 NEUTRAL_LOSSES = [
     "H2O", "2H2O", "NH3", "CO", "CO2", "HCN", "CH2O", "CH3OH", "C2H4", "C4H8", "CH2CO", "CH3CHO", "CH3CHNH",
@@ -118,29 +145,54 @@ def default_synonyms() -> dict[str, list[str]]:
     return {column: list(names) for column, names in FIELD_NAMES.items()}
 
 
-def _formula_mass(formula: str) -> float:
-    tokens = re.findall(r"([A-Z][a-z]?)(\d*)", formula)
-    return sum((LITHIUM if s == "Li" else MONOISOTOPIC[s]) * int(n or 1) for s, n in tokens)
+def terms(name: str) -> list[tuple[int, str, str]]:
+    """``(times, group, token)`` of the terms of a name without brackets; an isotope's mass number belongs to its group."""
+    out = []
+    for token in re.findall(r"[+-]?\w+", name):
+        sign, times, group = re.fullmatch(rf"([+-]?)(\d??)({'|'.join(HEAVY)})|([+-]?)(\d*)(\w+)", token).group(1, 2, 3)
+        if group is None:
+            sign, times, group = re.fullmatch(r"([+-]?)(\d*)(\w+)", token).groups()
+        out.append(((-1 if sign == "-" else 1) * int(times or 1), group, token))
+    return out
 
 
 def adduct_shift(known: str, charge: int) -> float:
-    """Mass shift of an adduct: added minus lost groups, less the electrons of its charge."""
-    shift = 0.0
-    for isotope, mass in ISOTOPES.items():
-        for sign, times in re.findall(rf"([+-])(\d??){isotope}(?![a-z])", known):
-            shift += mass * int(times or 1) * (1 if sign == "+" else -1)
-        known = re.sub(rf"[+-]\d??{isotope}(?![a-z])", "", known)
-    for sign, times, group in re.findall(r"([+-])(\d*)([A-Za-z]\w*)", known.split("M", 1)[1]):
-        mass = _formula_mass(GROUPS.get(group, group)) * int(times or 1)
-        shift += mass if sign == "+" else -mass
+    """Mass shift of an adduct: added minus lost groups, less the electrons of its charge.
+
+    A suffix like ``_37Cl1`` makes so many of the named atoms the heavy isotope.
+    """
+    body, _, isotope = known.partition("_")
+    shift = sum(n * (0.0 if g == "M" else NAMED.get(g) or group_mass(g)) for n, g, _ in terms(body))
+    if isotope:
+        number, element, count = re.fullmatch(r"(\d+)([A-Z][a-z]?)(\d+)", isotope).groups()
+        shift += int(count) * (HEAVY[number + element] - MASSES[element])
     return shift - charge * ELECTRON
 
 
+def canonical_body(name: str) -> str:
+    """The name with its longest neutral start in parentheses, unless that is molecules only or holds a solvent."""
+    own, charge, cut = terms(name), 0, 0
+    for i, (n, group, _) in enumerate(own[:-1]):
+        if group in SOLVENTS:
+            break
+        charge += 0 if group == "M" else n * CHARGES.get(re.sub(r"^\d+", "", group), 0)
+        cut = i + 1 if i and not charge else cut
+    tokens = [t for *_, t in own]
+    return f"({''.join(tokens[:cut])}){''.join(tokens[cut:])}" if cut else name
+
+
 def _ion(known: str, body: str, charge: int) -> tuple[str, str, float, str]:
     sign = "+" if charge > 0 else "-"
     size = "" if abs(charge) == 1 else str(abs(charge))
     mode = "positive" if charge > 0 else "negative"
-    return known, f"[{body}]{size}{sign}", round(adduct_shift(known, charge), 6), mode
+    return known, f"[{canonical_body(body)}]{size}{sign}", round(adduct_shift(known.rstrip("+-"), charge), 6), mode
+
+
+def _reading(known: str) -> tuple[str, str, float, str]:
+    canonical, name = READINGS[known]
+    size, sign = re.search(r"\](\d?)([+-])", canonical).groups()
+    charge = int(size or 1) * (1 if sign == "+" else -1)
+    return known, canonical, round(adduct_shift(name, charge), 6), "positive" if charge > 0 else "negative"
 
 
 def _times(n: int, group: str) -> str:
@@ -182,13 +234,14 @@ def default_adducts() -> list[tuple[str, str, float, str]]:
             rows += [_ion(n, n.rstrip("+-"), sign * z) for n in names]
     for loss in NEUTRAL_LOSSES:
         core = f"M-{loss}"
-        rows += [_ion(f"{core}+{h}", f"({core})+{h}", z) for z, h in ((1, "H"), (2, "2H"), (3, "3H"))]
-        rows.append(_ion(f"{core}-H", f"({core})-H", -1))
+        rows += [_ion(f"{core}+{h}", f"{core}+{h}", z) for z, h in ((1, "H"), (2, "2H"), (3, "3H"))]
+        rows.append(_ion(f"{core}-H", f"{core}-H", -1))
     for gain in NEUTRAL_GAINS:
         core = f"M+{gain}"
-        rows += [_ion(f"{core}+{c}", f"({core})+{c}", 1) for c in ("H", "Na", "K")]
-        rows += [_ion(f"{core}+Cl", f"({core})+Cl", -1), _ion(f"{core}-H", f"({core})-H", -1)]
+        rows += [_ion(f"{core}+{c}", f"{core}+{c}", 1) for c in ("H", "Na", "K")]
+        rows += [_ion(f"{core}+Cl", f"{core}+Cl", -1), _ion(f"{core}-H", f"{core}-H", -1)]
     rows += cluster_ions()
+    rows = [_reading(known) for known in READINGS] + rows
     return list({r[0]: r for r in reversed(rows)}.values())
 
 
@@ -215,6 +268,23 @@ def adduct_table(spark: SparkSession) -> DataFrame:
     return local_table(spark, default_adducts(), ADDUCT_COLUMNS)
 
 
+def complete_adducts(df: DataFrame, adducts: DataFrame) -> DataFrame:
+    """The adduct table with a row for every other name in ``precursortype`` that the grammar can read.
+
+    Names are few against spectra: they are made distinct before anything is read or joined.
+    """
+    names = df.select(strip_adduct(F.col("precursortype")).alias("known_adduct")).filter("known_adduct <> ''").distinct()
+    unknown = names.join(adducts, "known_adduct", "left_anti")
+    # A generator reads each name once; its fields are not put into later expressions.
+    read = stage(unknown.select("known_adduct", F.inline(F.array(read_adduct(F.col("known_adduct"))))), "adducts")
+    return adducts.select(*ADDUCT_COLUMNS).unionByName(read.filter("canonical is not null").select(*ADDUCT_COLUMNS))
+
+
+def _small_file(spark: SparkSession, path: str) -> str:
+    """A lookup file as one text, from any storage that Spark reads; several parts follow each other."""
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+
+
 def _read_parts(spark: SparkSession, path: str) -> DataFrame:
     """All ``;``-separated parts under a path, header in lower case."""
     df = spark.read.option("header", True).option("sep", ";").option("quote", '"').option("escape", '"').csv(path)
@@ -238,21 +308,22 @@ def read_ontologies(spark: SparkSession, path: str) -> DataFrame:
     return _read_parts(spark, path).select("inchikey", *ONTOLOGY_COLUMNS)
 
 
-def read_synonyms(path: str) -> dict[str, list[str]]:
-    """User synonym file (``known;canonical`` with a header) as column -> names."""
+def read_synonyms(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """User synonym file (``known;canonical`` with a header) as column -> names; the last line of a name wins."""
     known = {}
-    with open(path, encoding="utf-8") as handle:
-        for line in handle.read().splitlines()[1:]:
-            name, _, canonical = line.partition(";")
-            known[name] = canonical.strip().lower().replace(" ", "_")
+    for line in _small_file(spark, path).splitlines()[1:]:
+        name, _, canonical = line.partition(";")
+        if canonical.strip():
+            known[name.strip().lower()] = canonical.strip().lower().replace(" ", "_")
     out: dict[str, list[str]] = {}
     for name, canonical in known.items():
         column = "peaks" if canonical == "peaks_list" else canonical
-        out.setdefault(column, []).append(name)
-    return {c: names for c, names in out.items() if c in FIELD_PHRASES}
+        if column in FIELD_NAMES or column == "peaks":
+            out.setdefault(column, []).append(name)
+    return out
 
 
-def read_instruments(path: str) -> list[InstrumentRule]:
+def read_instruments(spark: SparkSession, path: str) -> list[InstrumentRule]:
     """User instrument tree: five nested levels, then resolution -> {"SOLUTION": text}."""
 
     def walk(node: dict, trail: tuple):
@@ -262,5 +333,4 @@ def read_instruments(path: str) -> list[InstrumentRule]:
         for key, child in node.items():
             yield from walk(child, (*trail, key))
 
-    with open(path, encoding="utf-8") as handle:
-        return list(walk(json.load(handle), ()))
+    return list(walk(json.loads(_small_file(spark, path)), ()))

@@ -6,9 +6,10 @@ Every reader yields ``record_id``, the canonical columns as text, ``peaks`` and
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Iterator
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -19,13 +20,14 @@ from ionloom.functions import parse as ps
 from ionloom.functions.exprs import let
 from ionloom.schema import COLUMNS, PEAKS_TYPE
 from ionloom.sources.lookups import default_synonyms
+from ionloom.sources.ranges import blank_line_records, json_array_elements, salvaged
 
 SOURCES = ["msp", "csv", "json", "mgf"]
 SOURCE_STRIDE = 1 << 60
 BLANK_LINE = r"\r?\n[ \t\r]*\n"
 RAW_MAP = "map<string,string>"
-#: A line of a JSON array that holds one whole object, an array bracket, both, or nothing.
-OBJECT_LINE = r"^\ufeff?\s*\[?\s*(\{.*\}\s*,?)?\s*\]?\s*$"
+#: Bytes of a file's start that its format is told by; a longer first line is read on to its end.
+HEAD_BYTES = 1 << 16
 
 
 def provenance() -> list[Column]:
@@ -46,30 +48,56 @@ def record_id(source: str) -> Column:
 
 
 class Heads(NamedTuple):
-    """What the first lines of a file say, per file."""
+    """What the first bytes of a file say, per file: its first line and character, and whether plain blank lines part its records."""
 
     path: str
     header: str
     first_char: str
-    object_lines: bool
+    plain: bool
+
+
+def head_bytes(spark: SparkSession, file: str, limit: int = HEAD_BYTES) -> bytes:
+    """The first bytes of a file of any file system that Spark reads, unpacked, at least to the end of the first line."""
+    hadoop, uri = spark._jvm.org.apache.hadoop, spark._jvm.java.net.URI(file)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    path = hadoop.fs.Path(uri)
+    codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        if codec is not None:
+            stream = codec.createInputStream(stream)
+        head = bytes(stream.readNBytes(limit))
+        while head and len(head) % limit == 0 and b"\n" not in head and head.lstrip(b"\xef\xbb\xbf \t\r")[:1] != b"[":
+            more = bytes(stream.readNBytes(len(head)))
+            head += more
+            if not more:
+                break
+        return head
+    finally:
+        stream.close()
+
+
+def head_of(path: str, head: bytes) -> Heads:
+    text = head.decode("utf-8-sig", errors="replace")
+    header = text.partition("\n")[0]
+    between = {blank for blank in re.findall(r"\n([ \t\r]*)(?=\n)", text)}
+    usual = "\r" if header.endswith("\r") else ""
+    # No blank line in all of a full head says nothing about those that follow.
+    plain = between <= {usual} and (bool(between) or len(head) < HEAD_BYTES)
+    return Heads(path, header, text.lstrip()[:1], plain)
+
+
+def path_of(spark: SparkSession, uri: str) -> str:
+    """The path that a file's URI, as scans report it, stands for."""
+    return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri)).toString()
 
 
 def file_heads(spark: SparkSession, paths: str | list[str]) -> list[Heads]:
-    """First line, first non-blank character, and whether all lines hold whole JSON objects, of every
-    file under the paths, in one job. The list is as long as the scan's own file listing."""
-    text = spark.read.option("lineSep", "\n").text(paths).select("value", "_metadata.file_path")
-    numbered = text.withColumn("at", F.monotonically_increasing_id())
-    filled = F.when(F.trim(F.regexp_replace("value", r"\s+", "")) != "", F.col("at"))
-    rows = (
-        numbered.groupBy("file_path")
-        .agg(
-            F.min_by("value", "at").alias("header"),
-            F.min_by("value", filled).alias("first"),
-            F.min(F.col("value").rlike(OBJECT_LINE)).alias("object_lines"),
-        )
-        .collect()
-    )
-    heads = [Heads(r["file_path"], r["header"] or "", (r["first"] or "").lstrip("\ufeff \t\r")[:1], r["object_lines"]) for r in rows]
+    """The heads of every file under the paths, side by side and without a scan. The list is as long as
+    the scan's own file listing, and no more than a head is read of a file."""
+    files = spark.read.text(paths).inputFiles()
+    with ThreadPoolExecutor(16) as pool:
+        heads = pool.map(lambda f: head_of(path_of(spark, f), head_bytes(spark, f)), files)
     return sorted(heads)
 
 
@@ -87,12 +115,16 @@ def msp_records(text: DataFrame) -> DataFrame:
 
 
 def scan_msp(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per record. Line ends are taken from the first line of each file."""
-    groups = _grouped(file_heads(spark, paths), lambda h: h.header.endswith("\r"))
-    scans = [
-        spark.read.option("lineSep", "\r\n\r\n" if crlf else "\n\n").text(group) for crlf, group in groups.items()
-    ]
-    return _together(spark, [msp_records(s) for s in scans], "value string, filename string, filehash string")
+    """One row per record. Files whose records plain blank lines part are cut there by the scan itself;
+    those with blanks in them or of mixed line ends are read line by line, by ranges."""
+    groups = _grouped(file_heads(spark, paths), lambda h: (h.plain, h.header.endswith("\r")))
+    scans = []
+    for (plain, crlf), group in groups.items():
+        if plain:
+            scans.append(msp_records(spark.read.option("lineSep", "\r\n\r\n" if crlf else "\n\n").text(group)))
+        else:
+            scans.append(blank_line_records(spark, group))
+    return _together(spark, scans, "value string, filename string, filehash string")
 
 
 def _together(spark: SparkSession, parts: list[DataFrame], schema: str) -> DataFrame:
@@ -179,64 +211,35 @@ def scan_json_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines.select(F.from_json("value", RAW_MAP).alias("raw"), "filename", "filehash")
 
 
-def scan_json_object_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Arrays with one object per line: splittable, brackets and commas are taken off each line."""
-    lines = spark.read.text(paths).select("value", *provenance())
-    bare = F.regexp_replace(F.regexp_replace("value", r"^\ufeff?\s*\[?\s*", ""), r"\s*,?\s*\]?\s*$", "")
-    return lines.withColumn("value", bare).filter("value <> ''").select(
-        F.from_json("value", RAW_MAP).alias("raw"), "filename", "filehash"
-    )
-
+def scan_json_array(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Objects of top-level arrays in any layout, by ranges; an element that can't be read is a NULL row.
 
-def array_objects(text: str) -> Iterator[str]:
-    """The elements of a top-level JSON array as texts. What can't be read up to the next element
-    that can is one text of its own."""
-    decoder = json.JSONDecoder()
-    at = text.find("[") + 1
-    while True:
-        while at < len(text) and text[at] in ", \t\r\n":
-            at += 1
-        if at >= len(text) or text[at] == "]":
-            return
-        try:
-            _, end = decoder.raw_decode(text, at)
-        except ValueError:
-            end = text.find("{", at + 1)
-            while end >= 0:
-                try:
-                    decoder.raw_decode(text, end)
-                    break
-                except ValueError:
-                    end = text.find("{", end + 1)
-            end = len(text) if end < 0 else end
-        yield text[at:end]
-        at = end
+    Files whose brackets or quotes don't close can't be cut by ranges: each is one task, which
+    goes on at the next object after what can't be read.
+    """
+    objects, broken = json_array_elements(spark, paths)
+    if broken:
+        objects = objects.unionByName(salvaged_elements(spark, [path_of(spark, f) for f in broken]))
+    return objects.select(F.from_json("value", RAW_MAP).alias("raw"), "filename", "filehash")
 
 
-def scan_json_array(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Objects of top-level arrays in a free layout, where one file is one task; an element that can't
-    be read is a NULL row. Big libraries should have one object per line."""
+def salvaged_elements(spark: SparkSession, paths: list[str]) -> DataFrame:
     files = spark.read.text(paths, wholetext=True).select("value", *provenance())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, name, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                objects = list(array_objects(text))
-                columns = [objects, [name] * len(objects), [digest] * len(objects)]
+            for text, *origin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                objects = list(salvaged(text.partition("[")[2]))
+                columns = [objects, *([o] * len(objects) for o in origin)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["value", "filename", "filehash"])
 
-    objects = files.mapInArrow(run, "value string, filename string, filehash string")
-    return objects.select(F.from_json("value", RAW_MAP).alias("raw"), "filename", "filehash")
+    return files.mapInArrow(run, "value string, filename string, filehash string")
 
 
 def scan_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Array or line reader per file, by its first non-blank character and its lines."""
-    readers = {
-        (True, True): scan_json_object_lines, (True, False): scan_json_array,
-        (False, True): scan_json_lines, (False, False): scan_json_lines,
-    }
-    groups = _grouped(file_heads(spark, paths), lambda h: (h.first_char == "[", bool(h.object_lines)))
-    scans = [readers[kind](spark, group) for kind, group in groups.items()]
+    """Array or line reader per file, by its first non-blank character."""
+    groups = _grouped(file_heads(spark, paths), lambda h: h.first_char == "[")
+    scans = [(scan_json_array if array else scan_json_lines)(spark, group) for array, group in groups.items()]
     return _together(spark, scans, f"raw {RAW_MAP}, filename string, filehash string")
 
 
@@ -271,13 +274,9 @@ def separator_of(line: Column) -> Column:
 
 def detect_separators(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``filename, separator`` per file, from the first line of each file."""
-    head = spark.read.text(paths).select("value", "_metadata.file_name", "_metadata.file_block_start")
-    first = head.filter("file_block_start = 0").withColumn("_at", F.monotonically_increasing_id())
-    return (
-        first.groupBy(F.col("file_name").alias("filename"))
-        .agg(F.min_by("value", "_at").alias("header"))
-        .select("filename", separator_of(F.col("header")).alias("separator"))
-    )
+    heads = [(h.path.rpartition("/")[2], h.header) for h in file_heads(spark, paths)]
+    table = spark.createDataFrame(heads, "filename string, header string")
+    return table.select("filename", separator_of(F.col("header")).alias("separator"))
 
 
 def scan_csv(spark: SparkSession, paths: str | list[str], multiline: bool = True) -> DataFrame:
@@ -345,10 +344,12 @@ def library_files(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]
     unknown = []
 
     def route(path: str) -> bool:
-        suffix = path.rstrip("/").rpartition("/")[2].rpartition(".")[2].lower()
-        if suffix in groups:
+        # Part files of a folder that is named as a library are of its format.
+        names = [part.rpartition(".")[2].lower() for part in path.rstrip("/").split("/") if "." in part]
+        suffix = next((n for n in reversed(names) if n in groups), None)
+        if suffix:
             groups[suffix].append(path)
-        return suffix in groups
+        return suffix is not None
 
     for path in paths:
         if not route(path):
@@ -359,8 +360,11 @@ def library_files(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]
     return groups
 
 
-def ingest(spark: SparkSession, paths: list[str], synonyms=None) -> DataFrame:
-    """Route files by their suffix, folders file by file; union in the order MSP, CSV, JSON, MGF."""
-    readers = {"msp": read_msp, "csv": read_csv, "json": read_json, "mgf": read_mgf}
+def ingest(spark: SparkSession, paths: list[str], synonyms=None, multiline: bool = True) -> DataFrame:
+    """Route files by their suffix, folders file by file; union in the order MSP, CSV, JSON, MGF.
+
+    Without ``multiline`` no CSV field has a line break, and big CSV files are split.
+    """
+    readers = {"msp": read_msp, "csv": partial(read_csv, multiline=multiline), "json": read_json, "mgf": read_mgf}
     parts = [readers[s](spark, group, synonyms) for s, group in library_files(spark, paths).items() if group]
     return reduce(lambda a, b: a.unionByName(b), parts)

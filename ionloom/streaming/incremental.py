@@ -2,25 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ionloom.operators import dedup as dd
 from ionloom.plans.pipeline import Lookups, run
 from ionloom.schema import Params
-from ionloom.sinks.writers import append_registry, open_registry
-from ionloom.sources.readers import msp_records, parse_msp
-
-
-def msp_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Raw record texts of new MSP files in a folder."""
-    reader = spark.readStream.option("lineSep", "\n\n")
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return msp_records(reader.text(folder))
 
 
 def first_copies(df: DataFrame) -> DataFrame:
@@ -30,47 +17,6 @@ def first_copies(df: DataFrame) -> DataFrame:
     return keyed.unionByName(df.filter(~has_key))
 
 
-def start_incremental(
-    records: DataFrame,
-    out: str,
-    registry_path: str,
-    checkpoint: str,
-    curate_batch: Callable[[DataFrame], DataFrame] | None = None,
-) -> StreamingQuery:
-    """Process available files: parse, fingerprint, drop seen spectra, append, register.
-
-    The registry is a table, as seen keys never expire. A replayed batch ignores the rows it
-    registered itself and overwrites its own output folder, so replays change nothing.
-    """
-    spark = records.sparkSession
-    open_registry(spark, registry_path)
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        parsed = batch.sparkSession.read.schema(batch.schema).parquet(_land(batch, out, batch_id))
-        registry = spark.read.parquet(registry_path)
-        earlier = registry.filter(F.col("batch_id") != batch_id)
-        spectra = dd.dedup_keep_richest(dd.with_splash(parse_msp(parsed).filter(F.col("deletion_reason").isNull())))
-        fresh = dd.unseen(spectra, earlier)
-        result = curate_batch(fresh) if curate_batch else fresh
-        result.write.mode("overwrite").parquet(f"{out}/spectra/batch_id={batch_id}")
-        written = spark.read.parquet(f"{out}/spectra/batch_id={batch_id}")
-        append_registry(dd.new_registry_rows(written, registry, batch_id), registry_path)
-
-    return (
-        records.writeStream.foreachBatch(process)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def _land(batch: DataFrame, out: str, batch_id: int) -> str:
-    """Record texts of the batch on shared storage: fixes the ids that parsing assigns."""
-    path = f"{out}/landing/batch_id={batch_id}"
-    batch.write.mode("overwrite").parquet(path)
-    return path
-
-
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 

@@ -8,7 +8,6 @@ from ionloom.operators import dedup as dd
 from ionloom.operators.joins import SALTS, lookup_join
 from ionloom.plans import q_denovo, q_library, q_peaks
 from ionloom.schema import PEAKS_TYPE, Params
-from ionloom.streaming.incremental import msp_stream, start_incremental
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -53,17 +52,24 @@ def test_duplicates_with_one_huge_group(spark):
 
 
 def test_replayed_batch_changes_nothing(spark, tmp_path):
+    from ionloom.plans.pipeline import Lookups
+    from ionloom.sources.lookups import adduct_table
+    from ionloom.streaming.incremental import library_stream, start_curation
+
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.msp").write_text("NAME: a\n50 1\n60 2\n\nNAME: b\n50 1\n61 2\n")
+    lookups, params = Lookups(adduct_table(spark)), Params(csv=False, json=False)
 
     def go(checkpoint):
-        start_incremental(msp_stream(spark, source), out, f"{out}/registry", str(tmp_path / checkpoint)).awaitTermination()
-        return sorted(r["name"] for r in spark.read.parquet(f"{out}/spectra").collect())
+        start_curation(library_stream(spark, source), out, str(tmp_path / checkpoint), lookups, params).awaitTermination()
+        rejects = spark.read.option("sep", "\t").option("header", True).csv(f"{out}/REJECTS")
+        keys = spark.read.parquet(f"{out}/REGISTRY")
+        return sorted((r["NAME"], r["batch_id"]) for r in rejects.collect()), sorted(r["batch_id"] for r in keys.collect())
 
-    assert go("c1") == ["a", "b"]
+    assert go("c1") == ([("a", 0), ("b", 0)], [0, 0])
     # A new checkpoint makes the same files batch 0 again, as after a crash before the commit.
-    assert go("c2") == ["a", "b"]
+    assert go("c2") == ([("a", 0), ("b", 0)], [0, 0])
 
 
 def test_no_cartesian_products(spark):
