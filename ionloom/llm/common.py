@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def key_columns(*columns: str) -> list[Column]:
+def key_columns(*columns: str | Column) -> list[Column]:
     """Two never-null hashes that stand for a row's id and content (128 bits).
 
     They come out the same on every scan, so a text can be read again instead of being carried

@@ -1,7 +1,8 @@
 """Connected components of a graph given as edges, by large-star and small-star rounds.
 
 Every round is two aggregations and two joins, nothing is gathered by node, and the number of
-rounds grows with the logarithm of the longest chain. Each round is written to shared storage.
+rounds grows with the logarithm of the longest chain. Each round is written to shared storage, and so
+are the lowest neighbours: joined as they lie, they let the partition of a node with very many edges be split.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from ionloom.session import stage
 
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
     return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = stage(down.groupBy("u").agg(F.min("v").alias("m")), "lowest")
     own = low.select("u", F.col("m").alias("v"))
     rest = down.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(own).filter("u <> v").distinct()

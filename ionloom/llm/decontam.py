@@ -90,7 +90,7 @@ def window_hits(docs: DataFrame, prefixes: DataFrame, text_column: str, rows: in
         joined = exploded.join(part, "word").filter(inside).filter(there == F.col("window"))
         return joined.select(*KEY, start.alias("start"), "n", "window")
 
-    return reduce(DataFrame.union, [verified(part) for part in chunks(prefixes, "word", rows)])
+    return reduce(DataFrame.union, [verified(part) for part in chunks(prefixes, "window", rows)])
 
 
 def contamination(

@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 19
 _U = np.uint64
@@ -111,6 +112,35 @@ class Rolling:
         return mix((self.prefix[ends] - self.prefix[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+LONG_SLICE = 256
+#: Masks of the first n bytes of a little-endian lane.
+_LANES = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each slice by a chain of mixing rounds over its 8-byte lanes, long ones by XXH3.
+
+    Unlike `Rolling` it is no polynomial, so no family of texts collides by its algebra; where equal
+    hashes stand for equal texts, these are the ones to use.
+    """
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(np.uint64), 41)
+    active = np.flatnonzero((size > 0) & (size <= LONG_SLICE))
+    for at in range(0, LONG_SLICE, 8):
+        if not len(active):
+            break
+        lane = lanes[starts[active] + at] & _LANES[np.minimum(size[active] - at, 8)]
+        out[active] = mix(out[active] ^ lane, 42)
+        active = active[size[active] > at + 8]
+    view = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(size > LONG_SLICE).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(view[starts[i] : ends[i]])
+    return out
+
+
 def shingle_hashes(word_hash: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of each window of n words; rows with fewer words give one window of all of them."""
     if len(word_hash) == 0:
@@ -148,7 +178,7 @@ def distinct_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     for _, data, offsets in blocks(column):
         data = lower_ascii(data)
         starts, ends, rows = words(data, offsets)
-        hashes, of = shingle_hashes(Rolling(data).slices(starts, ends), rows, n)
+        hashes, of = shingle_hashes(slice_hashes(data, starts, ends), rows, n)
         bounds = row_bounds(of, len(offsets) - 1)
         for i in range(len(offsets) - 1):
             part = np.sort(hashes[bounds[i] : bounds[i + 1]])

@@ -122,6 +122,7 @@ def memberships(classes: DataFrame) -> DataFrame:
     """(node, head, weight): the smallest node of each band bucket a node shares, and the bucket sizes' sum."""
     rows = classes.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    shared = stage(shared, "buckets")  # so that the partition of a hot bucket can be split
     return rows.join(shared, "band").groupBy("node", "head").agg(F.sum("n").alias("weight"))
 
 

@@ -194,12 +194,19 @@ def pieces(placed: DataFrame, block: int = BLOCK) -> DataFrame:
     return spread.withColumns({"low": low, "high": high})
 
 
+def row_keys(docs: DataFrame) -> list[Column]:
+    """Keys of whole rows, so that only rows that agree in every column share them. What has no hash of its own
+    (maps, variants) takes part as JSON text."""
+    unhashed = [f.name for f in docs.schema if any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return key_columns(*(F.to_json(F.struct(F.col(f"`{c}`"))) if c in unhashed else F.col(f"`{c}`") for c in docs.columns))
+
+
 def mix(docs: DataFrame, block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> tuple[DataFrame, DataFrame]:
     """(placed, parts): every document with size, source_size, target, sid and offset; and every taken
     part of a document: its keys, sid and offset, shard, place, pass, and words `first` to `last` - 1."""
     sized = docs.select(
         F.col(id_column).alias("id"), F.col(source_column).alias("source"), word_count(F.col(text_column)).alias("size"),
-        *key_columns(*docs.columns),
+        *row_keys(docs),
     )
     sized = stage(sized, "sized")
     sources = stage(targets(sized), "sources")
@@ -235,7 +242,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, text_column: str = "tex
     taken = parts.groupBy(*KEY, "sid", "offset", "pass").agg(
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias("_p"), F.sum(F.col("last") - F.col("first")).alias("_n")
     )
-    keyed = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), *key_columns(*names)).dropDuplicates(KEY)
+    keyed = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(names)), *row_keys(docs)).dropDuplicates(KEY)
     text = f"c{names.index(text_column)}"
     joined = keyed.join(taken, KEY)
     split = F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")
@@ -251,7 +258,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, text_column: str = "tex
 def mixed_blocks(docs: DataFrame, block: int = BLOCK, text_column: str = "text") -> DataFrame:
     """The mix itself: a row per shard and slot with its words joined by blanks, and their number."""
     _, parts = mix(docs, block)
-    keyed = docs.select(F.col(text_column).alias("_t"), *key_columns(*docs.columns)).dropDuplicates(KEY)
+    keyed = docs.select(F.col(text_column).alias("_t"), *row_keys(docs)).dropDuplicates(KEY)
     split = F.array_remove(F.split(F.col("_t"), r"[\x20\x09-\x0D]+"), "")
     piece = F.array_join(F.slice(split, (F.col("first") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int")), " ")
     cut = parts.join(keyed, KEY).select("shard", "place", "sid", "pass", "block", "offset", (F.col("last") - F.col("first")).alias("n"), piece.alias("piece"))

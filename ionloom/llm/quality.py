@@ -6,7 +6,7 @@ never compress far and long ones always do: once over the whole document and onc
 of fixed size, so that a bad passage is found in a long good text. One narrow pass, no shuffle.
 
 Defined cases: a null text is an empty one; a text without bytes has no ratio and no band verdict;
-a last chunk shorter than `MIN_CHUNK` is left to the whole-document ratio. Repeated rows are judged
+the last chunk is the last `CHUNK` bytes, whatever it shares with the one before. Repeated rows are judged
 one by one. Input columns other than the id and the text are not read.
 """
 
@@ -25,7 +25,6 @@ from ionloom.llm.common import arrow_map
 
 LEVEL = 3
 CHUNK = 2048
-MIN_CHUNK = 1024
 #: (bytes below, lowest ratio, highest ratio); prose keeps well inside on every row, encoded data (base64 packs to
 #: about 0.76) is above the limit from 1024 bytes on.
 BANDS = [
@@ -64,7 +63,7 @@ def per_row(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def duplicate_lines(data: np.ndarray, offsets: np.ndarray, rolling: kn.Rolling, starts: np.ndarray) -> np.ndarray:
+def duplicate_lines(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Lines with a word that equal an earlier line of their row."""
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
@@ -80,7 +79,7 @@ def duplicate_lines(data: np.ndarray, offsets: np.ndarray, rolling: kn.Rolling,
     has_word[has_word] = starts[word_at[has_word]] < stop[has_word]
     begin, stop = begin[has_word], stop[has_word]
     rows = np.searchsorted(offsets, begin, side="right") - 1
-    values = rolling.slices(begin, stop)
+    values = kn.slice_hashes(data, begin, stop)
     order = np.lexsort((values, rows))
     again = np.zeros(len(order), dtype=bool)
     again[1:] = (values[order][1:] == values[order][:-1]) & (rows[order][1:] == rows[order][:-1])
@@ -118,8 +117,9 @@ def compression(text: memoryview, chunk: int) -> tuple[float | None, float | Non
     ratio = len(pack(text)) / len(text)
     low, high = band(len(text))
     reason = "repetitive" if ratio < low else "incompressible" if ratio > high else None
-    parts = [text[i : i + chunk] for i in range(0, len(text), chunk)] if len(text) > chunk else []
-    ratios = [len(pack(p)) / len(p) for p in parts if len(p) >= MIN_CHUNK]
+    # The last chunk ends with the text and overlaps the one before, so every byte lies in a full chunk.
+    begins = sorted({*range(0, len(text) - chunk, chunk), len(text) - chunk}) if len(text) > chunk else []
+    ratios = [len(pack(text[i : i + chunk])) / chunk for i in begins]
     if ratios and reason is None:
         low, high = band(chunk - 1)
         reason = "repetitive chunk" if min(ratios) < low else "incompressible chunk" if max(ratios) > high else None
@@ -131,9 +131,8 @@ def judge(column: pa.Array, chunk: int = CHUNK) -> dict[str, list]:
     for _, data, offsets in kn.blocks(column):
         n_rows = len(offsets) - 1
         starts, ends, rows = kn.words(data, offsets)
-        rolling = kn.Rolling(data)
         n_words = np.bincount(rows, minlength=n_rows)
-        repeat = repeated_words(rolling.slices(starts, ends), rows, n_rows)
+        repeat = repeated_words(kn.slice_hashes(data, starts, ends), rows, n_rows)
         failed = (n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n_words)
         view = memoryview(data)
         bands = [compression(view[offsets[i] : offsets[i + 1]], chunk) for i in range(n_rows)]
@@ -141,7 +140,7 @@ def judge(column: pa.Array, chunk: int = CHUNK) -> dict[str, list]:
         out["n_words"] += n_words.tolist()
         out["word_chars"] += per_row(~kn.BLANKS[data] & ~CONTINUATION[data], offsets).tolist()
         out["n_symbols"] += per_row(SYMBOLS[data], offsets).tolist()
-        out["n_dup_lines"] += duplicate_lines(data, offsets, rolling, starts).tolist()
+        out["n_dup_lines"] += duplicate_lines(data, offsets, starts).tolist()
         out["n_repeat_words"] += repeat.tolist()
         out["base_failed"] += failed.tolist()
         out["kept"] += [not f and r is None for f, r in zip(failed.tolist(), reason, strict=True)]

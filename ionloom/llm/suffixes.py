@@ -74,8 +74,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     low = inside[new]
     high = inside[np.r_[np.flatnonzero(new)[1:] - 1, len(inside) - 1]]
     anchor = anchor[new]
-    second = kn.Rolling(data, 2)
-    segment = kn.mix(second.slices(low, high + length) ^ kn.mix((anchor - low).astype(np.uint64), 8), 9)
+    segment = kn.mix(kn.slice_hashes(data, low, high + length) ^ kn.mix((anchor - low).astype(np.uint64), 8), 9)
     rows = np.searchsorted(offsets, low, side="right") - 1
     return rows, low, high, anchor, grams[anchor].view(np.int64), segment.view(np.int64)
 
@@ -250,7 +249,7 @@ def resolve_hot(parts: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[c.split()[0] for c in spec.split(", ")])
 
     strings = arrow_flat(parts, fn, spec)
-    twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    twice = stage(strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "twice")
     found = strings.filter("single").join(twice, ["h1", "h2"])
     return found.select(*KEY, "begin", (F.col("begin") + length).alias("end"))
 
@@ -259,7 +258,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot
     """(keys, begin, end): spans of every text (keys, text) that repeated strings cover; they may overlap."""
     found = anchor_rows(texts, length, gram)
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("segment").alias("s1"), F.max("segment").alias("s2"))
-    grams = grams.filter("n > 1").select("gram", (F.col("s1") != F.col("s2")).alias("mixed"))
+    # Written out: the partition of a hot gram is split only against a side that is read as it lies.
+    grams = stage(grams.filter("n > 1").select("gram", (F.col("s1") != F.col("s2")).alias("mixed")), "grams")
     flagged = stage(found.join(grams.hint("merge"), "gram"), "anchors")
     span = (*KEY, F.col("low").alias("begin"), (F.col("high") + length).alias("end"))
     sure = flagged.filter(~F.col("mixed")).select(*span)

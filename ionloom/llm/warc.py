@@ -35,7 +35,10 @@ from pyspark.sql import functions as F
 from ionloom.session import new_path, stage
 
 MIN_REVISIT = 1000
+#: Records of an archive; pages of more than `FILE_BYTES` / `FILE_RECORDS` bytes share it with fewer.
 FILE_RECORDS = 4096
+FILE_BYTES = 1 << 27
+INDEX_ROWS = 100_000
 EPOCH = "2024-01-01 00:00:00"
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -59,26 +62,32 @@ def _uuid(*columns: str) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, payload_bytes, payload_digest, record_type, refers_to)"""
+    """(page_id, url, html, payload_bytes, payload_digest, record_type, refers_to, refers_url)"""
     html = F.coalesce(F.col("html"), F.lit(""))
     captured = pages.select(
         F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"),
         F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("payload_digest"),
     )
     large = captured.filter(F.col("payload_bytes") >= MIN_REVISIT)
-    first = large.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
-    first = first.filter((F.col("n") > 1) & F.col("original").isNotNull()).drop("n")
+    first = large.groupBy("payload_digest", "payload_bytes").agg(F.max(F.struct("page_id", "url")).alias("o"), F.count("*").alias("n"))
+    first = first.select("payload_digest", "payload_bytes", F.col("o.page_id").alias("original"), F.col("o.url").alias("original_url"), "n")
+    first = stage(first.filter((F.col("n") > 1) & F.col("original").isNotNull()).drop("n"), "originals")
     joined = captured.join(first, ["payload_digest", "payload_bytes"], "left")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     return joined.select(
         "page_id", "url", "html", "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("original")).alias("refers_to"),
+        F.when(revisit, F.col("original_url")).alias("refers_url"),
     )
 
 
+def capture_time(page_id: Column) -> Column:
+    return F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH)) + F.coalesce(page_id, F.lit(0)))
+
+
 def record_text(captured: DataFrame) -> DataFrame:
     """(value): the whole record without its closing blank lines."""
-    stamp = F.timestamp_seconds(F.unix_timestamp(F.lit(EPOCH)) + F.coalesce(F.col("page_id"), F.lit(0)))
+    stamp = capture_time(F.col("page_id"))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     response = F.col("record_type") == "response"
     block = F.when(response, F.concat(F.lit(HTTP), "html")).otherwise(F.lit(HTTP))
@@ -93,6 +102,8 @@ def record_text(captured: DataFrame) -> DataFrame:
         _header("X-Page-Id", F.col("page_id").cast("string")),
         _header("X-Payload-Length", F.col("payload_bytes").cast("string")),
         _header("X-Refers-To-Page", F.col("refers_to").cast("string")),
+        _header("WARC-Refers-To", F.when(~response, _uuid("refers_to", "refers_url", "payload_digest"))),
+        _header("WARC-Refers-To-Date", F.when(~response, F.date_format(capture_time(F.col("refers_to")), "yyyy-MM-dd'T'HH:mm:ss'Z'"))),
         _header("Content-Type", F.lit("application/http;msgtype=response")),
         _header("Content-Length", F.octet_length(block).cast("string")),
         F.lit(END),
@@ -100,9 +111,22 @@ def record_text(captured: DataFrame) -> DataFrame:
     return captured.select(F.concat(head, block).alias("value"))
 
 
+def size_class() -> Column:
+    """Number of doublings by which a page is above the usual share of an archive."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("payload_bytes"), F.lit(1)) * F.lit(FILE_RECORDS / FILE_BYTES)))).cast("int")
+
+
 def write_archives(pages: DataFrame, path: str) -> None:
-    out = record_text(records(pages)).write.option("lineSep", END).option("compression", "gzip")
-    out.option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Archives of at most `FILE_RECORDS` records and, up to one record, `FILE_BYTES` bytes before packing.
+
+    Writers count records only, so pages are written by size class, larger ones with fewer records a file.
+    """
+    captured = records(pages)
+    sizes = pages.select(F.octet_length(F.coalesce(F.col("html"), F.lit(""))).alias("payload_bytes"))
+    classes = sorted(r["c"] for r in sizes.select(size_class().alias("c")).distinct().collect())
+    for c in classes or [0]:
+        out = record_text(captured.filter(size_class() == c)).write.mode("append").option("lineSep", END).option("compression", "gzip")
+        out.option("maxRecordsPerFile", max(1, FILE_RECORDS >> c)).text(path)
 
 
 def surt(url: str | None) -> str:
@@ -223,7 +247,9 @@ def merge_index(runs: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in held], schema=schema)
 
-    ranged = runs.repartitionByRange("surt", "stamp", "page_id", "archive", "offset")
+    # As many ranges as hold about `INDEX_ROWS` rows each: a task's runs are held in memory while they are merged.
+    ranges = runs.count() // INDEX_ROWS + 1
+    ranged = runs.repartitionByRange(ranges, "surt", "stamp", "page_id", "archive", "offset")
     return ranged.mapInArrow(run, INDEX + ", bucket bigint, rank bigint")
 
 

@@ -20,7 +20,7 @@ def test_run_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
     good = [r for r in docs if brute_quality(r["text"])[-1]]
-    label = near_components([(r["doc_id"], r["text"]) for r in good])
+    label = near_components([(r["doc_id"], r["text"]) for r in good], corpus_pipeline.NEAR_PERCENT)
     alone = [r for r, c in zip(good, label, strict=True) if r["doc_id"] == c]
     bad = {b[0] for b in brute_contamination([(r["doc_id"], r["text"]) for r in alone], items) if b[-1]}
     clean = {r["doc_id"]: r for r in alone if r["doc_id"] not in bad}

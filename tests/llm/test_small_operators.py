@@ -29,8 +29,9 @@ def brute_quality(text):
         good = low <= len(pack(data)) / len(data) <= high
         if len(data) > quality.CHUNK:
             parts = [data[i : i + quality.CHUNK] for i in range(0, len(data), quality.CHUNK)]
+            parts[-1] = data[-quality.CHUNK :]
             low, high = quality.band(quality.CHUNK - 1)
-            good &= all(low <= len(pack(p)) / len(p) <= high for p in parts if len(p) >= quality.MIN_CHUNK)
+            good &= all(low <= len(pack(p)) / len(p) <= high for p in parts)
     chars = sum(len(x.decode()) for x in w)
     return (len(w), chars, sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(repeat), failed, good and not failed)
 
