@@ -1,30 +1,35 @@
 """Connected components of a graph given as edges, by large-star and small-star rounds.
 
 Every round is two aggregations and two joins, nothing is gathered by node, and the number of
-rounds grows with the logarithm of the longest chain. Each round is written to shared storage, and so
-are the lowest neighbours: joined as they lie, they let the partition of a node with very many edges be split.
+rounds grows with the logarithm of the longest chain. Each round is written to shared storage. The lowest
+neighbours of a round are cached while it runs: joined as they lie, and not aggregated by the same key
+in the same stage, they let the partition of a node with very many edges be split. A lost part of
+the cache is computed again from the round's written edges.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ionloom.session import stage
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges of the round, its cached lowest neighbours)"""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
-    return both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).persist(StorageLevel.MEMORY_AND_DISK)
+    moved = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.filter("u <> v").distinct(), low
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = stage(down.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+    low = down.groupBy("u").agg(F.min("v").alias("m")).persist(StorageLevel.MEMORY_AND_DISK)
     own = low.select("u", F.col("m").alias("v"))
     rest = down.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.unionByName(own).filter("u <> v").distinct()
+    return rest.unionByName(own).filter("u <> v").distinct(), low
 
 
 def state(edges: DataFrame) -> tuple:
@@ -37,7 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
     current = stage(edges, "edges")
     seen = state(current)
     while seen[0]:
-        following = stage(small_star(large_star(current)), "edges")
+        large, first = large_star(current)
+        small, second = small_star(large)
+        following = stage(small, "edges")
+        first.unpersist()
+        second.unpersist()
         now = state(following)
         current = following
         if now == seen:
