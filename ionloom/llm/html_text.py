@@ -2,17 +2,25 @@
 
 A page is scanned once into text blocks. Structure settles most of them: what lies in menus,
 headers, footers, sidebars, forms, notices, adverts, comments of readers, scripts or styles is
-out, and where a page names its article (article, main, role=main) that container is its text.
-Where it doesn't, the blocks left over are held against the host's other pages: the token streams
-of a host are taken as one text, its suffixes cut at `LEAD` tokens are brought together by (host,
-leading tokens), and a lead that starts on distinct pages covers its tokens. Covered tokens are
-removed, unique runs stay. Text inside a named article is never judged by repetition: two pages of
-a host with the same article would lose it.
-
-Suffixes travel as 128-bit hashes of host and leading tokens with their page; a partial aggregate of
-(smallest, largest page) meets them before the shuffle, so neither a host nor a line that a third of
-all pages share is gathered. Pages are parsed again instead of being shuffled or stored; only pages
-without an article are joined with their covered positions.
+out, and where a page names its article (article, main, role=main) that container is its text, with a
+first-level heading right before it. A class or id counts as a name of boilerplate only if all its words
+are such names or say nothing (`post-comments`, not `comment-on-law`).
+
+Then the host votes on every page: the streams of a host's pages are taken as one text, its suffixes are brought
+together by (host, leading tokens), and a lead that starts on at least `MIN_PAGES` pages with differing
+bodies, and on half of the host's, is boilerplate. Covered parts are removed, unique runs stay:
+
+- In pages with an article the stream's tokens are whole blocks, and suffixes are cut at two of them: neighbouring
+  blocks that recur together make a run, and runs of `LONG` words or more go. A sentence that some articles
+  quote stays, whatever its length.
+- In pages without one, tokens are words and suffixes are cut at `LEAD` of them.
+
+A page is never emptied by the vote: where nothing is unique, everything stays. Equal bodies count as one page, so two
+copies of a page leave each other alone.
+
+Suffixes travel as 128-bit hashes with their host and body and are counted in partial aggregates, so neither a
+host nor a line that most pages share is gathered; repeated leads are written out before they are joined, so the
+partition of a frequent one can be split. Pages are parsed once; their blocks are kept in a stage table.
 
 Defined cases: null html is an empty page with empty text; a null url has the host ''; unclosed tags
 end with their container; svg, math and other elements without text of the page end like any other and
@@ -24,7 +32,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from itertools import pairwise
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -32,10 +40,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ionloom.llm.common import arrow_map, key_columns
+from ionloom.llm.common import KEY, arrow_map, key_columns
 from ionloom.session import stage
 
 LEAD = 8
+#: Words of a run of blocks, distinct bodies that share a lead, and their share of the host's, from which on it is boilerplate.
+LONG, MIN_PAGES, SHARE = 5, 5, 0.5
 JOIN = "\n\n"
 
 TAG = re.compile(
@@ -70,6 +80,12 @@ OUT_NAMES = frozenset(
     "notices alert newsletter subscribe subscription signup paywall popup modal overlay share sharing social related recommended "
     "recommendations comment comments commentlist reply replies respond disqus discussion pagination pager widget".split()
 )
+#: Words beside them that say nothing of the content.
+NEUTRAL = frozenset(
+    "box block wrap wrapper container content section area zone slot unit region panel inner outer list item items link links button buttons "
+    "top bottom left right main page site post posts article articles entry user blog global primary secondary mobile desktop sticky fixed "
+    "text title heading icon bar tab form thread first second third".split()
+)
 #: Per tag: the open elements it ends, each with the containers that shield them.
 LISTS = frozenset({"ul", "ol", "dl", "table", "select", "menu"})
 ENDS = {tag: [(o, BLOCK - {o} if o == "p" else LISTS) for o, starts in CLOSES.items() if tag in starts] for tag in BLOCK | {"option"}}
@@ -81,10 +97,10 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def named_out(value: str) -> bool:
-    """A class or id name that is, begins or ends with a boilerplate word (no-sidebar and the like don't count)."""
+    """A class or id name of boilerplate words, and of words and numbers that say nothing."""
     for name in value.lower().split():
-        parts = [p for p in NAME_PARTS.split(name) if p]
-        if parts and parts[0] not in ("no", "has", "with", "without") and (parts[0] in OUT_NAMES or parts[-1] in OUT_NAMES):
+        parts = {p for p in NAME_PARTS.split(name) if p}
+        if parts & OUT_NAMES and all(p in OUT_NAMES or p in NEUTRAL or p.isdigit() for p in parts):
             return True
     return False
 
@@ -101,9 +117,10 @@ def is_out(tag: str, attrs: dict[str, str], inside: bool) -> bool:
     return named_out(attrs.get("class", "")) or named_out(attrs.get("id", ""))
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool, bool]]:
-    """(text, in an article, out by structure, out only because the article is) of every block with text, in page order."""
-    found: list[tuple[str, bool, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, bool, bool, bool, bool]]:
+    """(text, in an article, out by structure, out only because the article is, first-level heading) of every
+    block with text, in page order."""
+    found: list[tuple[str, bool, bool, bool, bool]] = []
     #: Open elements: (tag, article depth, out depth outside articles, out depth inside the article, article in an excluded container, dropped).
     stack: list[tuple[str, int, int, int, bool, bool]] = [("", 0, 0, 0, False, False)]
     held: list[str] = []
@@ -113,7 +130,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, bool]]:
         held.clear()
         if text:
             _, article, outer, inner, lent, _ = stack[-1]
-            found.append((text, article > 0, inner > 0 or lent if article else outer > 0, lent and not inner))
+            found.append((text, article > 0, inner > 0 or lent if article else outer > 0, lent and not inner, any(e[0] == "h1" for e in stack)))
 
     def close(tag: str, through: frozenset[str] | set[str] = frozenset()) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -176,18 +193,24 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def leads(host: str, texts: list[str], lead: int) -> list[tuple[int, int]]:
-    """128-bit hashes of the stream's suffixes cut at `lead` tokens; a shorter stream has one."""
+def lead_hash(*parts: str) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest("\x00".join(parts))
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
+
+
+def word_leads(host: str, texts: list[str], lead: int) -> list[tuple[int, int]]:
+    """Suffixes of the words, cut at `lead` of them; a shorter stream has one."""
     tokens = " ".join(texts).split()
-    out = []
-    for i in range(max(1, len(tokens) - lead + 1) if tokens else 0):
-        h = xxhash.xxh3_128_intdigest("\x00".join([host, *tokens[i : i + lead]]))
-        out.append(((h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)))
-    return out
+    return [lead_hash("w", host, *tokens[i : i + lead]) for i in range(max(1, len(tokens) - lead + 1) if tokens else 0)]
+
+
+def block_leads(host: str, texts: list[str]) -> list[tuple[int, int]]:
+    """Suffixes of the blocks, cut at one (first) and at two of them (behind)."""
+    return [lead_hash("b", host, t) for t in texts] + [lead_hash("p", host, a, b) for a, b in pairwise(texts)]
 
 
 def without_covered(texts: list[str], starts: list[int], lead: int) -> list[str]:
-    """The blocks' unique runs: tokens that no repeated lead covers."""
+    """The unique runs of words: those that no repeated lead covers."""
     tokens = " ".join(texts).split()
     covered = bytearray(len(tokens))
     for s in starts:
@@ -202,70 +225,89 @@ def without_covered(texts: list[str], starts: list[int], lead: int) -> list[str]
     return kept
 
 
-def scan(page: str | None) -> tuple[bool, list[str], list[str]]:
-    """(has an article, its text blocks or else the candidates, the stream of blocks outside articles)."""
+def without_runs(texts: list[str], starts: list[int]) -> list[str]:
+    """The blocks outside of runs of repeated blocks that are long enough."""
+    n = len(texts)
+    single = {s for s in starts if s < n}
+    joined = {s - n for s in starts if s >= n}
+    kept, at = [], 0
+    while at < n:
+        end = at
+        if at in single:
+            end = at + 1
+            while end < n and end in single and end - 1 in joined:
+                end += 1
+        if end > at and sum(len(t.split()) for t in texts[at:end]) >= LONG:
+            at = end
+            continue
+        kept += texts[at : max(end, at + 1)]
+        at = max(end, at + 1)
+    return kept
+
+
+def scan(page: str | None) -> tuple[bool, list[str]]:
+    """(has an article, its text blocks or else the candidates)."""
     found = blocks(page or "")
-    article = any(inside and not out for _, inside, out, _ in found)
-    body = [t for t, inside, out, _ in found if not out and (inside or not article)]
+    first = next((i for i, (_, inside, out, *_) in enumerate(found) if inside and not out), None)
+    article = first is not None
+    body = [t for t, inside, out, *_ in found if not out and (inside or not article)]
+    if article and first and not found[first][4]:
+        text, inside, out, _, heading = found[first - 1]
+        if heading and not inside and not out:  # the article's heading stands right before it
+            body.insert(0, text)
     if not body:  # a page's only text, whatever its wrapper is called
-        body = [t for t, _, _, lent in found if lent]
+        body = [t for t, _, _, lent, _ in found if lent]
         article = bool(body)
-    return article, body, [t for t, inside, _, _ in found if not inside]
+    return article, body
+
+
+PARSED = "host bigint, body_key bigint, article boolean, body array<string>, l1 array<bigint>, l2 array<bigint>"
+
+
+def parsed(pages: DataFrame, lead: int) -> DataFrame:
+    """(page_id, url, keys, host, body_key, article, body, l1, l2): the text blocks of every page and its leads."""
+
+    def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        rows = []
+        for url, page in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("url", "html")), strict=True):
+            article, body = scan(page)
+            host = host_of(url)
+            own = block_leads(host, body) if article else word_leads(host, body, lead)
+            keys = lead_hash("host", host)[0], lead_hash("body", *body)[0]
+            rows.append((*keys, article, body, [a for a, _ in own], [b for _, b in own]))
+        types = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+        return {f.split()[0]: pa.array(v, t) for f, v, t in zip(PARSED.split(", "), columns, types, strict=True)}
+
+    plain = pages.select("page_id", "url", "html", *key_columns("page_id", "url", "html"))
+    return arrow_map(plain, fn, PARSED, ["page_id", "url", *KEY])
+
+
+def repeated_leads(rows: DataFrame) -> DataFrame:
+    """(l1, l2) of the leads that enough pages of a host with differing bodies have."""
+    bodies = rows.select("host", "body_key").distinct()
+    totals = stage(bodies.groupBy("host").agg(F.count("*").alias("total")).filter(F.col("total") >= MIN_PAGES), "hosts")
+    leads = rows.select("host", "body_key", F.explode(F.arrays_zip("l1", "l2")).alias("h")).select("host", "body_key", "h.l1", "h.l2")
+    met = leads.distinct().groupBy("host", "l1", "l2").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
+    return met.join(totals, "host").filter(F.col("n") >= SHARE * F.col("total")).select("l1", "l2")
 
 
 def main_text(pages: DataFrame, lead: int = LEAD) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    plain = pages.select("page_id", "url", "html", *key_columns("page_id", "url", "html")).drop("_k2")
-
-    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html", "_k1")]
-        for page_id, url, page, k1 in zip(*columns, strict=True):
-            yield page_id, url, k1, *scan(page)
-
-    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Leads of what stands outside articles; all of a page without one."""
-        schema = pa.schema([("l1", pa.int64()), ("l2", pa.int64()), ("_k1", pa.int64())])
-        for batch in batches:
-            rows = []
-            for _, url, k1, article, body, outside in rows_of(batch):
-                host = host_of(url)
-                own = {*leads(host, outside, lead), *([] if article else leads(host, body, lead))}
-                rows += [(a, b, k1) for a, b in own]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
-
-    def without_article(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_id", pages_id), ("url", pa.string()), ("_k1", pa.int64()), ("body", pa.list_(pa.string())), ("l1", pa.list_(pa.int64())), ("l2", pa.list_(pa.int64()))])
-        for batch in batches:
-            rows = []
-            for page_id, url, k1, article, body, _ in rows_of(batch):
-                if body and not article:
-                    own = leads(host_of(url), body, lead)
-                    rows.append((page_id, url, k1, body, [a for a, _ in own], [b for _, b in own]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    pages_id = pa.string() if pages.schema["page_id"].dataType.simpleString() == "string" else pa.int64()
-    met = plain.mapInArrow(streams, "l1 bigint, l2 bigint, _k1 bigint")
-    repeated = met.groupBy("l1", "l2").agg(F.min("_k1").alias("p"), F.max("_k1").alias("q")).filter("p <> q").select("l1", "l2")
-    id_type = pages.schema["page_id"].dataType.simpleString()
-    loose = plain.mapInArrow(without_article, f"page_id {id_type}, url string, _k1 bigint, body array<string>, l1 array<bigint>, l2 array<bigint>")
-    loose = stage(loose, "loose")
-    covered = loose.select("_k1", F.posexplode(F.arrays_zip("l1", "l2")).alias("at", "h")).select("_k1", "at", "h.l1", "h.l2")
-    covered = covered.join(repeated, ["l1", "l2"]).groupBy("_k1").agg(F.collect_set("at").alias("starts"))
-
-    def articles(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        scanned = [scan(page) for page in batch.column(batch.schema.get_field_index("html")).to_pylist()]
-        texts = [JOIN.join(body) if article or not body else None for article, body, _ in scanned]
-        return {"text": pa.array(texts, pa.string())}
+    rows = stage(parsed(pages, lead), "parsed_pages")
+    repeated = stage(repeated_leads(rows), "repeated")
+    placed = rows.select(*KEY, F.posexplode(F.arrays_zip("l1", "l2")).alias("at", "h")).select(*KEY, "at", "h.l1", "h.l2")
+    covered = stage(placed.join(repeated, ["l1", "l2"]).groupBy(*KEY).agg(F.collect_set("at").alias("starts")), "covered")
 
     def unique_runs(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        body, starts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("body", "starts"))
-        return {"text": pa.array([JOIN.join(without_covered(b, s or [], lead)) for b, s in zip(body, starts, strict=True)], pa.string())}
+        texts = []
+        for article, body, starts in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("article", "body", "starts")), strict=True):
+            left = without_runs(body, starts) if article else without_covered(body, starts, lead)
+            texts.append(JOIN.join(left or body))
+        return {"text": pa.array(texts, pa.string())}
 
-    ready = arrow_map(plain.select("page_id", "url", "html"), articles, "text string", ["page_id", "url"])
-    runs = arrow_map(loose.join(covered, "_k1", "left").select("page_id", "url", "body", "starts"), unique_runs, "text string", ["page_id", "url"])
-    both = ready.filter(F.col("text").isNotNull()).unionByName(runs)
+    own = rows.select("page_id", "url", *KEY, "article", "body")
+    untouched = own.join(covered.select(*KEY), KEY, "left_anti").select("page_id", "url", F.array_join("body", JOIN).alias("text"))
+    judged = own.join(covered, KEY).select("page_id", "url", "article", "body", "starts")
+    both = untouched.unionByName(arrow_map(judged, unique_runs, "text string", ["page_id", "url"]))
     return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
-
-

@@ -83,6 +83,47 @@ def test_repeated_runs_of_a_host_are_removed(spark):
         assert got[i] == (own if i % 3 else f"{banner}\n\n{own}")
 
 
+def test_the_host_votes_on_articles_too(spark):
+    """A notice without a telling name inside most articles of a host goes; what some articles share stays."""
+    notice, quote = prose(1, 12), prose(2, 20)
+    rows = []
+    for i in range(40):
+        parts = [prose(100 + i, 30), *([quote] if i % 3 == 0 else []), prose(200 + i, 10)]
+        html = "".join(f"<p>{p}</p>" for p in parts)
+        rows.append((i, f"http://big.example/{i}", f"<h1>Site</h1><nav>x</nav><article><h2>T{i}</h2>{html}<p>{notice}</p><p>Share</p><p>it with your friends</p></article>", "\n\n".join([f"T{i}", *parts]), 0, ""))
+    small = [(100 + i, "http://small.example/", f"<article><p>{prose(300 + i, 9)}</p><p>{notice}</p></article>", f"{prose(300 + i, 9)}\n\n{notice}", 0, "") for i in range(3)]
+    # The same body on every page of a host, and one with a little more: nothing goes.
+    same = [(200 + i, "http://same.example/", f"<div>{prose(9, 60)}</div>" + ("<div>Extra one.</div>" if i else ""), prose(9, 60) + ("\n\nExtra one." if i else ""), 0, "") for i in range(2)]
+    copies = [(300 + i, "http://copy.example/", f"<article><p>{prose(8, 60)}</p></article>", prose(8, 60), 0, "") for i in range(20)]
+    rows += small + same + copies
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {r[0]: r[3] for r in rows}
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article id='comment-on-law'><p>a</p></article>", ["a"]),
+        ("<article><p>a</p><div class='related-work'>b</div><section class='dinner-menu'>c</section></article>", ["a", "b", "c"]),
+        ("<article><p>a</p><div class='post-comments'>no</div><div id='ad-slot-3'>no</div><div class='x user-comments'>no</div></article>", ["a"]),
+        ("<h1>Heading</h1><article><p>a</p></article>", ["Heading", "a"]),
+        ("<header><h1>Site</h1></header><article><p>a</p></article>", ["a"]),
+        ("<h1>Heading</h1><article><h1>Own</h1><p>a</p></article>", ["Own", "a"]),
+        ("<h1>Site</h1><p>teaser</p><article><p>a</p></article>", ["a"]),
+    ],
+)
+def test_names_and_headings(page, want):
+    assert html_text.scan(page)[1] == want
+
+
+def test_int_ids_and_very_long_pages(spark):
+    long = "".join(f"<p>{prose(i, 200)}</p>" for i in range(400))
+    df = spark.createDataFrame([(1, "http://a/", long), (2, None, "<p>b</p>")], "page_id int, url string, html string")
+    out = html_text.main_text(df)
+    assert out.schema["page_id"].dataType.simpleString() == "int"
+    assert {r["page_id"]: r["n_chars"] for r in out.collect()} == {1: sum(len(prose(i, 200)) for i in range(400)) + 2 * 399, 2: 1}
+
+
 def test_equal_pages_are_not_distinct(spark):
     rows = [(1, "http://a.example/", f"<p>{prose(3, 40)}</p>", "", 0, "")] * 3
     assert {r["text"] for r in html_text.main_text(spark.createDataFrame(rows, PAGES)).collect()} == {prose(3, 40)}
