@@ -143,6 +143,43 @@ def test_licences(spark):
     assert licenses.document_licenses(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+GPL_HEADER = """/* This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ */"""
+LGPL_HEADER = """# This library is free software; you can redistribute it and/or
+# modify it under the terms of the GNU Lesser General Public
+# License as published by the Free Software Foundation; either
+# version 2.1 of the License, or (at your option) any later version."""
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a
+copy of this software and associated documentation files (the "Software"),
+to deal in the Software without restriction"""
+LABELLED = [
+    (GPL_HEADER, "gpl-2.0+"), (LGPL_HEADER, "lgpl-2.1+"), (MIT_TEXT, "mit"), ("SPDX: ISC", "isc"), ("SPDX-License-Identifier: AGPL-3.0-or-later", "agpl-3.0+"),
+    ("Licensed under the Apache Software License, Version 1.1.", "apache-1.1"), ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 License.", "cc-by-nc-sa-3.0"),
+    ("Distributed under GPLv3.", "gpl-3.0"), ("LGPLv2.1+", "lgpl-2.1+"), ("GNU Lesser General Public License, version 2.1", "lgpl-2.1"), ("Licence: GPL-2", "gpl-2.0"),
+    ("Licensed under the Mozilla Public License, v. 2.0.", "mpl-2.0"), ("Distributed under the Boost Software License, Version 1.0.", "bsl-1.0"),
+    ("Released under the BSD 3-Clause license.", "bsd-3-clause"), ("All rights reserved.", "all-rights-reserved"), ("Released under the terms of the GNU GPL.", "gpl"),
+    ("Licensed under the GNU General Public License, version 9.", ""), ("Licensed under the Foo License, version 2.0.", ""), ("SPDX-License-Identifier: Foo-1.0", ""),
+    ("A general said the public license of the pub lapsed.", ""), (prose(8, 40_000) + "\nReleased under the MIT License.\n" + prose(9, 40_000), "mit"),
+]
+
+
+def test_versions_and_modifiers_are_read_from_the_passage(spark):
+    schema = "doc_id bigint, text string, probability string, licence string, spelled string, candidates int, words string, own string"
+    df = spark.createDataFrame([(i, t, "x", "x", "x", 1, "x", "x") for i, (t, _) in enumerate(LABELLED)], schema)
+    got = {r["doc_id"]: r["families"] for r in licenses.document_licenses(df).collect()}
+    assert [got[i] for i in range(len(LABELLED))] == [f for _, f in LABELLED]
+
+
+def test_passages_join_wrapped_lines_and_cut_sentences(spark):
+    text = "# One line\n# goes on.\nNext. It ends! after\n\nLast v. 2.0 stays"
+    row = spark.createDataFrame([(text,)], "t string").select(licenses.passages(F.col("t")).alias("p")).first()
+    assert [p for p in row["p"] if p.strip()] == ["One line goes on.", "Next.", "It ends! after", "Last v. 2.0 stays"]
+
+
 def test_notices_of_the_test_table(spark):
     """Held-out accuracy on the licence lines of the documents."""
     truth = {
