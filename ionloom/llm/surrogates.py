@@ -7,7 +7,11 @@ from keyed hashes, with the same format, script, number class and, for names, ge
 are drawn in rounds: one that another entity holds or was given, or that occurs in the corpus
 itself, is drawn again, so distinct entities stay distinct and none turns into a real one.
 
-Not found: names without one of the titles, postal addresses, dates of birth, numbers of passports, tax
+A name counts from its title on; the words of a document's titled names are also replaced where they
+stand alone later or earlier in it, so that mentions without the title follow. Distinct mail domains get distinct
+replacements, as the other entities do.
+
+Not found: names that no title introduces anywhere in their document, postal addresses, dates of birth, numbers of passports, tax
 and insurance other than the given ones, phone numbers of bare digits, IBANs in small letters, keys of
 other makers without a label, mail addresses with a quoted name or spelled out ("at").
 
@@ -36,8 +40,8 @@ ROUNDS = 12
 NARROW_ROUNDS = 4
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "госпожа", "Госпожа")
-MALE = ("Mr", "Herr", "Monsieur", "Señor", "Signor", "господин", "Господин")
+FEMALE = ("Mrs", "Ms", "Miss", "MRS", "MS", "MISS", "Frau", "Madame", "Mme", "Señora", "Sra", "Signora", "госпожа", "Госпожа")
+MALE = ("Mr", "MR", "Herr", "Monsieur", "Señor", "Signor", "господин", "Господин")
 TITLE = rf"\b(?:{'|'.join(sorted(FEMALE + MALE, key=len, reverse=True))})\b\.?"
 LABEL = r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)"
 MAIL = r"\p{L}\p{M}\p{N}._%+-"
@@ -67,7 +71,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every entity holds one of these.
-HINT = rf"[0-9@=:]|{KEYS}|[MHFSгГ](?:rs?|s|me|iss|adame|onsieur|err|rau|eñora?|ra|ignora?|осподин|оспожа)\b"
+HINT = rf"[0-9@=:]|{KEYS}|[MHFSгГ](?:rs?|s|RS?|S|ISS|me|iss|adame|onsieur|err|rau|eñora?|ra|ignora?|осподин|оспожа)\b"
 DIGITS = ("phone", "card", "ssn")
 CONSONANTS = {"latin": "bdfghjklmnprstvz", "cyrillic": "бвгджзклмнпрстфх"}
 VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
@@ -191,11 +195,17 @@ def replacement(kind: Column, canon: Column, turn: int) -> Column:
         .when(part[0] == "127", F.concat_ws(".", F.lit("127"), octet(1, 0, 255), wide))
         .otherwise(F.concat_ws(".", octet(0, 11, 99), octet(1, 0, 255), wide))
     )
-    # Mail: letters for letters before the @; equal domains share a replacement under a reserved name.
+    # Mail: letters for letters before the @, under the domain as it is; `assigned` puts the domain's own replacement there.
     local, domain = F.substring_index(canon, "@", 1), F.substring_index(canon, "@", -1)
-    host = F.regexp_replace(domain, r"(?:\.?example)?\.(?:xn--[a-z0-9-]+|[\p{L}\p{M}]+)$", "")
-    ending = F.when(domain.rlike(r"\.(?:com|net|org)$"), F.substring_index(domain, ".", -1)).otherwise("com")
-    mail = F.concat_ws("@", same_class(local, "local", F.concat(salt, domain)), F.concat_ws(".", F.when(host != "", same_class(host, "host", F.lit("0"))), F.lit("example"), ending))
+    mail = F.concat_ws("@", same_class(local, "local", F.concat(salt, domain)), domain)
+    # Domains: letters for letters of the host, by the whole domain, under a reserved name; names without a host of their
+    # own, and all in later rounds, get letters more.
+    host = F.regexp_replace(canon, r"(?:\.?example)?\.(?:xn--[a-z0-9-]+|[\p{L}\p{M}]+)$", "")
+    ending = F.when(canon.rlike(r"\.(?:com|net|org)$"), F.substring_index(canon, ".", -1)).otherwise("com")
+    more = F.concat(*(pick("bcdfghjklmnpqrstvwxz", F.lit(f"more{i}"), salt, canon) for i in range(5)))
+    short = (host == "") | F.lit(turn >= NARROW_ROUNDS)
+    label = F.concat(same_class(host, "host", F.concat(salt, canon)), F.when(short, more).otherwise(""))
+    site = F.concat_ws(".", label, F.lit("example"), ending)
     key = F.concat(F.regexp_extract(canon, f"^{KEYS}", 0), same_class(F.regexp_replace(canon, f"^{KEYS}", ""), "key", salt))
     # IPv6: link-local and private prefixes stay, others get the one for documentation.
     h = F.sha2(F.concat_ws("\x1f", F.lit(KEY_TEXT), F.lit("ipv6"), salt, canon), 256)
@@ -217,7 +227,7 @@ def replacement(kind: Column, canon: Column, turn: int) -> Column:
     named = F.concat(sex, F.array_join(F.transform(words, name), " "))
     return (
         F.when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "email", mail)
-        .when(kind == "key", key).when(kind == "iban", iban).when(kind == "name", named).otherwise(mapped)
+        .when(kind == "domain", site).when(kind == "key", key).when(kind == "iban", iban).when(kind == "name", named).otherwise(mapped)
     )
 
 
@@ -239,10 +249,15 @@ def rendered(kind: Column, value: Column, canon: Column) -> Column:
 
 def assigned(entities: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(kind, canon, new) for distinct (kind, canon): replacements no two of which are equal, nor equal to an entity."""
-    originals = stage(entities.select("kind", "canon").distinct(), "canonical")
+    addresses = entities.filter("kind = 'email'")
+    domains = addresses.select(F.lit("domain").alias("kind"), F.substring_index("canon", "@", -1).alias("canon"))
+    originals = stage(entities.select("kind", "canon").unionByName(domains).distinct(), "canonical")
+    tasks = 2 * entities.sparkSession.sparkContext.defaultParallelism
     pending, given = originals, []
     for turn in range(rounds):
-        proposed = stage(pending.withColumn("new", replacement(F.col("kind"), F.col("canon"), turn)), "proposed")
+        # Few bytes but much work each: more tasks than their size would give.
+        spread = pending.repartition(tasks, "canon")
+        proposed = stage(spread.withColumn("new", replacement(F.col("kind"), F.col("canon"), turn)), "proposed")
         taken = [originals.select("kind", F.col("canon").alias("new")), *(g.select("kind", "new") for g in given)]
         free = proposed.join(reduce(DataFrame.unionByName, taken), ["kind", "new"], "left_anti")
         winners = free.groupBy("kind", "new").agg(F.min("canon").alias("canon"))
@@ -250,10 +265,35 @@ def assigned(entities: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         given.append(accepted)
         pending = stage(proposed.join(accepted, ["kind", "canon"], "left_anti").select("kind", "canon"), "pending")
         if pending.isEmpty():
-            return reduce(DataFrame.unionByName, given)
+            return with_domains(reduce(DataFrame.unionByName, given))
     raise ValueError(f"{pending.count()} entities have no distinct replacement after {rounds} rounds")
 
 
+def with_domains(pairs: DataFrame) -> DataFrame:
+    """Mail addresses under the replacement of their domain. Distinct addresses stay distinct, as distinct domains do."""
+    domains = pairs.filter("kind = 'domain'").select(F.col("canon").alias("domain"), F.col("new").alias("site"))
+    mails = pairs.filter("kind = 'email'").withColumn("domain", F.substring_index("canon", "@", -1)).join(domains, "domain")
+    moved = mails.select("kind", "canon", F.concat_ws("@", F.substring_index("new", "@", 1), "site").alias("new"))
+    return pairs.filter("kind not in ('domain', 'email')").unionByName(moved)
+
+
+def later_mentions(segments: Column, names: Column) -> Column:
+    """The segments with every word of the document's names, where it stands alone with its capital, replaced as in the name."""
+    edge = r"(?<![\p{L}\p{M}'’-])", r"(?![\p{L}\p{M}-])"
+
+    def one(segment: Column) -> Column:
+        return F.aggregate(names, segment, lambda text, n: F.regexp_replace(text, F.concat(F.lit(edge[0]), n["old"], F.lit(edge[1])), n["new"]))
+
+    return F.transform(segments, one)
+
+
+def name_words(value: Column, new: Column) -> Column:
+    """(old, new) of the words of a name and of its replacement, without their title; short words may mean other things."""
+    bare = lambda text: F.split(F.regexp_replace(text, rf"^{TITLE}\s", ""), r"\s")
+    pairs = F.zip_with(bare(value), bare(new), lambda a, b: F.struct(a.alias("old"), b.alias("new")))
+    return F.filter(pairs, lambda p: (F.length(p["old"]) >= 3) & p["new"].isNotNull())
+
+
 def found_entities(texts: DataFrame) -> DataFrame:
     """(keys, at, value) in text order."""
     return texts.select(*KEY, F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("at", "value"))
@@ -270,10 +310,12 @@ def replace_entities(docs: DataFrame, id_column: str = "doc_id", text_column: st
     written = values.join(assigned(values, rounds), ["kind", "canon"])
     written = stage(written.select("value", "kind", rendered(F.col("kind"), F.col("value"), F.col("new")).alias("new")), "written")
     by_text = found.join(written, "value").groupBy(*KEY).agg(
-        F.sort_array(F.collect_set(F.struct("at", "new"))).alias("new"), F.sort_array(F.collect_set("kind")).alias("kinds")
+        F.sort_array(F.collect_set(F.struct("at", "new"))).alias("new"), F.sort_array(F.collect_set("kind")).alias("kinds"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("kind") == "name", name_words(F.col("value"), F.col("new"))))))).alias("names"),
     )
     joined = some.join(by_text, KEY, "left")
-    between = F.split("text", ANY, -1)
+    plain_between = F.split("text", ANY, -1)
+    between = F.when(F.size("names") > 0, later_mentions(plain_between, F.col("names"))).otherwise(plain_between)
     woven = F.array_join(F.flatten(F.zip_with(between, F.col("new.new"), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     touched = joined.select(
         id_column, F.when(F.col("new").isNull(), F.col("text")).otherwise(woven).alias("text"),

@@ -196,3 +196,23 @@ def test_luhn_and_iban_digits(spark):
     numbers = ["".join(p) for p in product("0479", repeat=4)]
     df = spark.createDataFrame([(n,) for n in numbers], "n string")
     assert all(r["ok"] == luhn(r["n"]) for r in df.select("n", surrogates.luhn(F.col("n")).alias("ok")).collect())
+
+
+def test_mentions_without_a_title_follow(spark):
+    texts = ["Mr. John Smith came. Later Smith left; John Smith waved, Smithson and smith did not.", "Smith is another man here.", "MR. JOHN SMITH spoke. SMITH sat."]
+    got = replaced(spark, texts)
+    new = got[0]["text"]
+    assert "Smith " not in new and "John" not in new and "Smithson" in new and " smith " in new
+    surname = re.search(r"Later (\w+) left", new)[1]
+    assert new.count(surname) == 3
+    assert got[1]["text"] == texts[1]
+    assert "SMITH" not in got[2]["text"] and got[2]["n_entities"] == 1
+
+
+def test_distinct_domains_stay_distinct(spark):
+    addresses = ["a.b@acme.com", "a.b@acme.io", "c@acme.com", "x@example.org", "y@example.com", "q@a.de", "q@b.de"]
+    got = [r["text"] for _, r in sorted(replaced(spark, addresses).items())]
+    sites = [a.split("@")[1] for a in got]
+    assert len(set(got)) == len(addresses) and sites[0] == sites[2]
+    assert len(set(sites)) == len(addresses) - 1
+    assert all(s.split(".")[-2] == "example" for s in sites)
