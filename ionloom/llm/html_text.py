@@ -294,7 +294,7 @@ def repeated_leads(rows: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, lead: int = LEAD) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    rows = stage(parsed(pages, lead), "parsed_pages")
+    rows = stage(parsed(pages, lead), "parsed_pages", "zstd")
     repeated = stage(repeated_leads(rows), "repeated")
     placed = rows.select(*KEY, F.posexplode(F.arrays_zip("l1", "l2")).alias("at", "h")).select(*KEY, "at", "h.l1", "h.l2")
     covered = stage(placed.join(repeated, ["l1", "l2"]).groupBy(*KEY).agg(F.collect_set("at").alias("starts")), "covered")
