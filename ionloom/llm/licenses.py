@@ -32,6 +32,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ionloom.functions.exprs import let
 from ionloom.llm.common import KEY, key_columns
 from ionloom.session import stage
 
@@ -159,13 +160,14 @@ def paragraph_words(text: Column) -> Column:
 
 def terms(words: Column) -> Column:
     """Word n-grams of one to three words that hold a cue."""
+    cue = rf"(?:^| )(?:{'|'.join(CUES)})[0-9.]*(?: |$)"
 
-    def grams(k: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, k), " "))
+    def grams(w: Column, k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " "))
 
-    cue = rf"(?:^| )(?:{'|'.join(CUES)})[0-9.]*(?: |$)"
-    return F.filter(F.concat(words, grams(2), grams(3)), lambda g: g.rlike(cue))
+    # The words are computed once, not for every n-gram.
+    return let(words, lambda w: F.filter(F.concat(w, grams(w, 2), grams(w, 3)), lambda g: g.rlike(cue)))
 
 
 def rows_of(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
@@ -178,8 +180,11 @@ def notices(spark: SparkSession) -> DataFrame:
 
 
 def word_pairs(words: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, 2), " ")))
+    def pairs(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, 2), " ")))
+
+    return let(words, pairs)
 
 
 def unlike_notices(sample: DataFrame) -> DataFrame:
