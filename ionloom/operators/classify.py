@@ -71,6 +71,30 @@ def report_unique_compounds(df: DataFrame, approximate: bool = False) -> DataFra
     return per_class.unionByName(total)
 
 
+#: Registers of the sketches: 2^14, a relative error of about 0.8 percent.
+SKETCH_LG_K = 14
+CUBE_SCHEMA = "polarity string, chromatography string, origin string, spectra bigint, compounds binary"
+
+
+def class_cube(df: DataFrame) -> DataFrame:
+    """Spectra and a mergeable sketch of the distinct InChIKeys for every class, every side of the classes and all of them.
+
+    NULL in a class column stands for all its values; spectra of unknown polarity count in the totals only.
+    """
+    named = df.select(F.coalesce("polarity", F.lit("unknown")).alias("polarity"), "chromatography", "origin", "inchikey")
+    cube = named.cube(*CLASSES).agg(F.count(F.lit(1)).alias("spectra"), F.hll_sketch_agg("inchikey", SKETCH_LG_K).alias("compounds"))
+    return cube.filter(F.coalesce(F.col("polarity") != "unknown", F.lit(True)))
+
+
+def merged_cubes(cubes: DataFrame) -> DataFrame:
+    """The cubes of several batches as one: spectra are added, sketches united, no batch is read again.
+
+    ``compounds`` is an estimate (standard error 1.04 / 2^(SKETCH_LG_K / 2)); a compound of two batches counts once.
+    """
+    merged = cubes.groupBy(*CLASSES).agg(F.sum("spectra").alias("spectra"), F.hll_union_agg("compounds").alias("s"))
+    return merged.select(*CLASSES, "spectra", F.hll_sketch_estimate("s").alias("compounds"))
+
+
 def report_rejections(rejects: DataFrame) -> DataFrame:
     """Rejected spectra per reason code, unused codes with zero."""
     counts = rejects.groupBy("deletion_reason").agg(F.count(F.lit(1)).alias("spectra"))

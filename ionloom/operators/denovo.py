@@ -49,23 +49,26 @@ def parse_formula(df: DataFrame) -> DataFrame:
 
 
 def largest_targets(df: DataFrame, params: Params = Params()) -> DataFrame:
-    """Per formula the upper mass bound of its peaks (partial maximum before the shuffle)."""
-    top = F.array_max(F.transform("peaks", lambda p: p["mz"]))
-    return (
-        df.filter(F.col("formula") != "")
-        .groupBy("formula")
-        .agg(F.max(top).alias("_top"))
-        .select("formula", ((F.col("_top") - H_MASS) * (1 + params.ppm_tolerance / 1e6)).alias("mass_limit"))
+    """Per formula the upper and lower mass bound of its peaks (partial extremes before the shuffle)."""
+    mz = F.transform("peaks", lambda p: p["mz"])
+    span = df.filter(F.col("formula") != "").groupBy("formula").agg(F.max(F.array_max(mz)).alias("_top"), F.min(F.array_min(mz)).alias("_low"))
+    tolerance = params.ppm_tolerance / 1e6
+    return span.select(
+        "formula", ((F.col("_top") - H_MASS) * (1 + tolerance)).alias("mass_limit"),
+        ((F.col("_low") - H_MASS) * (1 - tolerance) - RESIDUE_SLACK).alias("mass_floor"),
     )
 
 
-def compositions(formulas: DataFrame, limits: DataFrame, symbols: list[str]) -> DataFrame:
+def compositions(formulas: DataFrame, limits: DataFrame, symbols: list[str], two_sided: bool = False) -> DataFrame:
     """Every composition of the given atoms up to the formula's counts and the mass limit.
 
-    One explode per atom, heaviest first, each bounded by the remaining mass. Before the carbon
-    level the rows are spread, so a formula with very many compositions does not stay in one task.
+    One explode per atom, heaviest first, each bounded by the remaining mass. With ``two_sided`` a count is
+    also bounded from below: all that the later atoms and the hydrogens can still add must reach
+    the floor. Before the carbon level the rows are spread, so a formula with very many compositions does
+    not stay in one task.
     """
     out = formulas.join(limits, "formula").withColumn("mass", F.lit(0.0))
+    rest = sum((F.col(f"max_{s}") * F.lit(MONOISOTOPIC[s]) for s in dict.fromkeys([*symbols, "H"])), F.lit(0.0))
     shuffle_width = int(formulas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for symbol in symbols:
         if symbol == "C":
@@ -73,8 +76,11 @@ def compositions(formulas: DataFrame, limits: DataFrame, symbols: list[str]) ->
         mass = MONOISOTOPIC[symbol]
         room = F.floor((F.col("mass_limit") - F.col("mass")) / mass).cast("int")
         top = F.least(F.col(f"max_{symbol}"), room)
+        rest = rest - F.col(f"max_{symbol}") * F.lit(mass)
+        need = F.ceil((F.col("mass_floor") - F.col("mass") - rest) / mass).cast("int") if two_sided else F.lit(0)
+        low = F.greatest(F.lit(0), need)
         out = out.withColumn(
-            f"n_{symbol}", F.explode(F.when(top >= 0, F.sequence(F.lit(0), top)).otherwise(F.array().cast("array<int>")))
+            f"n_{symbol}", F.explode(F.when(top >= low, F.sequence(low, top)).otherwise(F.array().cast("array<int>")))
         ).withColumn("mass", F.col("mass") + count_of(symbol) * F.lit(mass))
     return out
 
@@ -85,10 +91,16 @@ def subformula_candidates(formulas: DataFrame, limits: DataFrame) -> DataFrame:
     return out.select("formula", "is_simple", "max_C", "mass", *[f"n_{s}" for s in HEAVIEST_FIRST])
 
 
+def bounded_candidates(formulas: DataFrame, limits: DataFrame) -> DataFrame:
+    """The lattice between the lightest and the heaviest window, hydrogens included."""
+    out = compositions(formulas, limits, HEAVIEST_FIRST, two_sided=True).filter(F.col("mass") >= F.col("mass_floor"))
+    return out.select("formula", "is_simple", "max_C", "mass", *[f"n_{s}" for s in HEAVIEST_FIRST])
+
+
 def heavy_compositions(formulas: DataFrame, limits: DataFrame) -> DataFrame:
     """Compositions without their hydrogens: the part of the lattice that has to be enumerated."""
     symbols = [s for s in HEAVIEST_FIRST if s != "H"]
-    return compositions(formulas, limits, symbols).select(
+    return compositions(formulas, limits, symbols, two_sided=True).select(
         "formula", "is_simple", "max_C", "max_H", "mass", *[f"n_{s}" for s in symbols]
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from itertools import chain
 from typing import NamedTuple
 
@@ -55,17 +56,17 @@ def has_word(text: Column, key: str) -> Column:
     return F.contains(text, F.lit(key)) & whole if re.fullmatch(r"[\w ]+", key) else whole
 
 
-def match_instrument(df: DataFrame, rules: list[InstrumentRule]) -> DataFrame:
+def match_instrument(df: DataFrame, rules: list[InstrumentRule], by_index: bool | None = None) -> DataFrame:
     """Add one column per level with the first key found as a whole word, else ``not found``.
 
     A path that leaves the tree turns every deeper level NULL. A few rules become literal patterns:
-    the match is a narrow projection without a join. Many are matched as a table, on distinct texts.
+    the match is a narrow projection without a join. Many are matched by an index, on distinct texts.
     """
     text = F.concat(
         F.lit(". "), clean_instrument_text(F.col("instrument"), F.col("instrumenttype"), F.col("comment")), F.lit(" .")
     )
     out = df.withColumn("instrument_text", text)
-    if len(rules) > LITERAL_RULES:
+    if by_index if by_index is not None else len(rules) > LITERAL_RULES:
         texts = out.select(F.col("instrument_text").alias("_text")).distinct()
         matched = match_by_table(texts, rules)
         return out.join(matched, F.col("instrument_text").eqNullSafe(F.col("_text")), "left").drop("_text")
@@ -87,27 +88,44 @@ def match_instrument(df: DataFrame, rules: list[InstrumentRule]) -> DataFrame:
 
 
 def match_by_table(texts: DataFrame, rules: list[InstrumentRule]) -> DataFrame:
-    """The same match on distinct texts (``_text``): per level a join on the path so far, then the first
-    of its keys, in rule order, that the text has as a word."""
+    """The same match on distinct texts (``_text``) by an inverted index.
+
+    A key that is plain words is posted under its rarest word, the one that fewest keys of the rules have; a text
+    meets only the keys, below its path so far, whose rarest word it has. They are verified as whole words,
+    and the first in rule order wins. Keys that are patterns are posted under no word and met by every text there.
+    """
     out = texts.withColumn("instrument_path", F.lit(""))
-    nodes: dict[int, list[tuple]] = {}
-    for path, keys in _children(rules).items():
-        nodes.setdefault(len(path), []).append((_path(path), keys, [bool(re.fullmatch(r"[\w ]+", k)) for k in keys]))
+    postings, inner = _postings(rules)
     for depth, level in enumerate(LEVELS):
-        table = local_table(texts.sparkSession, nodes[depth], ["_parent", "_keys", "_plain"])
-        joined = out.join(table, F.col("instrument_path") == F.col("_parent"), "left")
-
-        def present(entry: Column) -> Column:
-            pattern = F.concat(F.lit(r"(\b|^|$)"), entry["_keys"], F.lit(r"(\b|^|$)"))
-            return (~entry["_plain"] | F.contains("_text", entry["_keys"])) & F.rlike("_text", pattern)
-
-        found = F.get(F.filter(F.arrays_zip("_keys", "_plain"), present), F.lit(0))["_keys"]
-        joined = joined.withColumn(level, F.when(F.col("_parent").isNotNull(), F.coalesce(found, F.lit(NO_MATCH))))
+        index = local_table(texts.sparkSession, postings[depth], ["_parent", "_word", "_order", "_key"])
+        words = F.array_distinct(F.concat(F.split("_text", r"\W+"), F.array(F.lit(""))))
+        posted = out.select("_text", "instrument_path", F.explode(words).alias("_word"))
+        met = posted.join(index, (F.col("instrument_path") == F.col("_parent")) & (posted["_word"] == index["_word"]))
+        whole = F.rlike("_text", F.concat(F.lit(r"(\b|^|$)"), "_key", F.lit(r"(\b|^|$)")))
+        first = met.filter(whole).groupBy("_text").agg(F.min_by("_key", "_order").alias("_found"))
+        nodes = local_table(texts.sparkSession, [(p, True) for p in inner[depth]], ["instrument_path", "_inner"])
+        joined = out.join(first, "_text", "left").join(nodes, "instrument_path", "left")
+        joined = joined.withColumn(level, F.when(F.col("_inner"), F.coalesce("_found", F.lit(NO_MATCH))))
         trail = F.concat("instrument_path", F.lit(PATH_MARK), level) if depth else F.col(level)
-        out = joined.withColumn("instrument_path", trail).drop("_parent", "_keys", "_plain")
+        out = joined.withColumn("instrument_path", trail).drop("_found", "_inner")
     return out.select("_text", *LEVELS, "instrument_path")
 
 
+def _postings(rules: list[InstrumentRule]) -> tuple[dict[int, list[tuple]], dict[int, list[str]]]:
+    """Per level the index rows (path, rarest word or '', place in rule order, key) and the paths that have keys."""
+    tree = _children(rules)
+    own = {key: re.findall(r"\w+", key) if re.fullmatch(r"[\w ]+", key) else [] for keys in tree.values() for key in keys}
+    frequency = Counter(word for words in own.values() for word in set(words))
+    postings: dict[int, list[tuple]] = {d: [] for d in range(len(LEVELS))}
+    inner: dict[int, list[str]] = {d: [] for d in range(len(LEVELS))}
+    for path, keys in tree.items():
+        inner[len(path)].append(_path(path))
+        for place, key in enumerate(keys):
+            rarest = min(own[key], key=lambda w: (frequency[w], -len(w), w), default="")
+            postings[len(path)].append((_path(path), rarest, place, key))
+    return postings, inner
+
+
 def assign_resolution(df: DataFrame, rules: list[InstrumentRule]) -> DataFrame:
     """Write instrument, type, resolution and ionisation of the matched leaf; keep unmatched rows."""
     leaves: dict[str, dict[str, str]] = {}

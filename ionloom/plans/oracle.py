@@ -560,15 +560,20 @@ def formulas() -> str:
     return f"frm AS (SELECT formula, {simple} AS is_simple, {counts} FROM (SELECT DISTINCT formula FROM dn))"
 
 
-def candidates() -> list[str]:
+def candidates(lightest: float | None = None) -> list[str]:
+    """The lattice up to the heaviest window; with ``lightest`` of the peaks from there on, and down to their lightest window."""
     ranges = ", ".join(f"(SELECT unnest(range(max_{s} + 1))::INT AS n_{s}) x_{s}" for s in MASSES)
     mass = " + ".join(f"n_{s} * {m}::DOUBLE" for s, m in MASSES.items())
     return [
         formulas(),
         "lim AS (SELECT formula, (max(p.mz) - 1.0078250322::DOUBLE) * (1 + 5 / 1e6) AS mass_limit FROM "
-        "(SELECT formula, unnest(peaks) AS p FROM dn) GROUP BY 1)",
-        f"can AS (SELECT * FROM (SELECT f.formula, is_simple, max_C, mass_limit, {', '.join('n_' + s for s in MASSES)}, 0.0::DOUBLE + {mass} AS mass "
-        f"FROM frm f JOIN lim USING (formula), {', '.join('LATERAL ' + r for r in ranges.split(', '))}) WHERE mass <= mass_limit)",
+        "(SELECT formula, unnest(peaks) AS p FROM dn) GROUP BY 1)"
+        if lightest is None
+        else "lim AS (SELECT formula, (max(p.mz) - 1.0078250322::DOUBLE) * (1 + 5 / 1e6) AS mass_limit, "
+        "(min(p.mz) - 1.0078250322::DOUBLE) * (1 - 5 / 1e6) - 1e-6::DOUBLE AS mass_floor FROM "
+        f"(SELECT formula, unnest(peaks) AS p FROM dn) WHERE p.mz >= {lightest} GROUP BY 1)",
+        f"can AS (SELECT * FROM (SELECT f.formula, is_simple, max_C, lim.* EXCLUDE (formula), {', '.join('n_' + s for s in MASSES)}, 0.0::DOUBLE + {mass} AS mass "
+        f"FROM frm f JOIN lim USING (formula), {', '.join('LATERAL ' + r for r in ranges.split(', '))}) WHERE mass <= mass_limit{'' if lightest is None else ' AND mass >= mass_floor'})",
     ]
 
 

@@ -154,6 +154,11 @@ def curate(
     return Curated(kept, rejects), cleaned
 
 
+def library_totals(spark: SparkSession, out: str) -> DataFrame:
+    """Spectra and distinct compounds of the library over all batches, by class and in all, from the batches' totals."""
+    return cl.merged_cubes(wr.read_cubes(spark, f"{out}/TOTALS"))
+
+
 def next_batch(registry: DataFrame) -> int:
     last = registry.agg(F.max("batch_id").alias("last")).first()["last"]
     return 0 if last is None else last + 1
@@ -189,6 +194,7 @@ def run(
         wr.replace_registry(fresh, f"{out}/REGISTRY")
     else:
         wr.append_registry(fresh, f"{out}/REGISTRY")
+    wr.write_cube(cl.class_cube(result.kept), f"{out}/TOTALS", batch_id, params.reset)
     report = cl.run_report(result.kept, result.rejects, params)
     report.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/REPORT/batch_id={batch_id}")
     return report

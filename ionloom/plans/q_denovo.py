@@ -34,6 +34,14 @@ def subformula_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).select("formula", *COUNTS, F.round("mass", 6).alias("mass"))
 
 
+def bounded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compositions of the formulas of heavy-peaked spectra, between their lightest and heaviest window."""
+    df = fx.denovo_spectra(spark, sf_dir).withColumn("peaks", F.filter("peaks", lambda p: p["mz"] >= 90))
+    limits = dn.largest_targets(df.filter(F.size("peaks") > 0))
+    found = dn.bounded_candidates(dn.parse_formula(df), limits)
+    return found.select("formula", *COUNTS, F.round("mass", 6).alias("mass"))
+
+
 def plausible_chnops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).filter("is_simple").filter(dn.plausible_chnops()).select("formula", *COUNTS)
 
@@ -71,6 +79,7 @@ _add("parse_formula", parse_formula, [*BASE, orc.formulas()],
      f"SELECT formula, is_simple, {', '.join('max_' + s for s in orc.MASSES)} FROM frm")
 _CAN = [*BASE, *orc.candidates()]
 _add("subformula_candidates", subformula_candidates, _CAN, f"SELECT formula, {_N}, round(mass, 6) AS mass FROM can")
+_add("bounded_candidates", bounded_candidates, [*BASE, *orc.candidates(90)], f"SELECT formula, {_N}, round(mass, 6) AS mass FROM can")
 _add("plausible_chnops", plausible_chnops, _CAN, f"SELECT formula, {_N} FROM can WHERE is_simple AND {orc.PLAUSIBLE_SIMPLE}")
 _add("plausible_general", plausible_general, _CAN, f"SELECT formula, {_N} FROM can WHERE NOT is_simple AND {orc.PLAUSIBLE_GENERAL}")
 _add("hill_formula", hill_formula, _CAN, f"SELECT formula, {_N}, {orc.HILL} AS hill FROM can")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from ionloom.plans import fixture as fx
 from ionloom.plans import oracle as orc
 from ionloom.plans.pipeline import Curated, Lookups, curate
 from ionloom.schema import REASONS, Params
-from ionloom.session import stage
+from ionloom.session import new_path, stage
+from ionloom.sinks import writers as wr
 from ionloom.sources.lookups import adduct_table
 
 QUERIES = {}
@@ -300,6 +303,27 @@ _add("report_unique_compounds", report_unique_compounds, [*_CLS, orc.GRID],
      _GRID_COUNT.format("compounds", "count(DISTINCT inchikey)", ""))
 
 
+def merged_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of four batches, merged from their counts and sketches; the estimated compounds within 4 percent of the exact ones."""
+    classed = cl.classify(_typed(spark, sf_dir))
+    path = new_path(spark, "totals")
+    for batch in range(4):
+        wr.write_cube(cl.class_cube(classed.filter(F.col("record_id") % 4 == batch)), path, batch)
+    merged = cl.merged_cubes(wr.read_cubes(spark, path))
+    named = F.coalesce("polarity", F.lit("unknown"))
+    exact = classed.withColumn("polarity", named).cube(*cl.CLASSES).agg(F.count_distinct("inchikey").alias("exact"))
+    same = reduce(lambda a, b: a & b, [merged[c].eqNullSafe(exact[c]) for c in cl.CLASSES])
+    near = F.abs(F.col("compounds") - F.col("exact")) <= 0.04 * F.col("exact") + 1
+    shown = [F.coalesce(merged[c], F.lit("ALL")).alias(c) for c in cl.CLASSES]
+    return merged.join(exact, same).select(*shown, "spectra", F.col("exact").alias("compounds"), near.alias("near"))
+
+
+_add("merged_totals", merged_totals, [*_CLS],
+     "SELECT * FROM (SELECT CASE WHEN grouping(p) = 1 THEN 'ALL' ELSE p END AS polarity, CASE WHEN grouping(chromatography) = 1 THEN 'ALL' ELSE chromatography END AS chromatography, "
+     "CASE WHEN grouping(origin) = 1 THEN 'ALL' ELSE origin END AS origin, count(*) AS spectra, count(DISTINCT inchikey) AS compounds, true AS near "
+     "FROM (SELECT *, coalesce(polarity, 'unknown') AS p FROM cls) GROUP BY CUBE (p, chromatography, origin)) WHERE polarity <> 'unknown'")
+
+
 # --- whole run ------------------------------------------------------------------------------
 
 

@@ -76,6 +76,14 @@ def assign_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record_id", "instrument", "instrumenttype", "resolution", "ionization")
 
 
+def match_instrument_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same match by the inverted index that large rule sets use."""
+    matched = ins.match_instrument(fx.headers(spark, sf_dir, INSTRUMENT), DEFAULT_INSTRUMENTS, by_index=True)
+    return matched.select("record_id", "instrument_text", *ins.LEVELS)
+
+
+_add("match_instrument_index", match_instrument_index, [*RAW, *orc.instruments("raw", keep_path=True)],
+     f"SELECT record_id, instrument_text, {', '.join(ins.LEVELS)} FROM ins")
 _add("match_instrument", match_instrument, [*RAW, *orc.instruments("raw", keep_path=True)],
      f"SELECT record_id, instrument_text, {', '.join(ins.LEVELS)} FROM ins")
 _add("assign_resolution", assign_resolution, [*RAW, *orc.instruments("raw")],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ionloom.operators.classify import CLASSES
+from ionloom.operators.classify import CLASSES, CUBE_SCHEMA
 from ionloom.schema import Params
 from ionloom.sinks.formats import csv_columns, json_columns, msp_record
 
@@ -53,6 +53,18 @@ def write_rejects(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     ).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
+def write_cube(cube: DataFrame, path: str, batch_id: int, reset: bool = False) -> None:
+    """Counts and sketches of a batch, in a folder of its own that a repeated run overwrites; with ``reset`` the only one."""
+    if reset:
+        cube.withColumn("batch_id", F.lit(batch_id)).coalesce(1).write.mode("overwrite").partitionBy("batch_id").parquet(path)
+    else:
+        cube.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def read_cubes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{CUBE_SCHEMA}, batch_id bigint").parquet(path)
+
+
 def open_registry(spark: SparkSession, path: str, reset: bool = False) -> DataFrame:
     """Registry of seen SPLASH keys; created when missing, emptied on reset."""
     spark.createDataFrame([], REGISTRY_SCHEMA).write.mode("overwrite" if reset else "append").parquet(path)

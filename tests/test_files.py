@@ -193,7 +193,7 @@ def test_cluster_adducts():
         "M+37Cl": ("[M+37Cl]-", cl37 + e, "negative"), "M+2Cl": ("[M+2Cl]2-", 2 * (cl + e), "negative"),
         "2M+Na+K": ("[2M+Na+K]2+", na + k - 2 * e, "positive"), "2M+K+Na": ("[2M+K+Na]2+", na + k - 2 * e, "positive"),
         "M-2H+3Na": ("[M-2H+3Na]+", 3 * na - 2 * h - e, "positive"), "M+3Na-2H": ("[M+3Na-2H]+", 3 * na - 2 * h - e, "positive"),
-        "M+Ca-H": ("[M+Ca-H]+", ca - h - e, "positive"), "M-H+Ca": ("[M-H+Ca]+", ca - h - e, "positive"),
+        "M+Ca-H": ("[(M+Ca)-H]+", ca - h - e, "positive"), "M-H+Ca": ("[(M-H)+Ca]+", ca - h - e, "positive"),
     }
     for name, (canonical, shift, mode) in want.items():
         assert rows[name][0] == canonical and rows[name][2] == mode and abs(rows[name][1] - shift) < 1e-5, name

@@ -245,3 +245,69 @@ def test_many_instrument_rules_are_a_table(spark, monkeypatch):
     start = time.perf_counter()
     plan_of(ins.normalize_instruments(df, many))
     assert time.perf_counter() - start < 5
+
+
+def test_the_instrument_index_equals_the_rules_one_by_one(spark):
+    """Plain keys, keys of several words and patterns; keys that are parts of others; texts with many hits."""
+    import random
+    import re as regex
+
+    from ionloom.operators import instruments as ins
+
+    rng = random.Random(4)
+    words = ["orbi", "trap", "q", "tof", "ltq", "xl", "6530", "gc", "ei", "esi", "brand"]
+    key = lambda: rng.choice([" ".join(rng.sample(words, rng.randint(1, 2))), "(?:6530|6550)", rng.choice(words), "not found"])
+    rules = [ins.InstrumentRule(key(), key(), key(), key(), key(), "high", f"S{i}, LC-ESI-QTOF, high") for i in range(600)]
+    texts = [". " + " ".join(rng.choices([*words, "xq", "6550", "tof2"], k=rng.randint(0, 7))) + " ." for _ in range(150)]
+    tree = ins._children(rules)
+
+    def one_by_one(text):
+        path = ()
+        for _ in ins.LEVELS:
+            keys = tree.get(path)
+            if keys is None:
+                return path
+            path += (next((k for k in keys if regex.search(rf"(\b|^|$){k}(\b|^|$)", text)), ins.NO_MATCH),)
+        return path
+
+    df = spark.createDataFrame([(t,) for t in set(texts)], "_text string")
+    for r in ins.match_by_table(df, rules).collect():
+        path = one_by_one(r["_text"])
+        assert tuple(r[c] for c in ins.LEVELS) == path + (None,) * (len(ins.LEVELS) - len(path)), r["_text"]
+
+
+def test_lower_bounds_cut_the_lattice_and_lose_nothing(spark):
+    from ionloom.operators import denovo as dn
+    from ionloom.plans import fixture as fx
+
+    spectra = fx.denovo_spectra(spark, SF_DIR).limit(150)
+    heavy = spectra.withColumn("peaks", F.filter("peaks", lambda p: p["mz"] >= 100)).filter(F.size("peaks") > 0)
+    formulas, limits, targets = dn.parse_formula(heavy), dn.largest_targets(heavy), dn.peak_targets(heavy)
+    symbols = [s for s in dn.HEAVIEST_FIRST if s != "H"]
+    names = ["formula", "is_simple", "max_C", "max_H", "mass", *(f"n_{s}" for s in symbols)]
+    bounded = dn.heavy_compositions(formulas, limits)
+    whole = dn.compositions(formulas, limits, symbols).select(names)
+    assert 0 < bounded.count() < whole.count()
+    a, b = (dn.match_hydrogens(targets, c) for c in (bounded, whole))
+    assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0
+
+
+def test_totals_of_batches_are_merged(spark, tmp_path):
+    """A compound of two batches counts once; a repeated batch replaces its totals; a reset leaves one."""
+    from ionloom.operators import classify as cl
+    from ionloom.sinks import writers as wr
+
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 4 == 0, None).otherwise("positive").alias("polarity"), F.lit("LC").alias("chromatography"),
+        F.when(F.col("id") % 2 == 0, "experimental").otherwise("in_silico").alias("origin"), (F.col("id") % 700).cast("string").alias("inchikey"),
+        (F.col("id") % 3).alias("batch"),
+    )
+    path = str(tmp_path / "totals")
+    for batch in (0, 1, 2, 1):
+        wr.write_cube(cl.class_cube(rows.filter(F.col("batch") == batch)), path, batch)
+    got = {tuple(r[c] for c in cl.CLASSES): (r["spectra"], r["compounds"]) for r in cl.merged_cubes(wr.read_cubes(spark, path)).collect()}
+    assert got[None, None, None][0] == 4000 and abs(got[None, None, None][1] - 700) <= 25
+    assert got["positive", None, None][0] == 3000 and got["positive", "LC", "in_silico"][0] == 2000
+    assert not any(k[0] == "unknown" for k in got)
+    wr.write_cube(cl.class_cube(rows.filter("batch = 0")), path, 3, reset=True)
+    assert cl.merged_cubes(wr.read_cubes(spark, path)).filter("polarity is null and chromatography is null and origin is null").first()["spectra"] == 1334
