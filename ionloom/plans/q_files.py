@@ -24,6 +24,7 @@ from ionloom.sinks import writers as wr
 from ionloom.sources import lookups as lk
 from ionloom.sources import readers as rd
 from ionloom.streaming.incremental import first_copies, library_stream, start_curation
+from ionloom.streaming.richest import CHANGES, current_richest, ranked, richest_changes
 
 QUERIES = {}
 ORACLES = {}
@@ -715,3 +716,19 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add("stream_dedup", stream_dedup, [*orc.copies(), *orc.splash("cp")],
      "SELECT spl.splash, inchikey, CASE WHEN trim(inchikey) <> '' THEN 1 ELSE count(*) END::BIGINT AS n FROM cp JOIN spl USING (record_id) GROUP BY 1, 2")
+
+
+def stream_richest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies that arrive in three files, a micro-batch each: the richest copy per key by the log of changes."""
+    base = new_path(spark, "stream-richest")
+    copies = ranked(with_splash(fx.spectra_with_copies(spark, sf_dir)))
+    for part in range(3):
+        copies.filter(F.col("record_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    arriving = spark.readStream.schema(copies.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    sink = richest_changes(arriving).writeStream.format("parquet").option("path", f"{base}/log")
+    sink.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return current_richest(spark.read.schema(CHANGES).parquet(f"{base}/log")).select("record_id", "splash", "inchikey")
+
+
+_add("stream_richest", stream_richest, [*orc.copies(), *orc.splash("cp"), "fin AS (SELECT cp.*, splash FROM cp JOIN spl USING (record_id))", orc.deduplicated("fin")],
+     "SELECT record_id, splash, inchikey FROM dup WHERE NOT coalesce(is_duplicate, false) AND trim(inchikey) <> ''")

@@ -311,3 +311,26 @@ def test_totals_of_batches_are_merged(spark, tmp_path):
     assert not any(k[0] == "unknown" for k in got)
     wr.write_cube(cl.class_cube(rows.filter("batch = 0")), path, 3, reset=True)
     assert cl.merged_cubes(wr.read_cubes(spark, path)).filter("polarity is null and chromatography is null and origin is null").first()["spectra"] == 1334
+
+
+def test_streamed_richest_copy_follows_every_change(spark, tmp_path):
+    """Ties go to the smaller id; rows without a key are left out; a replayed file changes nothing."""
+    from ionloom.streaming.richest import CHANGES, KEYS, current_richest, ranked, richest_changes
+
+    schema = "record_id bigint, splash string, inchikey string, comment string, peaks array<struct<mz:double,intensity:double>>"
+    batches = [
+        [(5, "S", "K", "xx", []), (6, "S", "K", "xx", []), (7, "T", "K", "x", []), (8, "S", "", "xxxx", [])],
+        [(4, "S", "K", "xx", []), (9, "T", "K", "", []), (10, "S", None, "xxxx", [])],
+        [(3, "T", "K", "xxxxx", []), (11, "S", "K", "xxxxxxx", []), (12, "U", "K", "", [])],
+    ]
+    source, log = str(tmp_path / "in"), str(tmp_path / "log")
+    seen = []
+    for rows in batches:
+        ranked(spark.createDataFrame(rows, schema)).coalesce(1).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(CHANGES).parquet(source)
+        sink = richest_changes(arriving).writeStream.format("parquet").option("path", log).option("checkpointLocation", str(tmp_path / "c"))
+        sink.trigger(availableNow=True).start().awaitTermination()
+        best = current_richest(spark.read.schema(CHANGES).parquet(log))
+        seen.append({(r["splash"], r["inchikey"]): r["record_id"] for r in best.collect()})
+    assert seen == [{("S", "K"): 5, ("T", "K"): 7}, {("S", "K"): 4, ("T", "K"): 7}, {("S", "K"): 11, ("T", "K"): 3, ("U", "K"): 12}]
+    assert spark.read.schema(CHANGES).parquet(log).groupBy(*KEYS).count().agg(F.sum("count")).first()[0] == 6
