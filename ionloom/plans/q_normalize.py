@@ -246,7 +246,10 @@ def inchi_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"case when {key} % 4 = 0 then '' else concat('/i', case when {key} % 2 = 0 then '2*' else '' end, '1+1,2D', {key} % 4, ',', 3 + {key} % 9, '+2;') end)"
     )
     inchi = F.col("inchi")
-    return fx.table(spark, sf_dir, "orders").select(F.col(key).alias("record_id"), text.alias("inchi")).select(
+    rows = fx.table(spark, sf_dir, "orders").select(F.col(key).alias("record_id"), text.alias("inchi"))
+    # Narrow rows that are heavy in CPU: their bytes, by which scans and adaptive execution cut tasks, would give few.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "record_id").select(
         "record_id", ic.formula_layer(inchi).alias("formula"), ic.charge(inchi).alias("charge"), ic.protons(inchi).alias("protons"),
         F.round(ic.inchi_mass(inchi), 4).alias("exactmass"), F.round(ic.inchi_mass(inchi, AVERAGE), 3).alias("averagemass"),
     )
