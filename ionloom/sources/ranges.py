@@ -323,7 +323,8 @@ def json_array_elements(spark: SparkSession, paths: str | list[str]) -> tuple[Da
     def cutter_of(part: Part) -> Cutter:
         return Elements(part, Entry(*states.value[part.origin[0], part.at]))
 
-    sound = text.filter(~F.col("path").isin(sorted(broken))) if broken else text
+    # A join and not a list of literals: as many files as there are may be broken.
+    sound = text.join(F.broadcast(spark.createDataFrame([(p,) for p in broken], "path string")), "path", "left_anti").select(text.columns) if broken else text
     found = stage(sound.mapInArrow(lambda batches: cut(batches, cutter_of), CUT), "elements")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,6 @@
 """The richest copy per key as a stream: keyed state that emits a row whenever a richer copy arrives.
 
-A micro-batch brings narrow rows (key, size, id). The state of a key is the size and id of its best copy so far;
+A micro-batch brings narrow rows (key, size, id). The state of a key, kept by buckets of keys, is the size and id of its best copy so far;
 the emitted changes are an append-only log, and the best copy of a key is the largest change of the log. So
 the state only saves emissions: it may be dropped after `ttl`, and a key that comes back later starts anew without harm.
 """
@@ -18,7 +18,11 @@ from ionloom.operators.dedup import has_inchikey, row_richness
 
 KEYS = ["splash", "inchikey"]
 CHANGES = "splash string, inchikey string, size bigint, record_id bigint"
-BEST = "size bigint, record_id bigint"
+RANKED = [*KEYS, "size", "record_id"]
+#: State of a bucket of keys: their best copies, the ids negated as they are compared, and when the keys came last.
+BEST = "splash array<string>, inchikey array<string>, size array<bigint>, negative array<bigint>, at array<bigint>"
+#: Calls into Python and states are counted by buckets of keys: one for every key costs milliseconds a key.
+BUCKETS = 4096
 
 
 def ranked(df: DataFrame) -> DataFrame:
@@ -38,21 +42,28 @@ def richest_changes(rows: DataFrame, ttl: str | None = None) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        known = state.get if state.exists else None
-        best = known
-        for batch in batches:  # pieces of one key, never all of its rows at once
-            top = batch.sort_values(["size", "record_id"], ascending=[False, True]).iloc[0]
-            mine = (int(top["size"]), int(top["record_id"]))
-            if best is None or (mine[0], -mine[1]) > (best[0], -best[1]):
-                best = mine
-        if best != known:
-            state.update(best)
-            yield pd.DataFrame({"splash": [key[0]], "inchikey": [key[1]], "size": [best[0]], "record_id": [best[1]]})
+        now = state.getCurrentProcessingTimeMs() if wait is not None else 0
+        rows = zip(*state.get, strict=True) if state.exists else ()
+        known = {(s, k): (size, negative, at) for s, k, size, negative, at in rows if wait is None or now - at < wait}
+        best = {}
+        for batch in batches:  # pieces of a bucket, never all of its rows at once
+            for s, k, size, number in zip(*(batch[c].tolist() for c in RANKED), strict=True):
+                mine = (int(size), -int(number))
+                if (s, k) not in best or mine > best[s, k]:
+                    best[s, k] = mine
+        changed = {k: v for k, v in best.items() if k not in known or v > known[k][:2]}
+        if changed or wait is not None:
+            # A key that came again was not quiet, even if its best copy stays.
+            known |= {k: (*max(v, known[k][:2] if k in known else v), now) for k, v in best.items()}
+            state.update(tuple(map(list, zip(*((*k, *v) for k, v in known.items()), strict=True))))
+        if changed:
+            yield pd.DataFrame([(*k, size, -negative) for k, (size, negative) in changed.items()], columns=RANKED)
         if wait is not None:
             state.setTimeoutDuration(wait)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if wait is not None else GroupStateTimeout.NoTimeout
-    return rows.groupBy(*KEYS).applyInPandasWithState(step, CHANGES, BEST, "append", timeout)
+    keyed = rows.select(F.pmod(F.xxhash64(*KEYS), F.lit(BUCKETS)).alias("bucket"), *RANKED)
+    return keyed.groupBy("bucket").applyInPandasWithState(step, CHANGES, BEST, "append", timeout)
 
 
 def current_richest(changes: DataFrame) -> DataFrame:
