@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ionloom.functions import text as tx
 from ionloom.functions.splash import splash
 from ionloom.plans import fixture as fx
 
@@ -31,3 +32,14 @@ def test_the_terms_of_a_splash_are_written_once(spark):
     peaks = spark.createDataFrame([([(100.0, 5.0)],)], "peaks array<struct<mz:double,intensity:double>>")
     # The slice of the strongest ions: every further one is evaluated again for every spectrum.
     assert peaks.select(splash(F.col("peaks")).alias("s"))._jdf.queryExecution().analyzed().toString().count("slice(") == 1
+
+
+def test_empty_words_are_found_by_one_pattern(spark):
+    words = [*tx.EMPTY_WORDS, "UnKnown", "un\u212anown", "UN\u212a", "N/A", "nothing", "x1", "0.00", "0x0", ".", "", " ", "\u0130", "ccs", "\u017fnan"]
+    texts = [None, *[a + b for a in words for b in ("", " ", " 5 eV", "\n", " \n", "\tx", " x\ny", "\r", " \r", "\u00a0x")], *[" " + a for a in words]]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    word = F.lower(F.substring_index("t", " ", 1))
+    empty = word.isin([w.lower() for w in tx.EMPTY_WORDS]) & ~F.contains("t", F.lit("\n"))
+    got = rows.select("t", tx.normalize_empty(F.col("t")).alias("new"), F.when((F.col("t") != "") & ~empty, F.col("t")).alias("old"))
+    assert [r["t"] for r in got.collect() if r["new"] != r["old"]] == []
+    assert "substring_index" not in got.select("new")._jdf.queryExecution().analyzed().toString().split("AS old")[0].split("AS new")[0]
