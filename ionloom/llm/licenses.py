@@ -137,7 +137,8 @@ CUES = (
 #: The same in a text as it is written: British spelling, versions glued to the name.
 CUE = rf"(?i)(?:^|[^a-z0-9])(?:{'|'.join(CUES)}|(?:sub)?licen[cs]e[ds]?|[al]?gplv)(?![a-z])"
 COMMENT = r"(?m)^[ \t]*(?://+|/\*+|\*+/|\*+(?=\s)|#+(?=\s)|;+(?=\s)|--+(?=\s)|%+(?=\s)|<!--)[ \t]*"
-WRAP = r"([^.!?\s])[ \t]*\r?\n(?=[ \t]*\S)"
+#: A line of 1,000 characters or more is a paragraph of its own, not one that was wrapped.
+WRAP = r"([^.!?\s])[ \t]*\r?\n(?<![^\n]{1000}\n)(?=[ \t]*\S)"
 SENTENCE = r"\n|(?<=[.!?])[ \t]+(?=\p{Lu})"
 
 
