@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ionloom.session import stage
+from ionloom.session import local_table, stage
 
 ORIGIN = ["path", "filename", "filehash"]
 CUT = "value string, path string, filename string, filehash string, at bigint, kind string"
@@ -310,12 +310,12 @@ def salvaged(text: str) -> Iterator[str]:
         at = max(end, at + 1)
 
 
-def json_array_elements(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, list[str]]:
+def json_array_elements(spark: SparkSession, paths: str | list[str], text: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """(value, filename, filehash) of the array elements of sound files, in any layout; and the files that are not sound.
 
-    The states are broadcast: one row for every range that the scan has.
+    The states are broadcast: one row for every range that the scan has. ``text``: the pieces, if they are there already.
     """
-    text = pieces(spark, paths, "}")
+    text = pieces(spark, paths, "}") if text is None else text
     rows = [tuple(r) for r in text.mapInArrow(summaries, SUMMARY).collect()]
     entries, broken = composed(rows)
     states = spark.sparkContext.broadcast({k: tuple(v) for k, v in entries.items()})
@@ -324,7 +324,7 @@ def json_array_elements(spark: SparkSession, paths: str | list[str]) -> tuple[Da
         return Elements(part, Entry(*states.value[part.origin[0], part.at]))
 
     # A join and not a list of literals: as many files as there are may be broken.
-    sound = text.join(F.broadcast(spark.createDataFrame([(p,) for p in broken], "path string")), "path", "left_anti").select(text.columns) if broken else text
+    sound = text.join(F.broadcast(local_table(spark, [(p,) for p in sorted(broken)], ["path"])), "path", "left_anti").select(text.columns) if broken else text
     found = stage(sound.mapInArrow(lambda batches: cut(batches, cutter_of), CUT), "elements")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from ionloom.functions import parse as ps
 from ionloom.functions.exprs import computed_once
 from ionloom.schema import COLUMNS, PEAKS_TYPE
+from ionloom.session import local_table, stage
 from ionloom.sources.lookups import default_synonyms
-from ionloom.sources.ranges import blank_line_records, json_array_elements, salvaged
+from ionloom.sources.ranges import blank_line_records, json_array_elements, pieces, salvaged
 
 SOURCES = ["msp", "csv", "json", "mgf"]
 SOURCE_STRIDE = 1 << 60
@@ -30,6 +31,10 @@ RAW_MAP = "map<string,string>"
 HEAD_BYTES = 1 << 16
 #: Bytes that tell the first character, unless they are all blank.
 FIRST_BYTES = 1 << 10
+#: Of more files than these a scan tells the kinds: the driver's calls per file add up.
+DRIVER_FILES = 64
+#: Start of an array, in the piece before the first `}` of a file.
+ARRAY_START = r"(?U)^\ufeff?\s*\["
 
 
 def provenance() -> list[Column]:
@@ -211,26 +216,47 @@ def parse_mgf(records: DataFrame, synonyms: dict[str, list[str]] | None = None)
     return _finish(rows, "mgf", synonyms)
 
 
-def scan_json_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One object per line as a map of top-level values; splittable."""
-    lines = spark.read.text(paths).select("value", *provenance()).filter(F.trim("value") != "")
+def scan_json_lines(spark: SparkSession, paths: str | list[str], only: DataFrame | None = None) -> DataFrame:
+    """One object per line as a map of top-level values; splittable. ``only``: the ``path`` of the files to read."""
+    lines = among(spark.read.text(paths), only).filter(F.trim("value") != "")
     return lines.select(F.from_json("value", RAW_MAP).alias("raw"), "filename", "filehash")
 
 
-def scan_json_array(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def scan_json_array(spark: SparkSession, paths: str | list[str], text: DataFrame | None = None) -> DataFrame:
     """Objects of top-level arrays in any layout, by ranges; an element that can't be read is a NULL row.
 
     Files whose brackets or quotes don't close can't be cut by ranges: each is one task, which
-    goes on at the next object after what can't be read.
+    goes on at the next object after what can't be read. ``text``: the `pieces` to read, if they are there already.
     """
-    objects, broken = json_array_elements(spark, paths)
+    objects, broken = json_array_elements(spark, paths, text)
     if broken:
-        objects = objects.unionByName(salvaged_elements(spark, [path_of(spark, f) for f in broken]))
+        objects = objects.unionByName(salvaged_elements(spark, paths, broken))
     return objects.select(F.from_json("value", RAW_MAP).alias("raw"), "filename", "filehash")
 
 
-def salvaged_elements(spark: SparkSession, paths: list[str]) -> DataFrame:
-    files = spark.read.text(paths, wholetext=True).select("value", *provenance())
+def among(files: DataFrame, only: DataFrame | None) -> DataFrame:
+    """(value, filename, filehash) of a scan, of the files whose ``path`` is in a table."""
+    own = files.select("value", *provenance(), F.col("_metadata.file_path").alias("path"))
+    return (own if only is None else own.join(F.broadcast(only), "path", "left_semi")).select("value", "filename", "filehash")
+
+
+def whole_files(spark: SparkSession, paths: str | list[str], uris: list[str]) -> DataFrame:
+    """(value, filename, filehash) of the files under the paths that have these URIs.
+
+    Files of up to a range are picked from a scan, however many they are; larger ones, which can't be many, by path.
+    """
+    limit = F.col("_metadata.file_size") > spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    listed = spark.read.format("binaryFile").load(paths).filter(limit).select("_metadata.file_path").collect()
+    large = sorted({r["file_path"] for r in listed} & set(uris))
+    own = local_table(spark, [(u,) for u in uris], ["path"])
+    texts = [among(spark.read.text(paths, wholetext=True).filter(~limit), own)]
+    if large:
+        texts.append(among(spark.read.text([path_of(spark, u) for u in large], wholetext=True), None))
+    return reduce(DataFrame.union, texts)
+
+
+def salvaged_elements(spark: SparkSession, paths: str | list[str], uris: list[str]) -> DataFrame:
+    files = whole_files(spark, paths, uris)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,10 +268,30 @@ def salvaged_elements(spark: SparkSession, paths: list[str]) -> DataFrame:
     return files.mapInArrow(run, "value string, filename string, filehash string")
 
 
+def json_kinds(text: DataFrame) -> DataFrame:
+    """``path, array`` of every file that is not empty: whether its first piece begins an array."""
+    return text.filter("at = 0").groupBy("path").agg(F.first(F.col("value").rlike(ARRAY_START)).alias("array"))
+
+
 def scan_json(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Array or line reader per file, by its first non-blank character."""
-    groups = _grouped(file_heads(spark, paths, first_char_only=True), lambda h: h.first_char == "[")
-    scans = [(scan_json_array if array else scan_json_lines)(spark, group) for array, group in groups.items()]
+    """Array or line reader per file, by its first non-blank character.
+
+    Many files are listed once for all that is read of them, except for lines and for arrays that are not sound.
+    """
+    text = pieces(spark, paths, "}")
+    if len(text._jdf.inputFiles()) <= DRIVER_FILES:
+        groups = _grouped(file_heads(spark, paths, first_char_only=True), lambda h: h.first_char == "[")
+        scans = [(scan_json_array if array else scan_json_lines)(spark, group) for array, group in groups.items()]
+    else:
+        kinds = stage(json_kinds(text), "kinds")
+        found = {r["array"] for r in kinds.select("array").distinct().collect()}
+        arrays, others = kinds.filter("array").select("path"), kinds.filter("not array").select("path")
+        scans = []
+        if True in found:
+            own = text.join(F.broadcast(arrays), "path", "left_semi").select(text.columns) if len(found) > 1 else text
+            scans.append(scan_json_array(spark, paths, own))
+        if False in found:
+            scans.append(scan_json_lines(spark, paths, others if len(found) > 1 else None))
     return _together(spark, scans, f"raw {RAW_MAP}, filename string, filehash string")
 
 
