@@ -9,7 +9,7 @@ from ionloom.functions import inchi as ic
 from ionloom.functions import text as tx
 from ionloom.functions.adducts import read_adduct
 from ionloom.functions.elements import AVERAGE
-from ionloom.functions.exprs import first_number
+from ionloom.functions.exprs import computed_once, first_number
 from ionloom.operators import instruments as ins
 from ionloom.operators import normalize as nm
 from ionloom.plans import fixture as fx
@@ -249,9 +249,11 @@ def inchi_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.table(spark, sf_dir, "orders").select(F.col(key).alias("record_id"), text.alias("inchi"))
     # Narrow rows that are heavy in CPU: their bytes, by which scans and adaptive execution cut tasks, would give few.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, "record_id").select(
-        "record_id", ic.formula_layer(inchi).alias("formula"), ic.charge(inchi).alias("charge"), ic.protons(inchi).alias("protons"),
-        F.round(ic.inchi_mass(inchi), 4).alias("exactmass"), F.round(ic.inchi_mass(inchi, AVERAGE), 3).alias("averagemass"),
+    read = computed_once(rows.repartition(tasks, "record_id"), own=ic.facts(inchi))
+    own = F.col("own")
+    return read.select(
+        "record_id", *[own[c].alias(c) for c in ("formula", "charge", "protons")],
+        F.round(ic.facts_mass(own), 4).alias("exactmass"), F.round(ic.facts_mass(own, AVERAGE), 3).alias("averagemass"),
     )
 
 

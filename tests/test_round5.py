@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
+
+from ionloom.functions import inchi as ic
+from ionloom.plans import q_normalize
 from ionloom.sources import readers as rd
 
 
@@ -45,3 +50,18 @@ def test_large_broken_files_among_many_are_read_too(spark, tmp_path, monkeypatch
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted(names) == sorted(f"n{k}-{i}" for k in range(4) for i in range(40 if k % 2 else 2))
+
+
+def test_layers_are_read_once_for_all_facts_of_an_inchi(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("o_orderkey")).write.parquet(str(tmp_path / "orders.parquet"))
+    out = q_normalize.inchi_layers(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InChI=1S?/.*?") == 1 and out.filter("exactmass is null or averagemass is null").count() == 0
+
+
+def test_facts_of_odd_inchis(spark):
+    texts = [None, "", "x", "InChI=1S/CH4/i1+1\n", "InChI=1S/CH4/i1D,", "InChI=1S/CH4/i1+1?", "InChI=1S/CH4/i9+1", "InChI=1S/C2H6.ClH/i;1+2/hD,", "InChI=1/CH4/p+1/f/q-1", "InChI=1/CH4/p+1/fCH3/h1H"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", ic.facts(F.col("t")).alias("f"), F.round(ic.inchi_mass(F.col("t")), 4).alias("m"))
+    got = [(r["f"]["formula"], r["f"]["protons"], r["f"]["charge"], r["m"]) for r in rows.coalesce(1).collect()]
+    assert got[:3] == [(None, 0, None, None)] * 3 and got[4] == ("CH4", 0, 0, 17.0376) and got[5] == ("CH4", 0, 0, None) and got[6] == ("CH4", 0, 0, None)
+    assert got[7] == ("C2H6.ClH", 0, 0, round(30.046950192 + 1.0078250322 + 36.965902602 + 1.0062767, 4)) and got[8] == ("CH4", 1, -1, 16.0313) and got[9] == ("CH3", 1, 1, 16.0313)
