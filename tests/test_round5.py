@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 
 from ionloom.functions import inchi as ic
+from ionloom.functions import parse as ps
 from ionloom.plans import q_normalize
 from ionloom.sources import readers as rd
 
@@ -65,3 +66,14 @@ def test_facts_of_odd_inchis(spark):
     got = [(r["f"]["formula"], r["f"]["protons"], r["f"]["charge"], r["m"]) for r in rows.coalesce(1).collect()]
     assert got[:3] == [(None, 0, None, None)] * 3 and got[4] == ("CH4", 0, 0, 17.0376) and got[5] == ("CH4", 0, 0, None) and got[6] == ("CH4", 0, 0, None)
     assert got[7] == ("C2H6.ClH", 0, 0, round(30.046950192 + 1.0078250322 + 36.965902602 + 1.0062767, 4)) and got[8] == ("CH4", 1, -1, 16.0313) and got[9] == ("CH3", 1, 1, 16.0313)
+
+
+def test_names_are_searched_among_those_of_their_length(spark):
+    synonyms = {"name": ["name", "nom", "ab", "é"], "rt": ["rt", "ab", "", "zeit"], "formula": ["a long name of a field"]}
+    named = [(n, c) for c, names in synonyms.items() for n in names]
+    keys = [None, "", "a", "é", "rt", "ab", "nom", "xx", "xxx", "name", "zeit", "a long name of a field", "a longer name of any field", "xxxxxxxxxx", *[n for n, _ in named]]
+    rows = spark.createDataFrame([(k,) for k in keys], "k string")
+    old = F.get(F.lit([c for _, c in named]), F.array_position(F.lit([n for n, _ in named]), F.col("k")).cast("int") - 1)
+    got = rows.select("k", ps.canonical_key(F.col("k"), synonyms).alias("new"), old.alias("old"))
+    assert [r for r in got.collect() if r["new"] != r["old"]] == []
+    assert "length(" in got._jdf.queryExecution().analyzed().toString()
