@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 
 from ionloom.functions import inchi as ic
 from ionloom.functions import parse as ps
-from ionloom.plans import q_normalize
+from ionloom.plans import q_files, q_normalize
+from ionloom.session import shared_dir
 from ionloom.sources import readers as rd
 
 
@@ -77,3 +79,27 @@ def test_names_are_searched_among_those_of_their_length(spark):
     got = rows.select("k", ps.canonical_key(F.col("k"), synonyms).alias("new"), old.alias("old"))
     assert [r for r in got.collect() if r["new"] != r["old"]] == []
     assert "length(" in got._jdf.queryExecution().analyzed().toString()
+
+
+def _tables(spark, folder) -> str:
+    rows = [(n, n % 3, 500.0 + n, "O", "5-LOW") for n in range(1, 9)]
+    spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderstatus string, o_orderpriority string").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame([(n, f"Customer#{n}") for n in range(3)], "c_custkey bigint, c_name string").write.parquet(f"{folder}/customer.parquet")
+    items = [(n, 100.0 * k, 30.0 + k) for n in range(1, 8) for k in range(1, 4)]
+    spark.createDataFrame(items, "l_orderkey bigint, l_extendedprice double, l_quantity double").write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def _new_files(spark, run) -> tuple[list, list[str]]:
+    folder = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:"))
+    before = set(folder.rglob("part-*"))
+    rows = run().collect()
+    return rows, [str(f) for f in folder.rglob("part-*") if f not in before]
+
+
+def test_separator_libraries_and_their_records_lie_packed(spark, tmp_path):
+    rows, files = _new_files(spark, lambda: q_files.read_msp_separators(spark, _tables(spark, tmp_path)))
+    assert sorted((r["layout"], r["record_id"]) for r in rows) == sorted((x, n) for x in ("blanks", "mixed", "several") for n in range(1, 8))
+    assert {r["name"] for r in rows} == {"Customer#0", "Customer#1", "Customer#2"}
+    texts, records = [f for f in files if "/separators-" in f], [f for f in files if "/records-" in f]
+    assert texts and all(f.endswith(".txt.gz") for f in texts) and records and all(".zstd." in f for f in records)
