@@ -103,3 +103,10 @@ def test_separator_libraries_and_their_records_lie_packed(spark, tmp_path):
     assert {r["name"] for r in rows} == {"Customer#0", "Customer#1", "Customer#2"}
     texts, records = [f for f in files if "/separators-" in f], [f for f in files if "/records-" in f]
     assert texts and all(f.endswith(".txt.gz") for f in texts) and records and all(".zstd." in f for f in records)
+
+
+def test_ingested_libraries_lie_packed(spark, tmp_path):
+    rows, files = _new_files(spark, lambda: q_files.ingest_all(spark, _tables(spark, tmp_path)))
+    assert sorted((r["spectrumid"], r["copies"], r["peaks"]) for r in rows) == sorted((f"SP{n}", 4, 12) if n < 8 else (f"SP{n}", 2, 0) for n in range(1, 9))
+    texts = [f for f in files if any(f".{kind}/" in f for kind in ("msp", "mgf", "json", "csv"))]
+    assert texts and all(f.endswith(".gz") for f in texts)
